@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from weftwork.llm import line_dedup, sharding
+from weftwork.llm import fingerprints, line_dedup, sharding
 
-MODULES = [line_dedup, sharding]
+MODULES = [fingerprints, line_dedup, sharding]
 
 
 def queries() -> dict:
