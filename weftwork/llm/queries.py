@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from weftwork.llm import fingerprints, line_dedup, sharding
+from weftwork.llm import fingerprints, language, line_dedup, sharding, toxicity
 
-MODULES = [fingerprints, line_dedup, sharding]
+MODULES = [fingerprints, language, line_dedup, sharding, toxicity]
 
 
 def queries() -> dict:
