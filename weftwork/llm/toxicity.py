@@ -50,18 +50,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 0.1) -> np.ndarray:
-    """Weights of a logistic model with the intercept last, by Newton steps."""
+    """Weights of a logistic model with the intercept last, by Newton steps that are halved until they help."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     beta = np.zeros(x.shape[1])
     beta[-1] = np.log((w @ y + 0.5) / (w @ (1 - y) + 0.5))
-    for _ in range(25):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return w @ (np.logaddexp(0, z) - y * z) + penalty @ (b * b) / 2
+
+    now = loss(beta)
+    for _ in range(40):
         p = _sigmoid(x @ beta)
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (w * (y - p)) - penalty * beta)
-        beta += step
-        if np.abs(step).max() < 1e-5:
+        while (new := loss(beta + step)) > now and np.abs(step).max() > 1e-7:
+            step = step / 2
+        if new > now or np.abs(step).max() < 1e-5:
             break
+        beta, now = beta + step, new
     return beta
 
 
