@@ -68,17 +68,17 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
     its own, and the sums of earlier ranges are added. `order` must tell rows apart or leave only rows
     that may change places. Groups must not be null. Ranges grow beyond `rows` from 4096 ranges on.
     """
-    if {"_range", "_before"} & set(df.columns):
-        raise ValueError("columns _range and _before are taken")
+    if {"_range", "_earlier"} & set(df.columns):
+        raise ValueError("columns _range and _earlier are taken")
     parts = max(1, min(4096, math.ceil(df.count() / rows)))
     dealt = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     keys = [*groups, "_range"]
     sums = dealt.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return own.join(sums, keys).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_range", "_before")
+    return own.join(sums, keys).withColumn(out, (F.col(out) + F.col("_earlier")).cast("long")).drop("_range", "_earlier")
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, how: str = "inner", hot: int = 200) -> DataFrame:
