@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from weftwork.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, toxicity
+from weftwork.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, topk, toxicity
 
-MODULES = [fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, toxicity]
+MODULES = [fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, topk, toxicity]
 
 
 def queries() -> dict:
