@@ -29,7 +29,7 @@ from weftwork.llm.words import U64, Words, mix, shingle_hashes, slices
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 3
 #: Hubs of a bucket that are compared in one round.
-SLOTS = 8
+SLOTS = 32
 _MULT = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
