@@ -124,6 +124,6 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 def overlapping_asks(events: DataFrame) -> DataFrame:
-    """Questions put while the one before had no reply yet."""
+    """Questions put while the one before had no reply yet; a reset ends what is open."""
     w = Window.partitionBy("conv_id").orderBy("seq")
-    return events.filter(F.col("kind").isin("ask", "answer", "error")).withColumn("_before", F.lag("kind").over(w)).filter("kind = 'ask' AND _before = 'ask'").drop("_before")
+    return events.filter(F.col("kind").isin("ask", "answer", "error", "reset")).withColumn("_before", F.lag("kind").over(w)).filter("kind = 'ask' AND _before = 'ask'").drop("_before")

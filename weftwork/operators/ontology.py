@@ -121,11 +121,11 @@ def completeness(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def title_mismatches(nodes: DataFrame) -> DataFrame:
-    """Nodes whose display title is not `name (id: ID)` followed by definition and example, white space aside."""
+    """Nodes whose display title is not `name (id: ID)`, then `Definition: ...` and `Examples: ...` where they have such, white space aside."""
     def flat(c: Column) -> Column:
         return F.regexp_replace(c, "(?U)\\s+", "")
 
-    told = F.concat(F.coalesce("name", F.lit("")), F.lit(" (id: "), F.coalesce("id", F.lit("")), F.lit(")"), F.coalesce("definition", F.lit("")), F.coalesce("example", F.lit("")))
+    told = F.concat(F.coalesce("name", F.lit("")), F.lit(" (id: "), F.coalesce("id", F.lit("")), F.lit(")"), F.coalesce(F.concat(F.lit("Definition:"), "definition"), F.lit("")), F.coalesce(F.concat(F.lit("Examples:"), "example"), F.lit("")))
     return nodes.filter(F.col("title").isNotNull() & (flat(F.col("title")) != flat(told)))
 
 

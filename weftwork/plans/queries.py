@@ -289,7 +289,7 @@ def message_replay(spark, sf_dir):
     return M.replay(_log(spark, sf_dir))
 
 
-@query("SELECT conv_id, seq FROM (SELECT conv_id, turn AS seq, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'user' AND b = 'user'")
+@query("SELECT conv_id, seq FROM (SELECT conv_id, turn AS seq, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE role = 'user' AND b = 'user'")
 def single_flight(spark, sf_dir):
     return M.overlapping_asks(_log(spark, sf_dir)).select("conv_id", "seq")
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def write_pages(docs: DataFrame, path: str) -> None:
-    """Markdown under path/slug=.../, replacing what was there; pages without text are passed over."""
-    docs.filter(F.col("markdown").isNotNull()).select("slug", F.col("markdown").alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("slug").text(path)
+    """Markdown under path/slug=.../, replacing what was there, each with a line end added; pages without text are passed over."""
+    docs.filter(F.col("markdown").isNotNull()).select("slug", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
 
 
 def snapshot(rows: DataFrame, path: str) -> None:
