@@ -13,13 +13,11 @@ from weftwork.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from weftwork.llm.common import cut, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose probability of toxic is this or more go.
-TOXIC = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_chain(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), chain).filter(F.col("toxic") < TOXIC).select(*COLUMNS)
+    return toxicity.score(docs.select(*COLUMNS), chain).filter(F.col("toxic") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,9 @@ SAMPLE_EACH, SAMPLE_CHARS = 2000, 20_000
 #: Selected features of a link, and folds.
 SELECTED, FOLDS = 256, 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Probability from which a document counts as toxic. Where few toxic examples are known, probabilities of toxic
+#: texts are drawn down, and 0.5 misses more.
+THRESHOLD = 0.4
 
 
 def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -197,10 +200,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the probabilities of the chain, and toxic_pred: whether that of toxic is 0.5 or more."""
+    """doc_id, the probabilities of the chain, and toxic_pred: whether that of toxic is THRESHOLD or more."""
     docs = read_table(spark, sf_dir, "documents")
     chain = fit_chain(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs.select("doc_id", "text"), chain).select("doc_id", *(F.col(n).alias(f"p_{n}") for n in CATEGORIES), (F.col("toxic") >= 0.5).alias("toxic_pred"))
+    return score(docs.select("doc_id", "text"), chain).select("doc_id", *(F.col(n).alias(f"p_{n}") for n in CATEGORIES), (F.col("toxic") >= THRESHOLD).alias("toxic_pred"))
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}
