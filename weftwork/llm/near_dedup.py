@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, drop_scratch, read_table, skew_join
+from weftwork.llm.common import cut, drop_scratch, read_table, release, skew_join
 from weftwork.llm.words import U64, Words, mix, shingle_hashes, slices
 
 THRESHOLD = 0.8
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     representative, whose words it shares. Null text, and rows without doc_id, make classes of their own (class_id = doc_id). Texts without words
     are copies only of equal texts. Rows that repeat a doc_id are joined by it; other columns are not read.
     """
+    spark = docs.sparkSession
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(known.mapInArrow(_sketch, "doc_id long, key binary, n long, bands array<long>"), "sketches")
     least = sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -202,17 +203,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(still_open(placed(buckets)).withColumn("waits", F.col("comp") != F.col("_low")).drop("comp", "_low"), "open")
     past = None  # the last hub of each bucket and slot
     while True:
-        now = still_open(placed(members)).drop("_low")
+        now = cut(still_open(placed(members)).drop("_low"), "open")
         waiting = now.filter("waits").withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(SLOTS)))
         if past is not None:
             waiting = waiting.join(past, ["h", "slot"], "left").filter(F.col("past").isNull() | (F.col("rank") > F.col("past")))
         hubs = cut(waiting.groupBy("h", "slot").agg(F.min(F.struct("rank", "n", "comp")).alias("_hub")), "hubs")
         if not hubs.limit(1).count():
             break
+        # a bucket without a hub has none that waits any more
+        active = cut(now.join(hubs.select("h").distinct(), "h", "left_semi"), "open")
+        members = active.drop("comp")
         named = hubs.select("h", *as_hub, F.col("_hub.comp").alias("hub_comp"))
-        pairs = candidates(named, now.join(named.select("h").distinct(), "h", "left_semi").withColumnRenamed("comp", "own"))
-        pairs = cross_only(pairs, comps).join(tested, ["a", "b"], "left_anti")
-        fresh = cut(pairs, "pairs")
+        met = active.join(named, "h").filter((F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
+        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         latest = hubs.select("h", "slot", F.col("_hub.rank").alias("past"))
         past = cut(latest if past is None else latest.unionByName(past).groupBy("h", "slot").agg(F.max("past").alias("past")), "past")
         if fresh.limit(1).count():
@@ -221,6 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if found.limit(1).count():
                 links = cut(links.unionByName(found), "links")
                 comps = components(links)
+        release(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = named.select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
@@ -230,14 +235,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.unionByName(rest)
 
 
-def cross_only(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    a = comps.select(F.col("id").alias("a"), F.col("comp").alias("_ca"))
-    b = comps.select(F.col("id").alias("b"), F.col("comp").alias("_cb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-
-
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 

@@ -7,6 +7,7 @@ probabilities are out of fold: the link that gives them has not seen the documen
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,10 +23,10 @@ CATEGORIES = ("low_quality", "toxic", "severe")
 SAMPLE_EACH, SAMPLE_CHARS = 2000, 20_000
 #: Selected features of a link, and folds.
 SELECTED, FOLDS = 256, 5
-PREFIXES = (3, 4, 5, 6, 7, 8)
+PREFIXES = (2, 3, 4, 5, 6, 7, 8, 9, 10)
 #: Probability from which a document counts as toxic. Where few toxic examples are known, probabilities of toxic
 #: texts are drawn down, and 0.5 misses more.
-THRESHOLD = 0.4
+THRESHOLD = 0.33
 
 
 def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,18 +169,29 @@ def train(texts: Sequence[str], toxic: np.ndarray, quality: np.ndarray, weights:
 def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     """Trains on at most SAMPLE_EACH texts (of SAMPLE_CHARS code points at most) of each toxic value, chosen by a hash of
     doc_id. Labels with a null in any column are left out; a document labelled twice is toxic, or of low
-    quality, if either label says so. Without labels of both kinds every text gets the base rate."""
-    known = labels.select("doc_id", "toxic", "quality").dropna().groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality"))
+    quality, if either label says so. Without labels of both kinds every text gets the base rate.
+
+    One task trains on the bounded sample; the driver receives the chain alone.
+    """
+    known = labels.select("doc_id", "toxic", "quality").dropna().groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"), (F.min("quality") > 0).cast("int").alias("quality"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts, rows = [], []
-    for value, size in sorted(sizes.items()):
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["toxic"], r["doc_id"]))
+        toxic, quality = (np.array([r[c] for r in rows], float) for c in ("toxic", "quality"))
+        weights = np.zeros(len(rows))
+        for value, size in sizes.items():
+            weights[toxic == value] = size / max((toxic == value).sum(), 1)
+        chain = train([r["text"] for r in rows], toxic, quality, weights / weights.mean() if len(rows) else weights)
+        yield pa.RecordBatch.from_pydict({"chain": [pickle.dumps(chain)]})
+
+    sample = None
+    for value in (0, 1):
         some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH)
         read = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-        got = read.orderBy("doc_id").collect()
-        texts += [r["text"] for r in got]
-        rows += [(value, r["quality"], size / max(len(got), 1)) for r in got]
-    table = np.array(rows, float).reshape(-1, 3)
-    return train(texts, (table[:, 0] > 0).astype(float), (table[:, 1] > 0).astype(float), table[:, 2] / table[:, 2].mean() if len(rows) else table[:, 2])
+        sample = read if sample is None else sample.unionByName(read)
+    fitted = sample.repartition(1).mapInArrow(fit, "chain binary").first()
+    return pickle.loads(fitted["chain"]) if fitted else train([], np.zeros(0), np.zeros(0), np.zeros(0))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
