@@ -9,7 +9,7 @@ rewritten once a level and a lookup meets few runs.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,32 +72,11 @@ class HashRuns:
             for name in old:
                 self.spark.sql(f"DROP TABLE {name}")
 
-    def rows(self) -> DataFrame:
-        first, *rest = self.tables()
-        out = self.spark.table(first)
-        for name in rest:
-            out = out.unionByName(self.spark.table(name))
-        return out
-
     def drop(self) -> None:
         for name in self.tables():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _batches(lines: DataFrame, batches: int) -> Iterable[DataFrame]:
-    """lines in `batches` parts by ascending ranges of doc_id."""
-    bounds = sorted(set(lines.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    low = None
-    for high in [*bounds, None]:
-        part = lines
-        if low is not None:
-            part = part.filter(F.col("doc_id") > int(low))
-        if high is not None:
-            part = part.filter(F.col("doc_id") <= int(high))
-        yield part
-        low = high
-
-
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, buckets: int | None = None) -> DataFrame:
     """docs with `text` without repeated lines and with n_lines, n_dropped (both long).
 
@@ -107,21 +86,26 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4,
     respect and each keeps its row; rows without doc_id are left as they are. An empty table gives an
     empty result. Columns named n_lines or n_dropped are replaced; all others pass through.
 
-    Documents come in batches by ascending doc_id, so a hash that an earlier run holds belongs to a smaller one.
+    Documents come in batches by ascending doc_id, so a hash that an earlier run holds belongs to a smaller one: its
+    lines go from the whole batch. A hash that the runs lack stays with the smallest document of the batch.
     """
     spark = docs.sparkSession
     h1, h2 = _hashes(F.col("key"))
+    bounds = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    batch = sum(((F.col("doc_id") > int(x)).cast("int") for x in sorted(set(bounds))), F.lit(0))
     lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
-    lines = cut(lines.filter(F.length("key") >= min_chars).select("doc_id", h1.alias("h1"), h2.alias("h2")), "lines")
-    runs = HashRuns(spark, buckets, fanout)
-    for part in _batches(lines, batches):
-        keys = part.groupBy(*HASH).agg(F.min("doc_id").alias("owner"))
-        runs.add(runs.unseen(keys))
-    # owners of the hashes that more than one document holds, with the number of lines that meet them
-    spread = lines.groupBy(*HASH).agg(F.count("*").alias("n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select(*HASH, "n")
-    repeated = cut(runs.rows().join(spread, HASH), "repeated")
+    lines = cut(lines.filter(F.length("key") >= min_chars).select("doc_id", batch.alias("batch"), h1.alias("h1"), h2.alias("h2")), "lines")
+    runs, repeated = HashRuns(spark, buckets, fanout), []
+    for b in range(len(set(bounds)) + 1):
+        keys = lines.filter(F.col("batch") == b).groupBy(*HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
+        keys = cut(keys, "keys")
+        new = cut(runs.unseen(keys), "unseen")
+        seen = keys.join(new, HASH, "left_anti").withColumn("owner", F.lit(None).cast("long"))
+        repeated.append(cut(seen.unionByName(new.filter("owner < _last")).select(*HASH, F.lit(b).alias("batch"), "owner", "n"), "repeated"))
+        runs.add(new.select(*HASH, "owner"))
     runs.drop()
-    extra = skew_join(lines, repeated, HASH, "n").filter("doc_id > owner")
+    repeated = reduce(DataFrame.unionByName, repeated)
+    extra = skew_join(lines, repeated, [*HASH, "batch"], "n").filter("owner IS NULL OR doc_id > owner")
     drops = extra.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("_drops"))
     joined = docs.drop("n_lines", "n_dropped").join(drops, "doc_id", "left")
 
