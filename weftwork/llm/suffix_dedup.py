@@ -23,16 +23,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, read_table, scratch_path, skew_join
+from weftwork.llm.common import cut, drop_scratch, read_table, release, scratch_path, skew_join
 from weftwork.llm.words import U64, mix
 
 SPAN = 50
 GRAM = 20
-#: Bytes of text in a chunk, about, as files are read.
-CHUNK = 16 << 20
+#: Bytes of files in a chunk of documents, and of phrases in a block, about.
+CHUNK, BLOCK = 4 << 20, 1 << 20
 
 
 # --- packed arrays ---------------------------------------------------------------------------------
@@ -256,46 +257,85 @@ class _Block:
     def sampled(self, depth: int) -> np.ndarray:
         return np.flatnonzero((self.off % 3 != 0) & (self.left >= depth))
 
-    def spread(self, at: np.ndarray, names: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.x), np.int64)
-        out[at] = names
-        return out
 
+class _Sorted:
+    """The distinct keys of some positions of a block in ascending order. Keys are columns that come with their
+    width in bits; first: a position's index for each distinct key; rank: of each position."""
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of columns in ascending order; for each row its rank; the order that sorts the rows."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return [c[order][new] for c in columns], rank, order
+    def __init__(self, at: np.ndarray, columns: list[tuple[np.ndarray, int]]):
+        self.at = at
+        if sum(width for _, width in columns) <= 63:
+            key = np.zeros(len(at), np.int64)
+            for c, width in columns:
+                key = key << width | c
+            _, self.first, self.rank = np.unique(key, return_index=True, return_inverse=True)
+            return
+        order = np.lexsort([c for c, _ in columns][::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c, _ in columns])
+        self.first, self.rank = order[new], np.empty(len(order), np.int64)
+        self.rank[order] = np.cumsum(new) - 1
 
+    def spread(self, size: int) -> tuple[np.ndarray, int]:
+        """The rank at each position of the block, and its width in bits."""
+        out = np.zeros(size, np.int64)
+        out[self.at] = self.rank
+        return out, max(1, len(self.first).bit_length())
 
-def _first_names(b: _Block) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sampled positions and, as three triples, their next 9 bytes."""
+
+def _nine(b: _Block) -> _Sorted:
+    """Sampled positions by their next 9 bytes, three triples."""
     at = b.sampled(9)
-    x = b.x.astype(np.int64)
-    return at, [x[at + j] << 16 | x[at + j + 1] << 8 | x[at + j + 2] for j in (0, 3, 6)]
+    here = np.unique(b.x)
+    code = np.zeros(256, np.int64)
+    code[here] = np.arange(len(here))
+    x, width = code[b.x], max(1, len(here).bit_length())
+    return _Sorted(at, [((x[at + j] << 2 * width) | (x[at + j + 1] << width) | x[at + j + 2], 3 * width) for j in (0, 3, 6)])
 
 
-def _second_names(b: _Block, n9: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    at = b.sampled(27)
-    return at, [n9[at], n9[at + 9], n9[at + 18]]
+def _nine_bytes(b: _Block, s: _Sorted) -> list[np.ndarray]:
+    x, at = b.x.astype(np.int64), s.at[s.first]
+    return [x[at + j] << 16 | x[at + j + 1] << 8 | x[at + j + 2] for j in (0, 3, 6)]
 
 
-def _prefixes(b: _Block, n27: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Windows, each twice, and the keys that stand for their 50 bytes: two names and two bytes, with the
-    pair of classes (0 and 1, 0 and 2, 1 and 2) that the key compares."""
-    x, out, at_all = b.x.astype(np.int64), [], []
-    for kind, (classes, d1, d2, y1, y2) in enumerate((((0, 1), 1, 22, 0, 49), ((0, 2), 2, 23, 0, 1), ((1, 2), 0, 21, 48, 49))):
-        at = np.flatnonzero(np.isin(b.off % 3, classes) & (b.left >= SPAN))
-        at_all.append(at)
-        out.append([n27[at + d1], n27[at + d2], kind << 16 | x[at + y1] << 8 | x[at + y2]])
-    return np.concatenate(at_all), [np.concatenate(c) for c in zip(*out, strict=True)]
+def _twenty_seven(b: _Block, nine: _Sorted) -> tuple[_Sorted, list[np.ndarray]]:
+    """Sampled positions by three ranks of 9 bytes, and those ranks for each distinct key."""
+    at = b.sampled(27)
+    r, width = nine.spread(len(b.x))
+    s = _Sorted(at, [(r[at + j], width) for j in (0, 9, 18)])
+    return s, [r[at[s.first] + j] for j in (0, 9, 18)]
+
+
+#: For each pair of classes: distances of two sampled positions and of two bytes that together cover 50 bytes.
+_COVERS = (((0, 1), 1, 22, 0, 49), ((0, 2), 2, 23, 0, 1), ((1, 2), 0, 21, 48, 49))
+
+
+def _fifty(b: _Block, twenty_seven: _Sorted, shared: np.ndarray) -> tuple[_Sorted, list[np.ndarray]]:
+    """Windows, each in the two merges that its class takes part in, by their 50 bytes: two ranks of 27 bytes, both `shared`, and two bytes; and these columns for
+    each distinct key, the last with the number of the merge."""
+    r, width = twenty_seven.spread(len(b.x))
+    keeps = np.zeros(len(b.x), bool)
+    keeps[twenty_seven.at] = shared[twenty_seven.rank]
+    x, at, columns = b.x.astype(np.int64), [], []
+    for kind, (classes, d1, d2, y1, y2) in enumerate(_COVERS):
+        p = np.flatnonzero(np.isin(b.off % 3, classes) & (b.left >= SPAN))
+        p = p[keeps[p + d1] & keeps[p + d2]]
+        at.append(p)
+        columns.append([r[p + d1], r[p + d2], kind << 16 | x[p + y1] << 8 | x[p + y2]])
+    c = [np.concatenate(v) for v in zip(*columns, strict=True)]
+    s = _Sorted(np.concatenate(at), [(c[0], width), (c[1], width), (c[2], 18)])
+    return s, [v[s.first] for v in c]
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts rows of columns, and the rank of each row among the distinct ones."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return order, rank
 
 
 _KEYS = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("c1", pa.binary()), ("c2", pa.binary()), ("c3", pa.binary()), ("docs", pa.binary())])
@@ -313,29 +353,36 @@ def _asked(block: int, columns: list[np.ndarray], splits: np.ndarray, docs: np.n
 
 
 def _answer_names(key: tuple, table: pa.Table) -> pa.Table:
-    """Ranks of keys in the merged order of one range; the range's number makes them ranks over all ranges."""
-    parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in table.to_pylist()]
-    _, rank, _ = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+    """Ranks of keys in the merged order of one range; the range's number makes them ranks over all ranges. Where senders say
+    which of their keys several of their documents hold, keys that one document alone holds get 0: they need no further sorting."""
+    rows = table.to_pylist()
+    parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
+    _, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
     names = rank + (key[0].as_py() << 40) + 1
+    if rows[0]["docs"] is not None:
+        several = np.concatenate([_unpack(r["docs"]) for r in rows]).astype(bool)
+        count = np.bincount(rank) + np.bincount(rank, weights=several)
+        names[count[rank] < 2] = 0
     ends = np.cumsum([len(p[0]) for p in parts])
-    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [_pack(n) for n in np.split(names, ends[:-1])]}, schema=_NAMES)
+    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [_pack(n, True) for n in np.split(names, ends[:-1])]}, schema=_NAMES)
 
 
 def _answer_docs(key: tuple, table: pa.Table) -> pa.Table:
-    """The smallest document of each run of adjacent equal prefixes."""
+    """Which of each sender's keys stand in a run of adjacent equal prefixes with a smaller document than the sender's, as bits."""
     rows = table.to_pylist()
     parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
     docs = np.concatenate([_unpack(r["docs"]) for r in rows])
-    distinct, rank, order = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
-    at = np.searchsorted(rank[order], np.arange(len(distinct[0])))
-    least = np.minimum.reduceat(docs[order], at)[rank]
+    order, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+    at = np.flatnonzero(np.diff(rank[order], prepend=-1))
+    smaller = np.minimum.reduceat(docs[order], at)[rank] < docs
     ends = np.cumsum([len(p[0]) for p in parts])
-    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [_pack(n) for n in np.split(least, ends[:-1])]}, schema=_NAMES)
+    answers = np.split(smaller, ends[:-1])
+    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [np.packbits(x).tobytes() for x in answers], "n": [len(x) for x in answers]}, schema=_NAMES.append(pa.field("n", pa.int64())))
 
 
 def _returned(names: pa.Table) -> np.ndarray:
     rows = sorted(names.to_pylist(), key=lambda r: r["part"])
-    return np.concatenate([_unpack(r["names"]) for r in rows]) if rows else np.zeros(0, np.int64)
+    return np.concatenate([_unpack(r["names"], True) for r in rows]) if rows else np.zeros(0, np.int64)
 
 
 _MASKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mask", pa.binary())])
@@ -344,8 +391,10 @@ _MASKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mask", pa.binary()
 def _repeated_windows(distinct: DataFrame, parts: int) -> DataFrame:
     """(k1, k2, mask): for each distinct phrase with such windows, as bits, those that a smaller document than its own holds too."""
     spark = distinct.sparkSession
-    blocks = _bucketed(distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)).cast("long")), "block", parts)
-    # ranges of 9-byte keys from at most 2000 phrases; they only decide how evenly the work is dealt
+    size = distinct.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    count = max(parts, -(-size // BLOCK))
+    blocks = _bucketed(distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(count)).cast("long")), "block", parts)
+    # ranges of keys from at most 2000 phrases; they only decide how evenly the work is dealt
     some = [np.frombuffer(bytes(r["raw"]), np.uint8).astype(np.int64) for r in blocks.select("raw").orderBy(F.xxhash64("raw")).limit(2000).collect()]
     first = np.sort(np.concatenate([x[:-2] << 16 | x[1:-1] << 8 | x[2:] for x in some])) if some else np.zeros(1, np.int64)
     splits9 = np.unique(first[(np.arange(1, parts) * len(first)) // parts])
@@ -354,62 +403,66 @@ def _repeated_windows(distinct: DataFrame, parts: int) -> DataFrame:
     later = np.arange(1, len(splits9) + 1) << 40
 
     def ask9(key: tuple, table: pa.Table) -> pa.Table:
-        _, columns = _first_names(_Block(table))
-        return _asked(key[0].as_py(), _distinct(columns)[0], splits9, None)
-
-    def n9_of(b: _Block, names: pa.Table) -> np.ndarray:
-        at, columns = _first_names(b)
-        return b.spread(at, _returned(names)[_distinct(columns)[1]]) if len(at) else b.spread(at, at)
+        b = _Block(table)
+        return _asked(key[0].as_py(), _nine_bytes(b, _nine(b)), splits9, None)
 
     def ask27(table: pa.Table, names: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _KEYS.empty_table()
         b = _Block(table)
-        _, columns = _second_names(b, n9_of(b, names))
-        return _asked(table["block"][0].as_py(), _distinct(columns)[0], later, None)
-
-    def named27(table: pa.Table, n9: pa.Table, n27: pa.Table) -> tuple[_Block, np.ndarray, list[np.ndarray]]:
+        s, ranks = _twenty_seven(b, _nine(b))
+        n9, doc = _returned(names), b.doc[b.phrase[s.at]]
+        several = np.zeros(len(s.first), np.int64)
+        several[s.rank[doc != doc[s.first][s.rank]]] = 1
+        return _asked(table["block"][0].as_py(), [n9[r] for r in ranks], later, several)
+
+    def fifty_of(table: pa.Table, n27: np.ndarray) -> tuple[_Block, _Sorted, list[np.ndarray], np.ndarray]:
+        """Windows whose names several documents hold; with the smallest document of this block for each distinct key."""
         b = _Block(table)
-        at, columns = _second_names(b, n9_of(b, n9))
-        names = b.spread(at, _returned(n27)[_distinct(columns)[1]]) if len(at) else b.spread(at, at)
-        return b, *_prefixes(b, names)
-
-    def by_kind(names: pa.Table) -> list[pa.Table]:
-        kinds = names["kind"].to_numpy()
-        return [names.filter(pa.array(kinds == k)) for k in (9, 27, 50)]
+        s, columns = _fifty(b, _twenty_seven(b, _nine(b))[0], n27 > 0)
+        docs = np.full(len(s.first), np.iinfo(np.int64).max)
+        np.minimum.at(docs, s.rank, b.doc[b.phrase[s.at]])
+        return b, s, columns, docs
 
     def ask50(table: pa.Table, names: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _KEYS.empty_table()
-        n9, n27, _ = by_kind(names)
-        b, at, columns = named27(table, n9, n27)
-        distinct_columns, rank, order = _distinct(columns)
-        first = np.searchsorted(rank[order], np.arange(len(distinct_columns[0])))
-        docs = np.minimum.reduceat(b.doc[b.phrase[at]][order], first) if len(at) else at
-        return _asked(table["block"][0].as_py(), distinct_columns, later, docs)
-
-    def masks(table: pa.Table, names: pa.Table) -> pa.Table:
+        n27 = _returned(names)
+        _, _, (r1, r2, rest), docs = fifty_of(table, n27)
+        return _asked(table["block"][0].as_py(), [n27[r1], n27[r2], rest], later, docs)
+
+    def masks(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _MASKS.empty_table()
-        n9, n27, n50 = by_kind(names)
-        b, at, columns = named27(table, n9, n27)
+        told = pc.is_valid(answers["n"])
+        bits = answers.filter(told)
+        b, s, _, docs = fifty_of(table, _returned(answers.filter(pc.invert(told)).drop_columns(["n"])))
+        smaller = np.zeros(len(docs), bool)
+        at = 0
+        rows = sorted(bits.to_pylist(), key=lambda r: r["part"])
+        for r in rows:
+            smaller[at : at + r["n"]] = np.unpackbits(np.frombuffer(r["names"], np.uint8), count=r["n"]).astype(bool)
+            at += r["n"]
         repeated = np.zeros(len(b.phrase), bool)
-        if len(at):
-            least = _returned(n50)[_distinct(columns)[1]]
-            repeated[at[least < b.doc[b.phrase[at]]]] = True
-        rows = []
+        repeated[s.at[smaller[s.rank] | (docs[s.rank] < b.doc[b.phrase[s.at]])]] = True
+        out = []
         ends = np.append(b.start[1:], len(b.phrase))
         for i in np.unique(b.phrase[repeated]).tolist():
-            rows.append({"k1": b.table["k1"][i].as_py(), "k2": b.table["k2"][i].as_py(), "mask": np.packbits(repeated[b.start[i] : ends[i] - SPAN + 1]).tobytes()})
-        return pa.Table.from_pylist(rows, schema=_MASKS)
+            out.append({"k1": b.table["k1"][i].as_py(), "k2": b.table["k2"][i].as_py(), "mask": np.packbits(repeated[b.start[i] : ends[i] - SPAN + 1]).tobytes()})
+        return pa.Table.from_pylist(out, schema=_MASKS)
 
-    n9 = cut(blocks.groupBy("block").applyInArrow(ask9, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names9")
     of = blocks.groupBy("block")
+    n9 = cut(of.applyInArrow(ask9, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names9")
+    release(spark)
     n27 = cut(of.cogroup(n9.groupBy("block")).applyInArrow(ask27, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names27")
-    both = n9.withColumn("kind", F.lit(9)).unionByName(n27.withColumn("kind", F.lit(27)))
-    n50 = cut(of.cogroup(both.groupBy("block")).applyInArrow(ask50, ask_type).groupBy("part").applyInArrow(_answer_docs, name_type), "least50")
-    every = both.unionByName(n50.withColumn("kind", F.lit(50)))
-    return cut(of.cogroup(every.groupBy("block")).applyInArrow(masks, "k1 long, k2 long, mask binary"), "masks")
+    drop_scratch(n9)
+    release(spark)
+    bits = cut(of.cogroup(n27.groupBy("block")).applyInArrow(ask50, ask_type).groupBy("part").applyInArrow(_answer_docs, f"{name_type}, n long"), "smaller")
+    release(spark)
+    answers = n27.withColumn("n", F.lit(None).cast("long")).unionByName(bits)
+    out = cut(of.cogroup(answers.groupBy("block")).applyInArrow(masks, "k1 long, k2 long, mask binary"), "masks")
+    drop_scratch(n27, bits)
+    return out
 
 
 # --- the whole -------------------------------------------------------------------------------------
@@ -468,9 +521,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     phrases = cut(of.cogroup(bits.groupBy("chunk")).applyInArrow(_phrases(parts), "chunk long, row long, doc_id long, s long, e long, k1 long, k2 long, raw binary"), "phrases")
     owners = phrases.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", F.col("raw").isNull().alias("none"), "raw")).alias("_own"), F.count("*").alias("n"))
     distinct = cut(owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n"), "distinct")
+    whole, phrases = phrases, cut(phrases.drop("raw"), "phrases")
+    drop_scratch(whole)
+    release(spark)
     masks = _repeated_windows(distinct.drop("n"), parts)
     known = distinct.select("k1", "k2", F.col("doc_id").alias("owner"), "n").join(masks, ["k1", "k2"], "left")
-    met = skew_join(phrases.drop("raw"), known.filter("n > 1 OR mask IS NOT NULL"), ["k1", "k2"], "n")
+    met = skew_join(phrases, known.filter("n > 1 OR mask IS NOT NULL"), ["k1", "k2"], "n")
     ranges = met.filter("doc_id > owner OR mask IS NOT NULL").select("chunk", "row", "s", "e", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
     out = of.cogroup(ranges.groupBy("chunk")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     rest = bare.filter(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
