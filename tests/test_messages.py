@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from weftwork.operators import messages as M
 from weftwork.operators import quality as Q
+from weftwork.plans import queries as plans
 from weftwork.streaming.messages import keep_log
 
 
@@ -48,6 +51,19 @@ def test_reply_content(spark):
     assert got == ["c", "t", '{"other":1}', "no json"]
 
 
+def test_reply_fields_on_all_events(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        # by event_id % 3: a message, a content, neither; to_json omits nulls
+        field = {0: r.event_type, 1: None if r.user_id is None else str(r.user_id), 2: None}[r.event_id % 3]
+        whole = {"message": r.event_type if r.event_id % 3 == 0 else "", "content": None}
+        want[r.event_id] = field or json.dumps({k: v for k, v in whole.items() if v is not None}, separators=(",", ":"))
+    got = plans.QUERIES["reply_fields"](spark, sf).collect()
+    assert len(got) == len(want) and {r.event_id: r.reply for r in got} == want
+    assert '{"message":""}' in want.values()
+
+
 def test_event_payloads(spark):
     raw = "event: message\ndata: a\ndata: b\n\nevent: ping\ndata: no\n\nevent: message\ndata: [DONE]\n\nevent: message\ndata:  \n\nevent: message\ndata: SYSTEM MESSAGE z\n\nevent: message\ndata: c"
     assert spark.createDataFrame([(raw,)], "raw string").select(M.event_payloads(F.col("raw")).alias("p")).first().p == ["a\nb", "c"]

@@ -100,7 +100,7 @@ def json_field(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END, ''), nullif(CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END, ''), to_json({message: CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END})::VARCHAR) AS reply FROM events WHERE event_id % 3 < 2")
 def reply_fields(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").filter("event_id % 3 < 2")
+    e = _table(spark, sf_dir, "events")
     raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("").alias("message"), F.when(F.col("event_id") % 3 == 1, F.col("user_id").cast("string")).alias("content")))
     return e.select("event_id", M.reply_content(raw).alias("reply"))
 
