@@ -126,6 +126,16 @@ def test_a_chain_of_edits_in_one_bucket_is_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_links_of_mutual_copies_are_a_lower_bound(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: 7 * i] + [f"e{i}"] + base[7 * i + 1 :])) for i in range(40)]
+    df = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert df.columns == ["doc_id", "class_id", "n_links_tested"]
+    got = df.collect()
+    assert {r.class_id for r in got} == {0} and all(1 <= r.n_links_tested <= 39 for r in got)
+    assert max(r.n_links_tested for r in got) == 39 and min(r.n_links_tested for r in got) < 39
+
+
 def test_alignment_heeds_order():
     a = np.arange(100, dtype=np.uint32)
     assert near_dedup.similarity(a, a) == 1

@@ -155,10 +155,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs.
+    """doc_id, class_id, n_links_tested for every row of docs.
 
-    class_id is the least doc_id of the document's class; n_links counts the verified links of its
-    representative, whose words it shares. Null text, and rows without doc_id, make classes of their own (class_id = doc_id). Texts without words
+    class_id is the least doc_id of the document's class; n_links_tested counts those links of its representative, whose
+    words it shares, that the order of the hubs put to the test. It is a lower bound: pairs of a class that is joined already are not compared. Null text, and rows without doc_id, make classes of their own (class_id = doc_id). Texts without words
     are copies only of equal texts. Rows that repeat a doc_id are joined by it; other columns are not read.
     """
     spark = docs.sparkSession
@@ -226,11 +226,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 links = cut(links.unionByName(found), "links")
                 comps = components(links)
         release(spark)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links_tested"))
     named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = named.select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
-    out = skew_join(sketched.select("doc_id", "key"), classes, ["key"], "copies").select("doc_id", "class_id", "n_links")
-    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    classes = named.select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links_tested", F.lit(0)).cast("long").alias("n_links_tested"), "copies")
+    out = skew_join(sketched.select("doc_id", "key"), classes, ["key"], "copies").select("doc_id", "class_id", "n_links_tested")
+    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links_tested"))
     drop_scratch(seqs)
     return out.unionByName(rest)
 
