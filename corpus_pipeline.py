@@ -27,9 +27,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class stays, and so do rows without doc_id."""
-    gone = near_dedup.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """The smallest doc_id of each class stays, and so do rows without doc_id.
+
+    Where a doc_id is repeated, each of its texts stays or goes for itself; those that stay come as often as they came, equal rows too.
+    """
+    gone = near_dedup.near_duplicate_texts(docs).filter("doc_id <> class_id").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    return docs.select(*COLUMNS).withColumn("_digest", near_dedup.text_digest()).join(gone.hint("merge"), ["doc_id", "_digest"], "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

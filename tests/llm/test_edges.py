@@ -70,6 +70,18 @@ def test_near_dedup(docs):
     assert near_dedup.near_duplicates(nothing(docs)).count() == 0
 
 
+def test_near_dedup_of_a_repeated_doc_id(spark):
+    base = [f"w{i}" for i in range(300)]
+    copy, edited = " ".join(base), " ".join([*base[:150], "new", *base[151:]])
+    other, far = " ".join(f"a{i}" for i in range(300)), " ".join([*[f"a{i}" for i in range(299)], "end"])
+    rows = [(1, copy), (5, edited), (5, other), (5, other), (9, far), (5, "alone without a copy of five words"), (9, "alone too and as long as that")]
+    frame = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(frame).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5), (5, 5), (9, 5), (9, 9)]
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_near(spark, frame, "").collect())
+    assert kept == sorted([(1, copy), (5, other), (5, other), (5, "alone without a copy of five words"), (9, "alone too and as long as that")])
+
+
 def test_packing(docs):
     got = packing.pack(docs, sequence=64, window=2).collect()
     assert sum(r.length for r in got if r.doc_id == 3) == 2 * next(r.doc_tokens for r in got if r.doc_id == 3)

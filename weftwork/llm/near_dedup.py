@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, drop_scratch, read_table, release, skew_join
+from weftwork.llm.common import cut, drop_scratch, read_table, release, running_sum, skew_join
 from weftwork.llm.words import U64, Words, mix, shingle_hashes, slices
 
 THRESHOLD = 0.8
@@ -69,12 +69,17 @@ def sketches(label: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def text_key(own: np.ndarray, text: str) -> bytes:
+    """128 bits that texts with the same words share; texts without words share them only if equal."""
+    return hashlib.blake2b(own.tobytes() if len(own) else text.encode(), digest_size=16, person=b"words" if len(own) else b"raw").digest()
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_ids, all_texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+        all_ids, all_texts, digests = batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["digest"].to_pylist()
         for a, b in slices(all_texts):
             texts = all_texts[a:b]
             words = Words(texts)
@@ -83,22 +88,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i, text in enumerate(texts):
                 own = words.hash[words.first[i] : words.first[i + 1]]
-                key = hashlib.blake2b(own.tobytes() if len(own) else text.encode(), digest_size=16, person=b"words" if len(own) else b"raw")
-                rows.append((key.digest(), int(bounds[i + 1] - bounds[i]), bands[i].tolist() if len(own) else []))
-            yield pa.RecordBatch.from_pydict({"doc_id": all_ids[a:b], "key": [r[0] for r in rows], "n": [r[1] for r in rows], "bands": [r[2] for r in rows]}, schema=_SKETCH)
+                rows.append((text_key(own, text), int(bounds[i + 1] - bounds[i]), bands[i].tolist() if len(own) else []))
+            yield pa.RecordBatch.from_pydict({"doc_id": all_ids[a:b], "digest": digests[a:b], "key": [r[0] for r in rows], "n": [r[1] for r in rows], "bands": [r[2] for r in rows]}, schema=_SKETCH)
 
 
-_SEQUENCE = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary())])
+_SEQUENCE = pa.schema([("key", pa.binary()), ("seq", pa.binary())])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled shingles of 32 bits; a chance agreement moves a similarity by under 1 in its length."""
     for batch in batches:
-        all_ids, all_texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+        all_texts = batch["text"].to_pylist()
         for a, b in slices(all_texts):
-            label, bounds = labelled(Words(all_texts[a:b]))
+            words = Words(all_texts[a:b])
+            label, bounds = labelled(words)
             low = (label >> U64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"doc_id": all_ids[a:b], "seq": [low[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]}, schema=_SEQUENCE)
+            keys = [text_key(words.hash[s:e], text) for s, e, text in zip(words.first[:-1], words.first[1:], all_texts[a:b], strict=True)]
+            yield pa.RecordBatch.from_pydict({"key": keys, "seq": [low[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]}, schema=_SEQUENCE)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -154,31 +160,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links_tested for every row of docs.
+def text_digest(text: str = "text") -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.unhex(F.md5(text))
 
-    class_id is the least doc_id of the document's class; n_links_tested counts those links of its representative, whose
-    words it shares, that the order of the hubs put to the test. It is a lower bound: pairs of a class that is joined already are not compared. Null text, and rows without doc_id, make classes of their own (class_id = doc_id). Texts without words
-    are copies only of equal texts. Rows that repeat a doc_id are joined by it; other columns are not read.
-    """
+
+def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, digest (text_digest), class_id, n_links_tested for every row of docs; see near_duplicates."""
     spark = docs.sparkSession
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sketched = cut(known.mapInArrow(_sketch, "doc_id long, key binary, n long, bands array<long>"), "sketches")
-    least = sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(least, "representatives")
-    own = sketched.join(reps.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
-    entries = own.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("h"))
+    sketched = cut(known.withColumn("digest", text_digest()).mapInArrow(_sketch, "doc_id long, digest binary, key binary, n long, bands array<long>"), "sketches")
+    least = sketched.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"))
+    # representatives are numbered by doc_id and key, as several texts may share their least doc_id
+    reps = cut(running_sum(cut(least.withColumn("one", F.lit(1)), "representatives"), [], ["least_doc", "key"], "one", "rep").drop("one"), "representatives")
+    own = sketched.join(reps.select("key", "rep", F.col("least_doc").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
+    entries = own.select("rep", "n", F.explode("bands").alias("h"))
     met = entries.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut(entries.join(met, "h"), "buckets")
     # the member that meets most others leads: the original of many edited copies does
     weight = buckets.groupBy("rep").agg((-F.sum("size")).alias("lead"))
     buckets = cut(buckets.join(weight, "rep").select("h", "rep", "n", F.struct("lead", "rep").alias("rank")), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    seqs = cut(known.join(wanted, "doc_id", "left_semi").mapInArrow(_sequences, "doc_id long, seq binary").dropDuplicates(["doc_id"]), "sequences")
+    wanted = cut(reps.join(buckets.select("rep").distinct(), "rep").select("key", "rep", F.col("least_doc").alias("doc_id")), "wanted")
+    made = known.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sequences, "key binary, seq binary").dropDuplicates(["key"])
+    seqs = cut(made.join(wanted.select("key", "rep"), "key").select("rep", "seq"), "sequences")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        a = seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("seq_a"))
-        b = seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("seq_b"))
+        a = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a"))
+        b = seqs.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(threshold), "a long, b long")
 
     def candidates(hubs: DataFrame, members: DataFrame) -> DataFrame:
@@ -227,14 +235,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 comps = components(links)
         release(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links_tested"))
-    named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = named.select("key", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links_tested", F.lit(0)).cast("long").alias("n_links_tested"), "copies")
-    out = skew_join(sketched.select("doc_id", "key"), classes, ["key"], "copies").select("doc_id", "class_id", "n_links_tested")
-    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links_tested"))
+    linked = reps.select("rep", "least_doc").join(comps.withColumnRenamed("id", "rep"), "rep")
+    joined = linked.groupBy("comp").agg(F.min("least_doc").alias("class_id"), F.count("*").alias("members"))
+    placed_in = skew_join(linked.select("rep", "comp"), joined, ["comp"], "members").select("rep", "class_id")
+    named = reps.join(placed_in, "rep", "left").join(degree, "rep", "left")
+    classes = named.select("key", F.coalesce("class_id", "least_doc").alias("class_id"), F.coalesce("n_links_tested", F.lit(0)).cast("long").alias("n_links_tested"), "copies")
+    out = skew_join(sketched.select("doc_id", "digest", "key"), classes, ["key"], "copies").select("doc_id", "digest", "class_id", "n_links_tested")
+    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select("doc_id", text_digest().alias("digest"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links_tested"))
     drop_scratch(seqs)
     return out.unionByName(rest)
 
 
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links_tested for every row of docs.
+
+    class_id is the least doc_id of the document's class; n_links_tested counts those links of its representative, whose
+    words it shares, that the order of the hubs put to the test. It is a lower bound: pairs of a class that is joined already are not compared. Null text, and rows without doc_id, make classes of their own (class_id = doc_id). Texts without words
+    are copies only of equal texts. Each text of a repeated doc_id is classed for itself: classes of different texts may then
+    bear the same class_id. Other columns are not read.
+    """
+    return near_duplicate_texts(docs, threshold).drop("digest")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
