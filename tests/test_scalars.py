@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,19 @@ def test_video_id(spark, url, want):
 def test_slug_is_idempotent(spark):
     rows = spark.createDataFrame([("A_b c!é",), ("--X__",), ("",)], "s string").select(S.slug(F.col("s")).alias("a")).select("a", S.slug(F.col("a")).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
+
+
+def test_current_time_year_and_headers(spark):
+    before = datetime.datetime.now(datetime.UTC)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        r = spark.range(1).select(S.now_iso().alias("iso"), S.now_millis().alias("ms"), S.now_millis(1).alias("next"), S.current_year().alias("year"), S.header_map({"Accept": "text/plain", "Id": F.col("id").cast("string")}).alias("h")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    after = datetime.datetime.now(datetime.UTC)
+    told = datetime.datetime.fromisoformat(r.iso)
+    assert r.iso.endswith("Z") and before - datetime.timedelta(milliseconds=1) <= told <= after
+    assert r.ms == round(told.timestamp() * 1000) and r.next == r.ms + 1
+    tokyo = datetime.timezone(datetime.timedelta(hours=9))
+    assert r.year in {before.astimezone(tokyo).year, after.astimezone(tokyo).year} and r.h == {"Accept": "text/plain", "Id": "0"}

@@ -106,6 +106,26 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def now_iso() -> Column:
+    """The time of the query as ISO text in UTC; one value a query."""
+    return iso_text(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
+def now_millis(plus: int = 0) -> Column:
+    """Milliseconds from 1970 to the time of the query."""
+    return F.unix_millis(F.current_timestamp()) + F.lit(plus)
+
+
+def current_year() -> Column:
+    """In the time zone of the session."""
+    return F.year(F.current_date())
+
+
+def header_map(headers: dict[str, str | Column]) -> Column:
+    """A map from names to texts or columns."""
+    return F.create_map(*[x for k, v in headers.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+
+
 def video_id(url: Column) -> Column:
     """The eleven characters that name a video in the usual forms of its address; null for other addresses."""
     # fixed value: the forms of address
