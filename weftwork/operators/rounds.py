@@ -4,20 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that driver and executors share and read back; a temporary folder stands in where none is set."""
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that setting is absent and Spark runs in one process, as in tests, a temporary folder stands in; on a cluster that is an error.
+    """
     global _own_dir
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-")
         base = f"file://{_own_dir}"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write df to a scratch table and read it back: the lineage ends there and lost executors lose nothing."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of tables made by cut that no later step reads."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            delete(table.sparkSession, path)
