@@ -246,3 +246,33 @@ def test_pipeline_stages(spark, tmp_path):
     mixed, before = collections.Counter(kept["mixing"]["doc_id"]), set(kept["near dedup"]["doc_id"])
     assert set(mixed) <= before and max(mixed.values()) <= 2
     assert collections.Counter(kept["packing"].query("start == 0")["doc_id"]) == mixed
+
+
+def test_many_copies_around_the_threshold_against_all_pairs(spark):
+    """Copies of two related texts with 0 to 7 edits each: some links, many pairs just under the threshold, and groups too large for all pairs."""
+    rng = np.random.default_rng(11)
+    first = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    second = [f"v{i}" if i % 9 == 0 else w for i, w in enumerate(first)]
+    rows = []
+    for i in range(500):
+        words = list((first, second)[i % 2])
+        for at in rng.choice(150, rng.integers(0, 8), replace=False):
+            words[at] = ("", f"e{i}x{at}", "common")[rng.integers(0, 3)]
+        rows.append((i, " ".join(w for w in words if w)))
+    label, bounds = near_dedup.labelled(Words([t for _, t in rows]))
+    seq = [(label[s:e] >> U64(32)).astype(np.uint32) for s, e in itertools.pairwise(bounds)]
+    parent = list(range(500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(500), 2):
+        if near_dedup.similarity(seq[i], seq[j]) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    want = {i: find(i) for i in range(500)}
+    assert 20 < len(set(want.values())) < 480
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -2,55 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftwork.operators.rounds import cut, drop_scratch
+
 #: ASCII white space, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\f\r"
 
-_own_dir: str | None = None
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where that setting is absent, as in local tests, a temporary folder of this process stands in.
-    """
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-")
-        base = f"file://{_own_dir}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a scratch table and read it back: the lineage ends there and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(*tables: DataFrame) -> None:
-    """Delete the files of scratch tables that no later step reads."""
-    for table in tables:
-        spark = table.sparkSession
-        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of finished steps: Spark deletes them once the driver has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

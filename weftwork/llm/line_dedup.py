@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import ASCII_SPACE, ascii_lower, cut, read_table, scratch_path, skew_join
+from weftwork.llm.common import ASCII_SPACE, ascii_lower, read_table, skew_join
+from weftwork.operators.rounds import cut, scratch_path
 
 HASH = ["h1", "h2"]
 

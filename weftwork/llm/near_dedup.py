@@ -6,9 +6,11 @@ them in text order; three entries make a band, and texts that agree in a band ar
 if the longest common subsequence of the two sequences, matched within the band of diagonals that the threshold allows, gives
 matched / (n_a + n_b - matched) >= 0.8. Classes are the connected components of the links.
 
-Texts with the same words collapse to one representative first. In a bucket one member, the hub, is
-compared with the others; members that end up in different components are then compared through further
-hubs until no pair of a bucket is left that was neither compared nor joined otherwise. So no
+Texts with the same words collapse to one representative first. In each bucket one member, the hub, is
+compared with the others. Where that leaves a large bucket in several components, its members meet again by a prefix filter in place
+of the bucket: shingles are put in ascending order of how many such members hold them, and two members
+with a link share one of their first shingles, at places that their lengths bound (see `refined`). Copies of
+one text that differ by a few edits each have shingles of their own at the front, so they hardly meet. No
 group of copies is expanded into all its pairs, and no link is lost.
 """
 
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, drop_scratch, read_table, release, running_sum, skew_join
+from weftwork.llm.common import read_table, running_sum, skew_join
 from weftwork.llm.words import U64, Words, mix, shingle_hashes, slices
+from weftwork.operators.rounds import cut, drop_scratch
 
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 3
-#: Hubs of a bucket that are compared in one round.
-SLOTS = 32
+#: Members of a group up to which all pairs from different components are compared, hubs of a larger one in a round, and members that stand
+#: beside one copy of their hub.
+SMALL, SLOTS, BLOCK = 8, 64, 128
 _MULT = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
@@ -132,18 +136,82 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return matched / (total - matched) if matched >= need else 0.0
 
 
-def _verify(threshold: float):
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _beside(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """pairs(hub, rep, ...) with the sequence of rep, dealt and sorted so that each block of a hub's members follows a row with the hub's own
+    sequence (rep null)."""
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = pairs.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("blocks").join(seqs, "rep")
+    leads = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(seqs.withColumnRenamed("rep", "hub"), "hub")
+    return leads.unionByName(members, allowMissingColumns=True).repartition("hub", "block").sortWithinPartitions("hub", "block", F.asc_nulls_first("rep"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """(columns of a batch, the hub's sequence, [(row, sequence)]) for each run of members of one hub."""
+    lead = np.zeros(0, np.uint32)
+    for batch in batches:
+        columns = {name: batch[name].to_pylist() for name in batch.schema.names}
+        run: list[tuple[int, np.ndarray]] = []
+        for i, (rep, raw) in enumerate(zip(columns["rep"], columns["seq"], strict=True)):
+            seq = np.frombuffer(raw, np.uint32)
+            if rep is not None:
+                run.append((i, seq))
+                continue
+            if run:
+                yield columns, lead, run
+            lead, run = seq, []
+        if run:
+            yield columns, lead, run
 
+
+def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch["seq_a"], batch["seq_b"]
-            ok = [similarity(np.frombuffer(left[i].as_py(), np.uint32), np.frombuffer(right[i].as_py(), np.uint32), threshold) >= threshold for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok, pa.bool_())), batch["b"].filter(pa.array(ok, pa.bool_()))], schema=out)
+        for columns, lead, run in _members(batches):
+            ok = [i for i, seq in run if similarity(lead, seq, threshold) >= threshold]
+            hubs, reps = [columns["hub"][i] for i in ok], [columns["rep"][i] for i in ok]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(map(min, hubs, reps), pa.int64()), "b": pa.array(map(max, hubs, reps), pa.int64())})
 
     return verify
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, raw in zip(batch["rep"].to_pylist(), batch["seq"].to_pylist(), strict=True):
+            token = np.unique(np.frombuffer(raw, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rep)), pa.array(token), pa.array(np.full(len(token), len(token)))], names=["rep", "token", "distinct"])
+
+
+def refined(members: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Groups (id, rep, n, lead, comp, short) in which all of members(rep, n, lead, comp) meet that may have a link.
+
+    A link of lengths n >= m needs o >= a (n + m) common tokens, with a = t / (1 + t), and m >= t n. Tokens are ordered by how many
+    members hold them. If the first common one has place i in the longer and j in the shorter, then o <= n - i and
+    o <= m - j, so i <= (1 - t) n, j <= (1 - 2 a) m and m <= (n - i) / a - n. So the shorter one (`short`) goes to the groups of
+    its class of lengths and its first tokens, the longer one to those of its first tokens and the classes that it can have a
+    link with. Tokens that no other member holds lead nowhere; they only take the first places.
+    """
+    a = threshold / (1 + threshold)
+
+    def length_class(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n, F.lit(1.0))) / np.log(1.1)).cast("int")
+
+    tokens = cut(seqs.join(members.select("rep"), "rep", "left_semi").mapInArrow(_tokens, "rep long, token int, distinct long"), "tokens")
+    several = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = tokens.join(several, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("_t"), F.first("distinct").alias("_u"))
+    n, place = F.col("n"), F.col("_u") - F.size("_t")
+    longer, shorter = F.floor((1 - threshold) * n + 1e-6) + 1, F.floor((1 - 2 * a) * n + 1e-6) + 1
+    first = shared.join(members, "rep").withColumn("_place", place).withColumn("_t", F.slice("_t", 1, F.greatest(F.lit(0), longer - place).cast("int")))
+    first = first.select("rep", "n", "lead", "comp", "_place", F.posexplode("_t").alias("_k", "_t")).withColumn("_place", F.col("_place") + F.col("_k"))
+    own = F.array(F.struct(length_class(n).alias("kind"), F.lit(True).alias("short")))
+    most = length_class(F.least(n, (n - F.col("_place")) / a - n + 1e-6))
+    other = F.transform(F.sequence(length_class(threshold * n - 1e-6), most), lambda c: F.struct(c.alias("kind"), F.lit(False).alias("short")))
+    other = F.when(most >= length_class(threshold * n - 1e-6), other).otherwise(F.array().cast("array<struct<kind:int,short:boolean>>"))
+    roles = F.when(F.col("_place") < shorter, F.concat(own, F.filter(other, lambda r: r["kind"] != length_class(n)))).otherwise(other)
+    met = first.select("rep", "n", "lead", "comp", F.col("_t.token").alias("_token"), F.explode(roles).alias("_r"))
+    out = cut(met.select(F.xxhash64("_token", "_r.kind").alias("id"), "rep", "n", "lead", "comp", F.col("_r.short").alias("short")), "refined")
+    drop_scratch(tokens)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every end of links(a, b): comp is the least id of the component. Least labels spread along links, and labels of labels are taken, until nothing changes."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -153,11 +221,77 @@ def components(links: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("heard"))
         spread = labels.join(heard, "id").select("id", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
         jumped = spread.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("further")), "comp", "left")
-        new = cut(jumped.select("id", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        changed = new.filter("was <> comp").limit(1).count()
-        labels = new.select("id", "comp")
-        if not changed:
-            return labels
+        new = cut(jumped.select("id", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "was"), "labels")
+        drop_scratch(labels)
+        if new.filter("was <> comp").isEmpty():
+            drop_scratch(both)
+            return new
+        labels = new
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components and a member that may be the shorter of a pair, with the group's size and least component."""
+    state = groups.groupBy("id").agg(F.count("*").alias("size"), F.max("short").alias("_any"), F.min("comp").alias("low"), F.max("comp").alias("_high"))
+    return groups.join(state.filter("_any AND low < _high").select("id", "size", "low"), "id")
+
+
+def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The links(a, b) that were tested within buckets(id, rep, n, lead), and the components(id, comp) that all links make.
+
+    The first round compares each bucket's hub with its other members. What is open then is compared pair by pair where it is small
+    and refined where it is large. Of refined groups that are still large, the members outside of the least component
+    become hubs in turn.
+    """
+    spark = buckets.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    comps = spark.createDataFrame([], "id long, comp long")
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        fresh = cut(pairs.distinct(), "pairs")
+        found = cut(_beside(fresh, seqs).mapInArrow(_verify(threshold), "a long, b long").distinct(), "links")
+        if not found.isEmpty():
+            before, links = (links, comps), cut(links.unionByName(found).distinct(), "links")
+            comps = components(links)
+            drop_scratch(*before)
+        drop_scratch(fresh, found)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def alike(n: str, m: str) -> Column:
+        return F.least(n, m) >= threshold * F.greatest(n, m)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        a = rows.filter("short").select("id", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        b = rows.select("id", "rep", "n", "comp", "short")
+        return a.join(b, "id").filter((F.col("hub_comp") != F.col("comp")) & (F.col("hub_n") <= F.col("n")) & alike("hub_n", "n") & F.expr("hub_n < n OR hub < rep OR NOT short")).select("hub", "rep")
+
+    hub = buckets.groupBy("id").agg(F.min(F.struct("lead", "rep", "n")).alias("_hub")).select("id", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"))
+    met = cut(buckets.join(hub, "id").filter("rep <> hub"), "met")
+    test(met.filter(alike("n", "hub_n")).select("hub", "rep"))
+    still = cut(_open(placed(met.select("id", "rep", "n", "lead")).withColumn("short", F.lit(True))), "open")
+    members = cut(still.filter(F.col("size") > SMALL).select("rep", "n", "lead", "comp").distinct(), "members")
+    groups = refined(members, seqs, threshold)
+    live = cut(_open(groups.unionByName(still.filter(F.col("size") <= SMALL).drop("size", "low"))), "open")
+    drop_scratch(met, still, members, groups)
+    test(all_pairs(live.filter(F.col("size") <= SMALL)))
+    rest = cut(live.filter(F.col("size") > SMALL).withColumn("waits", F.col("comp") != F.col("low")).drop("size", "low", "comp"), "rest")
+    drop_scratch(live)
+    while True:
+        live = cut(_open(placed(rest)).drop("size", "low"), "open")
+        slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")
+        hubs = live.filter("waits").groupBy("id", slot).agg(F.min(F.struct("lead", "rep", "n", "comp", "short")).alias("_hub"))
+        hubs = cut(hubs.select("id", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"), F.col("_hub.comp").alias("hub_comp"), F.col("_hub.short").alias("hub_short")), "hubs")
+        drop_scratch(rest)
+        if hubs.isEmpty():
+            drop_scratch(live, hubs)
+            return links, comps
+        pairs = live.join(hubs, "id").filter((F.col("comp") != F.col("hub_comp")) & alike("n", "hub_n") & F.expr("short OR hub_short"))
+        test(pairs.select("hub", "rep"))
+        past = hubs.select("id", F.col("hub").alias("rep"), F.lit(True).alias("_past"))
+        rest = cut(live.join(past, ["id", "rep"], "left").withColumn("waits", F.col("waits") & F.col("_past").isNull()).drop("_past", "comp"), "rest")
+        drop_scratch(live, hubs)
 
 
 def text_digest(text: str = "text") -> Column:
@@ -167,83 +301,35 @@ def text_digest(text: str = "text") -> Column:
 
 def near_duplicate_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, digest (text_digest), class_id, n_links_tested for every row of docs; see near_duplicates."""
-    spark = docs.sparkSession
     known = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(known.withColumn("digest", text_digest()).mapInArrow(_sketch, "doc_id long, digest binary, key binary, n long, bands array<long>"), "sketches")
-    least = sketched.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"))
+    least = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.lit(1).alias("one")), "least")
     # representatives are numbered by doc_id and key, as several texts may share their least doc_id
-    reps = cut(running_sum(cut(least.withColumn("one", F.lit(1)), "representatives"), [], ["least_doc", "key"], "one", "rep").drop("one"), "representatives")
+    reps = cut(running_sum(least, [], ["least_doc", "key"], "one", "rep").drop("one"), "representatives")
+    drop_scratch(least)
     own = sketched.join(reps.select("key", "rep", F.col("least_doc").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
     entries = own.select("rep", "n", F.explode("bands").alias("h"))
     met = entries.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = cut(entries.join(met, "h"), "buckets")
     # the member that meets most others leads: the original of many edited copies does
     weight = buckets.groupBy("rep").agg((-F.sum("size")).alias("lead"))
-    buckets = cut(buckets.join(weight, "rep").select("h", "rep", "n", F.struct("lead", "rep").alias("rank")), "buckets")
-    wanted = cut(reps.join(buckets.select("rep").distinct(), "rep").select("key", "rep", F.col("least_doc").alias("doc_id")), "wanted")
+    groups = cut(buckets.join(weight, "rep").select(F.col("h").alias("id"), "rep", "n", "lead"), "groups")
+    wanted = cut(reps.join(weight.select("rep"), "rep").select("key", "rep", F.col("least_doc").alias("doc_id")), "wanted")
     made = known.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sequences, "key binary, seq binary").dropDuplicates(["key"])
     seqs = cut(made.join(wanted.select("key", "rep"), "key").select("rep", "seq"), "sequences")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        a = seqs.select(F.col("rep").alias("a"), F.col("seq").alias("seq_a"))
-        b = seqs.select(F.col("rep").alias("b"), F.col("seq").alias("seq_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(threshold), "a long, b long")
-
-    def candidates(hubs: DataFrame, members: DataFrame) -> DataFrame:
-        """Distinct pairs of a hub and another member whose lengths allow a link."""
-        p = members.join(hubs, "h").filter((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-        return p.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-    hub = F.min(F.struct("rank", "n")).alias("_hub")
-    as_hub = [F.col("_hub.rank.rep").alias("hub"), F.col("_hub.n").alias("hub_n")]
-    first = buckets.groupBy("h").agg(hub).select("h", *as_hub)
-    tested = cut(candidates(first, buckets), "pairs")
-    links = cut(compare(tested), "links")
-    comps = components(links)
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        split = rows.groupBy("h").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
-        return rows.join(split.drop("_high"), "h")
-
-    members = cut(still_open(placed(buckets)).withColumn("waits", F.col("comp") != F.col("_low")).drop("comp", "_low"), "open")
-    past = None  # the last hub of each bucket and slot
-    while True:
-        now = cut(still_open(placed(members)).drop("_low"), "open")
-        waiting = now.filter("waits").withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(SLOTS)))
-        if past is not None:
-            waiting = waiting.join(past, ["h", "slot"], "left").filter(F.col("past").isNull() | (F.col("rank") > F.col("past")))
-        hubs = cut(waiting.groupBy("h", "slot").agg(F.min(F.struct("rank", "n", "comp")).alias("_hub")), "hubs")
-        if not hubs.limit(1).count():
-            break
-        # a bucket without a hub has none that waits any more
-        active = cut(now.join(hubs.select("h").distinct(), "h", "left_semi"), "open")
-        members = active.drop("comp")
-        named = hubs.select("h", *as_hub, F.col("_hub.comp").alias("hub_comp"))
-        met = active.join(named, "h").filter((F.col("comp") != F.col("hub_comp")) & (F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        latest = hubs.select("h", "slot", F.col("_hub.rank").alias("past"))
-        past = cut(latest if past is None else latest.unionByName(past).groupBy("h", "slot").agg(F.max("past").alias("past")), "past")
-        if fresh.limit(1).count():
-            found = cut(compare(fresh), "links")
-            tested = cut(tested.unionByName(fresh), "tested")
-            if found.limit(1).count():
-                links = cut(links.unionByName(found), "links")
-                comps = components(links)
-        release(spark)
+    links, comps = linked_groups(groups, seqs, threshold)
+    drop_scratch(buckets, groups, wanted, seqs)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links_tested"))
-    linked = reps.select("rep", "least_doc").join(comps.withColumnRenamed("id", "rep"), "rep")
+    linked = reps.select("rep", "least_doc").join(comps.select(F.col("id").alias("rep"), "comp"), "rep")
     joined = linked.groupBy("comp").agg(F.min("least_doc").alias("class_id"), F.count("*").alias("members"))
     placed_in = skew_join(linked.select("rep", "comp"), joined, ["comp"], "members").select("rep", "class_id")
     named = reps.join(placed_in, "rep", "left").join(degree, "rep", "left")
     classes = named.select("key", F.coalesce("class_id", "least_doc").alias("class_id"), F.coalesce("n_links_tested", F.lit(0)).cast("long").alias("n_links_tested"), "copies")
     out = skew_join(sketched.select("doc_id", "digest", "key"), classes, ["key"], "copies").select("doc_id", "digest", "class_id", "n_links_tested")
     rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select("doc_id", text_digest().alias("digest"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links_tested"))
-    drop_scratch(seqs)
-    return out.unionByName(rest)
+    result = cut(out.unionByName(rest), "classes")
+    drop_scratch(sketched, reps, links, comps)
+    return result
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

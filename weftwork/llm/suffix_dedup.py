@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, drop_scratch, read_table, release, scratch_path, skew_join
+from weftwork.llm.common import read_table, skew_join
 from weftwork.llm.words import U64, mix
+from weftwork.operators.rounds import cut, drop_scratch, scratch_path
 
 SPAN = 50
 GRAM = 20
@@ -453,12 +454,9 @@ def _repeated_windows(distinct: DataFrame, parts: int) -> DataFrame:
 
     of = blocks.groupBy("block")
     n9 = cut(of.applyInArrow(ask9, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names9")
-    release(spark)
     n27 = cut(of.cogroup(n9.groupBy("block")).applyInArrow(ask27, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names27")
     drop_scratch(n9)
-    release(spark)
     bits = cut(of.cogroup(n27.groupBy("block")).applyInArrow(ask50, ask_type).groupBy("part").applyInArrow(_answer_docs, f"{name_type}, n long"), "smaller")
-    release(spark)
     answers = n27.withColumn("n", F.lit(None).cast("long")).unionByName(bits)
     out = cut(of.cogroup(answers.groupBy("block")).applyInArrow(masks, "k1 long, k2 long, mask binary"), "masks")
     drop_scratch(n27, bits)
@@ -523,7 +521,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     distinct = cut(owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n"), "distinct")
     whole, phrases = phrases, cut(phrases.drop("raw"), "phrases")
     drop_scratch(whole)
-    release(spark)
     masks = _repeated_windows(distinct.drop("n"), parts)
     known = distinct.select("k1", "k2", F.col("doc_id").alias("owner"), "n").join(masks, ["k1", "k2"], "left")
     met = skew_join(phrases, known.filter("n > 1 OR mask IS NOT NULL"), ["k1", "k2"], "n")
