@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import ASCII_SPACE, ascii_lower, read_table, skew_join
-from weftwork.operators.rounds import cut, scratch_path
+from weftwork.operators.rounds import cut, scratch_path, shuffles_end
 
 HASH = ["h1", "h2"]
 
@@ -44,7 +44,8 @@ class HashRuns:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        with shuffles_end(self.spark):
+            rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", scratch_path(self.spark, name)).saveAsTable(name)
         return name
 
     def tables(self) -> list[str]:

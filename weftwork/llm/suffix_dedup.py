@@ -18,8 +18,8 @@ Tasks hold blocks as packed arrays; Spark deals out, groups and joins the blocks
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import read_table, skew_join
 from weftwork.llm.words import U64, mix
-from weftwork.operators.rounds import cut, drop_scratch, scratch_path
+from weftwork.operators.rounds import cut, delete, drop_scratch, scratch_path, shuffles_end
 
 SPAN = 50
 GRAM = 20
 #: Bytes of files in a chunk of documents, and of phrases in a block, about.
 CHUNK, BLOCK = 4 << 20, 1 << 20
+#: Windows of a phrase at most.
+LONGEST = 2048
+#: Odd numbers and their inverses modulo 2**64.
+_BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 
 
 # --- packed arrays ---------------------------------------------------------------------------------
@@ -58,11 +62,19 @@ def _unpack(b: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(a) if ascending else a
 
 
-def _bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
-    """df as a scratch table whose buckets by `column` groupings and joins use as they lie."""
-    name = f"blocks_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, column).sortBy(column).option("path", scratch_path(df.sparkSession, name)).saveAsTable(name)
-    return df.sparkSession.table(name)
+class _Bucketed:
+    """A scratch table whose buckets by `column` groupings and joins use as they lie."""
+
+    def __init__(self, df: DataFrame, column: str, n: int):
+        self.spark, self.name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+        self.path = scratch_path(self.spark, self.name)
+        with shuffles_end(self.spark):
+            df.write.bucketBy(n, column).sortBy(column).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete(self.spark, self.path)
 
 
 # --- minimizers of a chunk -------------------------------------------------------------------------
@@ -141,7 +153,7 @@ def _codes(slices: list, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(code):
         return code, np.zeros(0, bool)
     doc = np.concatenate([doc_ids[first + s.owner] for first, s in slices])
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code, doc = code[order], doc[order]
     at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     return code[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
@@ -178,6 +190,49 @@ _BITS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("bits", pa.bina
 _PHRASES = pa.schema([("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("raw", pa.binary())])
 
 
+def _binary(x: np.ndarray, start: np.ndarray, end: np.ndarray, given: np.ndarray) -> pa.Array:
+    """x[start:end] for each row that is given, null for the others."""
+    size = np.where(given, end - start, 0)
+    ends = np.cumsum(size)
+    data = x[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+    bits = np.packbits(given, bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [pa.py_buffer(bits), pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _cut_up(s: _Slice, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the runs `on` of a slice as phrases, from start to end.
+
+    Phrases end where adjoining runs end, where 8-grams hash to a rare value, and at LONGEST windows where none does.
+    """
+    hs, he, owner = s.start[on], s.end[on], s.owner[on]
+    new = np.append(True, (he[:-1] != hs[1:]) | (owner[1:] != owner[:-1]))
+    last = np.append(new[1:], True)
+    begin, stop = hs[new], he[last]
+    at = np.flatnonzero(mix(_gram_hashes(s.x, 8)) & U64(127) == 0)
+    at = at[np.diff(at, prepend=-99) >= 16]  # dense cuts, as of periodic text, are left out
+    run = np.searchsorted(begin, at, side="right") - 1
+    at = at[(run >= 0) & (at < stop[run])]
+    starts = np.union1d(begin, at)
+    ends = np.minimum(np.append(starts[1:], len(s.x)), stop[np.searchsorted(stop, starts, side="right")])
+    parts = -(-(ends - starts) // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, ends = np.repeat(starts, parts) + nth * LONGEST, np.repeat(ends, parts)
+    return starts, np.minimum(ends, starts + LONGEST)
+
+
+def _keys(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of x[start:end], from sums of hashed 8-grams."""
+    grams, out = _gram_hashes(x, 8), []
+    for base, inverse in _BASES:
+        power, back = np.full(len(x), base, U64), np.full(len(x), inverse, U64)
+        power[0] = back[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(back, out=back)
+        sums = np.append(U64(0), np.cumsum(mix(grams ^ U64(base)) * power[: len(grams)]))
+        out.append(mix((sums[end - 7] - sums[start]) * back[start] + (end - start).astype(U64)).view(np.int64))
+    return out
+
+
 def _phrases(parts: int):
     """Windows that may repeat, as phrases. `raw`, the bytes with overhang, is given once a phrase and chunk, with its smallest document."""
 
@@ -190,49 +245,24 @@ def _phrases(parts: int):
         for j, raw in zip(bits["part"].to_pylist(), bits["bits"].to_pylist(), strict=True):
             a, b = edges[j], edges[j + 1]
             hot[a:b] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
-        found: dict[bytes, int] = {}
-        rows: dict[str, list] = {n: [] for n in ("row", "doc_id", "s", "e", "key", "raw")}
+        found, at = [], 0
         for first, s in slices:
-            on = hot[np.searchsorted(codes, s.code)] if len(codes) else np.zeros(0, bool)
-            if not on.any():
-                continue
-            n = len(s.x)
-            mask = np.zeros(n + 1, np.int8)
-            np.add.at(mask, s.start[on], 1)
-            np.add.at(mask, s.end[on], -1)
-            may = np.cumsum(mask[:n]) > 0
-            # runs of windows end where a document's windows end
-            owner_cut = np.zeros(n, bool)
-            owner_cut[s.bounds[:-1][s.bounds[:-1] < n]] = True
-            begin = np.flatnonzero(may & (~np.append(False, may[:-1]) | owner_cut))
-            stop = np.flatnonzero(may & (~np.append(may[1:], False) | np.append(owner_cut[1:], True))) + 1
-            if n >= 8:
-                at = np.flatnonzero(mix(_gram_hashes(s.x, 8)) & U64(63) == 0)
-                at = at[np.diff(at, prepend=-99) >= 16]  # dense cuts, as of periodic text, are left out
-                at = at[may[at]]
-            else:
-                at = np.zeros(0, np.int64)
-            starts = np.union1d(begin, at)
-            ends = np.append(starts[1:], n)
-            ends = np.minimum(ends, stop[np.searchsorted(stop, starts, side="right")])
-            docs = first + np.searchsorted(s.bounds, starts, side="right") - 1
-            base = s.bounds[docs - first]
-            buffer = s.x.tobytes()
-            for p, q, d, b in zip(starts.tolist(), ends.tolist(), docs.tolist(), base.tolist(), strict=True):
-                raw = buffer[p : q + SPAN - 1]
-                key = hashlib.blake2b(raw, digest_size=16).digest()
-                doc = int(doc_ids[d])
-                i = found.get(key)
-                if i is None or doc < rows["doc_id"][i]:
-                    if i is not None:
-                        rows["raw"][i] = None
-                    found[key] = len(rows["s"])
-                else:
-                    raw = None
-                for c, v in (("row", int(row_ids[d])), ("doc_id", doc), ("s", p - b), ("e", q - b), ("key", key), ("raw", raw)):
-                    rows[c].append(v)
-        keys = np.frombuffer(b"".join(rows["key"]), np.int64).reshape(-1, 2)
-        return pa.table({"chunk": [chunk["chunk"][0].as_py()] * len(rows["s"]), "k1": keys[:, 0], "k2": keys[:, 1]} | {c: rows[c] for c in ("row", "doc_id", "s", "e", "raw")}, schema=None).select(_PHRASES.names).cast(_PHRASES)
+            on = np.flatnonzero(hot[np.searchsorted(codes, s.code)]) if len(codes) else np.zeros(0, np.int64)
+            if len(on):
+                start, end = _cut_up(s, on)
+                nth = np.searchsorted(s.bounds, start, side="right") - 1
+                base = s.bounds[nth]
+                found.append([at + start, start - base, end - base, first + nth, *_keys(s.x, start, end + SPAN - 1)])
+            at += len(s.x)
+        if not found:
+            return _PHRASES.empty_table()
+        place, start, end, nth, k1, k2 = (np.concatenate(c) for c in zip(*found, strict=True))
+        doc = doc_ids[nth]
+        order = np.lexsort((doc, k2, k1))
+        leads = np.zeros(len(order), bool)
+        leads[order[np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))]] = True
+        raw = _binary(np.concatenate([s.x for _, s in slices]), place, place + end - start + SPAN - 1, leads)
+        return pa.table([pa.array(np.full(len(k1), chunk["chunk"][0].as_py())), row_ids[nth], doc, start, end, k1, k2, raw], schema=_PHRASES)
 
     return phrases
 
@@ -259,23 +289,37 @@ class _Block:
         return np.flatnonzero((self.off % 3 != 0) & (self.left >= depth))
 
 
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts key, and the rank of each value among the distinct ones."""
+    order = np.argsort(key)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    return order, rank
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts rows of columns of whole numbers from 0, and the rank of each row among the distinct ones. Columns are put into
+    one key of 63 bits, as ranks where they are too wide."""
+    key = columns[0]
+    for c in columns[1:]:
+        bits = int(c.max(initial=0)).bit_length()
+        if int(key.max(initial=0)).bit_length() + bits > 63:
+            key = _dense(key)[1]
+        if int(key.max(initial=0)).bit_length() + bits > 63:
+            c = _dense(c)[1]
+            bits = int(c.max(initial=0)).bit_length()
+        key = key << bits | c
+    return _dense(key)
+
+
 class _Sorted:
     """The distinct keys of some positions of a block in ascending order. Keys are columns that come with their
     width in bits; first: a position's index for each distinct key; rank: of each position."""
 
     def __init__(self, at: np.ndarray, columns: list[tuple[np.ndarray, int]]):
         self.at = at
-        if sum(width for _, width in columns) <= 63:
-            key = np.zeros(len(at), np.int64)
-            for c, width in columns:
-                key = key << width | c
-            _, self.first, self.rank = np.unique(key, return_index=True, return_inverse=True)
-            return
-        order = np.lexsort([c for c, _ in columns][::-1])
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c, _ in columns])
-        self.first, self.rank = order[new], np.empty(len(order), np.int64)
-        self.rank[order] = np.cumsum(new) - 1
+        order, self.rank = _distinct([c for c, _ in columns])
+        self.first = order[np.flatnonzero(np.diff(self.rank[order], prepend=-1))]
 
     def spread(self, size: int) -> tuple[np.ndarray, int]:
         """The rank at each position of the block, and its width in bits."""
@@ -328,17 +372,6 @@ def _fifty(b: _Block, twenty_seven: _Sorted, shared: np.ndarray) -> tuple[_Sorte
     return s, [v[s.first] for v in c]
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts rows of columns, and the rank of each row among the distinct ones."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank
-
-
 _KEYS = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("c1", pa.binary()), ("c2", pa.binary()), ("c3", pa.binary()), ("docs", pa.binary())])
 _NAMES = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("names", pa.binary())])
 
@@ -389,13 +422,9 @@ def _returned(names: pa.Table) -> np.ndarray:
 _MASKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mask", pa.binary())])
 
 
-def _repeated_windows(distinct: DataFrame, parts: int) -> DataFrame:
-    """(k1, k2, mask): for each distinct phrase with such windows, as bits, those that a smaller document than its own holds too."""
-    spark = distinct.sparkSession
-    size = distinct.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
-    count = max(parts, -(-size // BLOCK))
-    blocks = _bucketed(distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(count)).cast("long")), "block", parts)
-    # ranges of keys from at most 2000 phrases; they only decide how evenly the work is dealt
+def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
+    """(k1, k2, mask): for each distinct phrase of blocks(block, k1, k2, doc_id, raw) with such windows, as bits, those that a smaller document than its own holds too."""
+    # ranges of keys from at most 2000 phrases, each of LONGEST bytes and an overhang at most; they only decide how evenly the work is dealt
     some = [np.frombuffer(bytes(r["raw"]), np.uint8).astype(np.int64) for r in blocks.select("raw").orderBy(F.xxhash64("raw")).limit(2000).collect()]
     first = np.sort(np.concatenate([x[:-2] << 16 | x[1:-1] << 8 | x[2:] for x in some])) if some else np.zeros(1, np.int64)
     splits9 = np.unique(first[(np.arange(1, parts) * len(first)) // parts])
@@ -470,28 +499,31 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _remove(chunk: pa.Table, ranges: pa.Table) -> pa.Table:
     """Each document without the bytes of its removed windows: all of s to e, or those that mask tells."""
-    by_row: dict[int, list] = {}
-    for row, s, e, mask in zip(*(ranges[c].to_pylist() for c in ("row", "s", "e", "mask")), strict=True):
-        by_row.setdefault(row, []).append((s, e, mask))
-    out: dict[str, list] = {f.name: [] for f in _OUT}
-    texts = chunk["text"].cast(pa.binary()).to_pylist() if chunk.num_rows else []
-    for doc, row, raw in zip(chunk["doc_id"].to_pylist() if texts else [], chunk["row"].to_pylist() if texts else [], texts, strict=True):
-        removed = spans = 0
-        kept = raw
-        if row in by_row:
-            windows = np.zeros(len(raw) - SPAN + 1, bool)
-            for s, e, mask in by_row[row]:
-                windows[s:e] |= True if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=e - s).astype(bool)
-            step = np.zeros(len(raw) + 1, np.int32)
-            at = np.flatnonzero(windows)
-            step[at] += 1
-            step[at + SPAN] -= 1
-            gone = np.cumsum(step[:-1]) > 0
-            removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        for c, v in (("doc_id", doc), ("n_bytes", len(raw)), ("n_removed", removed), ("n_spans", spans), ("kept", kept)):
-            out[c].append(v)
-    return pa.table(out, schema=_OUT)
+    if not chunk.num_rows:
+        return _OUT.empty_table()
+    chunk = chunk.sort_by("row")
+    texts, rows = chunk["text"].cast(pa.binary()).combine_chunks(), chunk["row"].to_numpy()
+    bounds = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))).astype(np.int64)
+    x = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    base = bounds[np.searchsorted(rows, ranges["row"].to_numpy())]
+    start, end, masked = base + ranges["s"].to_numpy(), base + ranges["e"].to_numpy(), pc.is_valid(ranges["mask"]).to_numpy()
+    step = np.zeros(len(x) + 1, np.int32)
+    np.add.at(step, start[~masked], 1)
+    np.add.at(step, end[~masked] + SPAN - 1, -1)
+    for i in np.flatnonzero(masked):
+        at = start[i] + np.flatnonzero(np.unpackbits(np.frombuffer(ranges["mask"][int(i)].as_py(), np.uint8), count=int(end[i] - start[i])))
+        step[at] += 1
+        step[at + SPAN] -= 1
+    gone = np.cumsum(step[:-1]) > 0
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    heads = bounds[:-1][bounds[:-1] < len(x)]
+    opens[heads] = gone[heads]
+    lost, spans = (np.append(0, np.cumsum(c))[bounds] for c in (gone, opens))
+    kept = bounds - lost
+    data = pa.py_buffer(np.ascontiguousarray(x[~gone]))
+    left = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(kept.astype(np.int64)), data]).cast(pa.binary())
+    return pa.table([chunk["doc_id"], np.diff(bounds), np.diff(lost), np.diff(spans), left], schema=_OUT)
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -500,12 +532,13 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(text.rstrip("kmg")) * unit
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of every row of docs.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id; null text
     is empty; rows that repeat a doc_id are one document in this respect and each keeps its row; rows without
     doc_id stay as they are and count for no other. An empty table gives an empty result. Other columns are not read.
+    The result, or what `finish` makes of it, is a scratch table; all that led to it is deleted.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -513,25 +546,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     within = max(1, -(-_split_bytes(spark) // CHUNK))
     numbered = bare.filter(F.col("doc_id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     chunked = numbered.withColumn("chunk", F.spark_partition_id().cast("long") * within + F.pmod(F.xxhash64("doc_id"), F.lit(within)))
-    chunks = _bucketed(chunked, "chunk", parts)
-    of = chunks.groupBy("chunk")
+    chunks = _Bucketed(chunked, "chunk", parts)
+    of = chunks.rows.groupBy("chunk")
     bits = of.applyInArrow(_ask_codes(parts), "part int, sender long, keys binary").groupBy("part").applyInArrow(_answer_codes, "chunk long, part int, bits binary")
-    phrases = cut(of.cogroup(bits.groupBy("chunk")).applyInArrow(_phrases(parts), "chunk long, row long, doc_id long, s long, e long, k1 long, k2 long, raw binary"), "phrases")
-    owners = phrases.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", F.col("raw").isNull().alias("none"), "raw")).alias("_own"), F.count("*").alias("n"))
-    distinct = cut(owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n"), "distinct")
-    whole, phrases = phrases, cut(phrases.drop("raw"), "phrases")
+    whole = cut(of.cogroup(bits.groupBy("chunk")).applyInArrow(_phrases(parts), "chunk long, row long, doc_id long, s long, e long, k1 long, k2 long, raw binary"), "phrases")
+    size = whole.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    owners = whole.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", F.col("raw").isNull().alias("none"), "raw")).alias("_own"), F.count("*").alias("n"))
+    distinct = owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n")
+    blocks = _Bucketed(distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(max(parts, -(-size // BLOCK)))).cast("long")), "block", parts)
+    phrases = cut(whole.drop("raw"), "phrases")
     drop_scratch(whole)
-    masks = _repeated_windows(distinct.drop("n"), parts)
-    known = distinct.select("k1", "k2", F.col("doc_id").alias("owner"), "n").join(masks, ["k1", "k2"], "left")
-    met = skew_join(phrases, known.filter("n > 1 OR mask IS NOT NULL"), ["k1", "k2"], "n")
+    masks = _repeated_windows(blocks.rows.drop("n"), parts)
+    known = cut(blocks.rows.select("k1", "k2", F.col("doc_id").alias("owner"), "n").join(masks, ["k1", "k2"], "left").filter("n > 1 OR mask IS NOT NULL"), "known")
+    blocks.drop()
+    met = skew_join(phrases, known, ["k1", "k2"], "n")
+    # a copy of a phrase lies in the same run as its owner's, so a smaller document than the copy's is in the run of each of its windows
     ranges = met.filter("doc_id > owner OR mask IS NOT NULL").select("chunk", "row", "s", "e", F.when(F.col("doc_id") == F.col("owner"), F.col("mask")).alias("mask"))
-    out = of.cogroup(ranges.groupBy("chunk")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    removed = of.cogroup(ranges.groupBy("chunk")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     rest = bare.filter(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    return out.unionByName(rest)
+    out = cut(finish(removed.unionByName(rest)), "repeats_removed")
+    chunks.drop()
+    drop_scratch(phrases, masks, known)
+    return out
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    def digest(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), digest)
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
