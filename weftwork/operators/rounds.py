@@ -46,7 +46,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to a scratch table and read it back: the lineage ends there and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, label)
     with shuffles_end(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
