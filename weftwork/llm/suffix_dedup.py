@@ -8,7 +8,7 @@ distances, so their first 50 bytes are ordered by two names and two bytes. The r
 are adjacent, and the smallest document of each run is kept.
 
 Three exact reductions come first, as sorting every suffix of a corpus is out of reach. (1) Equal 50-byte
-strings have equal minimizers, so a string whose least hashed 20-gram occurs in one document only
+strings have equal minimizers, so a string whose least hashed 28-gram occurs in one document only
 cannot repeat. (2) What remains is cut at places that its content decides into phrases with an overhang of 49
 bytes; equal phrases are sorted once, for the smallest document that holds them. (3) Names are asked for
 once for each distinct key of a block, so no long repeat makes a hot key.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from weftwork.llm.words import U64, mix
 from weftwork.operators.rounds import cut, delete, drop_scratch, scratch_path, shuffles_end
 
 SPAN = 50
-GRAM = 20
+GRAM = 28
 #: Bytes of files in a chunk of documents, and of phrases in a block, about.
 CHUNK, BLOCK = 4 << 20, 1 << 20
 #: Windows of a phrase at most.
@@ -44,20 +45,23 @@ _BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xD1342543DE
 # --- packed arrays ---------------------------------------------------------------------------------
 
 
-def _pack(a: np.ndarray, ascending: bool = False) -> bytes:
-    """Compressed byte planes of a 64-bit array, of its steps if it ascends."""
+@lru_cache(maxsize=1)
+def _zstd() -> tuple:
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed byte planes of a 64-bit array, of its steps if it ascends."""
     a = np.ascontiguousarray(a).astype(np.int64)
     if ascending:
         a = np.diff(a, prepend=0)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(b: bytes, ascending: bool = False) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(b), np.uint8).reshape(8, -1)
     a = np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
     return np.cumsum(a) if ascending else a
 
@@ -120,14 +124,15 @@ class _Slice:
             self.code = np.zeros(0, np.int64)
             return
         least = _least(_gram_hashes(self.x, GRAM), SPAN - GRAM + 1)
-        owner = np.repeat(np.arange(len(raws)), np.diff(self.bounds))[:n]
-        valid = np.arange(n) + SPAN <= self.bounds[owner + 1]
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
+        # a document's windows end 49 bytes before it does
+        new = np.append(True, least[1:] != least[:-1])
+        edges = np.concatenate([self.bounds, np.maximum(self.bounds[1:] - SPAN + 1, self.bounds[:-1])])
+        new[edges[edges < n]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], n)
-        on = valid[start]
-        self.start, self.end, self.owner = start[on], end[on], owner[start[on]]
+        owner = np.searchsorted(self.bounds, start, side="right") - 1
+        on = start + SPAN <= self.bounds[owner + 1]
+        self.start, self.end, self.owner = start[on], end[on], owner[on]
         h = mix(least[self.start])
         # part by the high bits, key by the low 40; what else falls on one code is only looked at in vain
         self.code = (((h >> U64(40)) * U64(parts) >> U64(24)) << U64(40) | (h & U64(2**40 - 1))).astype(np.int64)
@@ -283,10 +288,11 @@ class _Block:
         self.phrase = np.repeat(np.arange(len(raws)), size)
         self.off = np.arange(len(self.phrase)) - self.start[self.phrase]
         self.left = size[self.phrase] - self.off
+        self.kind = (self.off % 3).astype(np.int8)
         self.doc = self.table["doc_id"].to_numpy()
 
     def sampled(self, depth: int) -> np.ndarray:
-        return np.flatnonzero((self.off % 3 != 0) & (self.left >= depth))
+        return np.flatnonzero((self.kind != 0) & (self.left >= depth))
 
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,9 +367,9 @@ def _fifty(b: _Block, twenty_seven: _Sorted, shared: np.ndarray) -> tuple[_Sorte
     r, width = twenty_seven.spread(len(b.x))
     keeps = np.zeros(len(b.x), bool)
     keeps[twenty_seven.at] = shared[twenty_seven.rank]
-    x, at, columns = b.x.astype(np.int64), [], []
+    x, at, columns, whole = b.x.astype(np.int64), [], [], b.left >= SPAN
     for kind, (classes, d1, d2, y1, y2) in enumerate(_COVERS):
-        p = np.flatnonzero(np.isin(b.off % 3, classes) & (b.left >= SPAN))
+        p = np.flatnonzero(((b.kind == classes[0]) | (b.kind == classes[1])) & whole)
         p = p[keeps[p + d1] & keeps[p + d2]]
         at.append(p)
         columns.append([r[p + d1], r[p + d2], kind << 16 | x[p + y1] << 8 | x[p + y2]])
@@ -424,8 +430,10 @@ _MASKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mask", pa.binary()
 
 def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
     """(k1, k2, mask): for each distinct phrase of blocks(block, k1, k2, doc_id, raw) with such windows, as bits, those that a smaller document than its own holds too."""
-    # ranges of keys from at most 2000 phrases, each of LONGEST bytes and an overhang at most; they only decide how evenly the work is dealt
-    some = [np.frombuffer(bytes(r["raw"]), np.uint8).astype(np.int64) for r in blocks.select("raw").orderBy(F.xxhash64("raw")).limit(2000).collect()]
+    # ranges of keys from the beginnings of about 2000 phrases; they only decide how evenly the work is dealt
+    share = min(1.0, 2000 / max(blocks.count(), 1))
+    some = blocks.filter(F.pmod(F.xxhash64("k1"), F.lit(1 << 40)) < int(share * (1 << 40))).select(F.substring("raw", 1, 256).alias("raw")).limit(4000).collect()
+    some = [np.frombuffer(bytes(r["raw"]), np.uint8).astype(np.int64) for r in some]
     first = np.sort(np.concatenate([x[:-2] << 16 | x[1:-1] << 8 | x[2:] for x in some])) if some else np.zeros(1, np.int64)
     splits9 = np.unique(first[(np.arange(1, parts) * len(first)) // parts])
     ask_type, name_type = "part int, sender long, c1 binary, c2 binary, c3 binary, docs binary", "block long, part int, names binary"
