@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import ASCII_SPACE, ascii_lower, read_table, skew_join
-from weftwork.operators.rounds import cut, scratch_path, shuffles_end
+from weftwork.llm.common import ASCII_SPACE, ascii_lower, read_table, skew_join, unused
+from weftwork.operators.rounds import cut, delete, drop_scratch, scratch_path, shuffles_end
 
 HASH = ["h1", "h2"]
 
@@ -41,11 +41,13 @@ class HashRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, name)
         with shuffles_end(self.spark):
-            rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", scratch_path(self.spark, name)).saveAsTable(name)
+            rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def tables(self) -> list[str]:
@@ -72,11 +74,16 @@ class HashRuns:
             put, old, level = self._write(merged.repartition(self.buckets, *HASH)), self.levels[level], level + 1
             self.levels[level - 1] = []
             for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+                self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        delete(self.spark, self.paths.pop(name))
 
     def drop(self) -> None:
         for name in self.tables():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(name)
+        self.levels = []
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, buckets: int | None = None) -> DataFrame:
@@ -95,8 +102,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4,
     h1, h2 = _hashes(F.col("key"))
     bounds = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     batch = sum(((F.col("doc_id") > int(x)).cast("int") for x in sorted(set(bounds))), F.lit(0))
-    lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
-    lines = cut(lines.filter(F.length("key") >= min_chars).select("doc_id", batch.alias("batch"), h1.alias("h1"), h2.alias("h2")), "lines")
+    # a line is known by its document, the hash of its text (several texts may share a doc_id) and its position
+    lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    lines = cut(lines.select("doc_id", "text_hash", "pos", batch.alias("batch"), h1.alias("h1"), h2.alias("h2")), "lines")
     runs, repeated = HashRuns(spark, buckets, fanout), []
     for b in range(len(set(bounds)) + 1):
         keys = lines.filter(F.col("batch") == b).groupBy(*HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
@@ -105,22 +114,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4,
         seen = keys.join(new, HASH, "left_anti").withColumn("owner", F.lit(None).cast("long"))
         repeated.append(cut(seen.unionByName(new.filter("owner < _last")).select(*HASH, F.lit(b).alias("batch"), "owner", "n"), "repeated"))
         runs.add(new.select(*HASH, "owner"))
+        drop_scratch(keys, new)
     runs.drop()
-    repeated = reduce(DataFrame.unionByName, repeated)
+    tables = repeated
+    repeated = reduce(DataFrame.unionByName, tables)
     extra = skew_join(lines, repeated, [*HASH, "batch"], "n").filter("owner IS NULL OR doc_id > owner")
-    drops = extra.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("_drops"))
-    joined = docs.drop("n_lines", "n_dropped").join(drops, "doc_id", "left")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        a, b = _hashes(key)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_drops"), F.struct(a.alias("h1"), b.alias("h2")))
-
-    kept = F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(F.filter(F.col("_lines"), stays))
-    out = joined.withColumn("_lines", _lines(F.col("text"))).withColumn("_kept", kept)
-    out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return out.withColumn("text", text).drop("_lines", "_kept", "_drops").select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+    rest = docs.drop("n_lines", "n_dropped")
+    hashed, gone, split = (unused(rest.columns, name) for name in ("_text_hash", "_gone", "_split"))
+    drops = cut(extra.groupBy("doc_id", F.col("text_hash").alias(hashed)).agg(F.array_sort(F.collect_set("pos")).alias(gone)), "drops")
+    drop_scratch(lines, *tables)
+    out = rest.withColumn(hashed, F.xxhash64("text")).join(drops, ["doc_id", hashed], "left").withColumn(split, _lines(F.col("text")))
+    # what stays are the runs of lines between those that go
+    before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(F.col(gone), F.array(F.size(split)))
+    kept = F.array_join(F.flatten(F.zip_with(before, after, lambda p, q: F.slice(F.col(split), p + 2, q - p - 1))), "\n")
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    return out.select(*rest.columns, F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
