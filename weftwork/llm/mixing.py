@@ -17,7 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import cut, read_table, running_sum, word_count
+from weftwork.llm.common import read_table, running_sum, unused, word_count
+from weftwork.operators.rounds import cut
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of the query by level and value; other values weigh 1. Sources weigh 1 + their number mod 3.
@@ -88,22 +89,28 @@ def choose(docs: DataFrame, weights: Sequence[Mapping[str, int]] = WEIGHTS, tota
     bare = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("tokens"))
     bare = cut(bare.filter("tokens > 0"), "tokens")
     leaves = leaf_budgets(bare, weights, total, epochs).withColumn("full_epochs", F.expr("budget div supply")).withColumn("last", F.expr("budget % supply"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    queued = running_sum(bare.withColumn("_key", key), LEVELS, ["_key", "doc_id", "tokens", "text_hash"], "tokens", "_before").drop("_key")
     # a leaf may hold a third of all rows; leaves are few, so their table is broadcast where it is small and AQE splits the rest
-    out = queued.join(leaves.select(*LEVELS, "budget", "full_epochs", "last"), list(LEVELS))
+    drawn = bare.join(leaves.select(*LEVELS, "budget", "full_epochs", "last"), list(LEVELS))
+    # whole epochs take every document in any order; the partial one, number full_epochs, has a shuffle of its own
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("full_epochs"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    out = running_sum(drawn.withColumn("_key", key), LEVELS, ["_key", "doc_id", "tokens", "text_hash"], "tokens", "_before")
     out = out.withColumn("part_tokens", F.greatest(F.lit(0), F.least("tokens", F.col("last") - F.col("_before"))).cast("long"))
     return out.filter("full_epochs > 0 OR part_tokens > 0").select("doc_id", "text_hash", *LEVELS, "tokens", "budget", "full_epochs", "part_tokens")
 
 
 def mix(docs: DataFrame, weights: Sequence[Mapping[str, int]] = WEIGHTS, total: int | None = None, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs in the mixture, each as often as it is taken; a document that the last prefix ends in stays whole."""
+    """The rows of docs in the mixture, each as often as it is taken; a document that the last prefix ends in stays whole.
+
+    Rows with equal doc_id and text are taken as one, which has the other columns of the first by their JSON.
+    """
     chosen = choose(docs, weights, total, epochs, seed)
-    times = chosen.groupBy("doc_id", "text_hash").agg(F.sum(F.col("full_epochs") + (F.col("part_tokens") > 0).cast("long")).cast("int").alias("_times"))
-    times = times.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_hash").alias("_row"), "_times")
-    keyed = docs.withColumn("_row", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").alias("text_hash")))
-    one = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).filter("_nth = 1")
-    return one.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    row, times, nth, copy = (unused(docs.columns, name) for name in ("_row", "_times", "_nth", "_copy"))
+    taken = chosen.groupBy("doc_id", "text_hash").agg(F.sum(F.col("full_epochs") + (F.col("part_tokens") > 0).cast("long")).cast("int").alias(times))
+    taken = taken.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_hash").alias(row), times)
+    keyed = docs.withColumn(row, F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").alias("text_hash")))
+    others = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias(nth)))
+    one = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(others))).filter(F.col(nth) == 1)
+    return one.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +152,7 @@ WITH bare AS (
 ), {_level_sql("l1", [], "domain", WEIGHTS[0], "root")}, {_level_sql("l2", ["domain"], "lang", WEIGHTS[1], "l1")}, {_level_sql("l3", ["domain", "lang"], "source", WEIGHTS[2], "l2")},
 queued AS (
   SELECT docs.*, given AS budget, given // supply AS full_epochs, given % supply AS last,
-         sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || doc_id), doc_id, tokens) - tokens AS before
+         sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || (given // supply) || ':' || doc_id), doc_id, tokens) - tokens AS before
   FROM docs JOIN leaves USING (domain, lang, source) JOIN l3 USING (domain, lang, source)
 )
 SELECT doc_id, domain, lang, source, tokens, budget::BIGINT AS budget, full_epochs::BIGINT AS full_epochs, greatest(0, least(tokens, last - before))::BIGINT AS part_tokens
