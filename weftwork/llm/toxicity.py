@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain over sparse word and prefix features.
 
-The chain predicts low_quality, then toxic, then severe. Each link is a linear (logistic) model over the
+The chain predicts low_quality, then toxic, the two categories that are labelled. Each link is a linear (logistic) model over the
 presence of selected features and the probabilities of the links before it. In training those earlier
 probabilities are out of fold: the link that gives them has not seen the document.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftwork.llm.common import read_table
 from weftwork.llm.words import U64, Words, slices
 
-CATEGORIES = ("low_quality", "toxic", "severe")
+CATEGORIES = ("low_quality", "toxic")
 #: Bounds of the labelled sample that training reads: texts of each toxic value, and code points of a text.
 SAMPLE_EACH, SAMPLE_CHARS = 2000, 20_000
 #: Selected features of a link, and folds.
@@ -26,8 +26,7 @@ SELECTED, FOLDS = 256, 5
 #: Least signed root of chi-square of a selected feature: among many thousands of features lower values come by chance.
 LEAST_Z = 4.5
 PREFIXES = (2, 3, 4, 5, 6, 7, 8, 9, 10)
-#: Probability from which a document counts as toxic. Where few toxic examples are known, probabilities of toxic
-#: texts are drawn down, and 0.5 misses more.
+#: Probability from which a document counts as toxic where no labels tell (see best_threshold).
 THRESHOLD = 0.3
 
 
@@ -119,11 +118,23 @@ class Link:
         return _sigmoid(np.hstack([present, earlier]) @ self.beta[:-1] + self.beta[-1])
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The probability from which to say yes: the one with the highest F2 (a miss counts as four false alarms), in the middle of its gap."""
+    if not y.any() or y.all():
+        return THRESHOLD
+    order = np.argsort(-p, kind="stable")
+    p, yes, no = p[order], np.cumsum((w * y)[order]), np.cumsum((w * (1 - y))[order])
+    ends = np.append(p[1:] < p[:-1], True)
+    f2 = np.where(ends, 5 * yes / (5 * yes + 4 * (yes[-1] - yes) + no), 0)
+    k = int(f2.argmax())
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
+
+
 class Chain:
-    """`names` with the links that predict them, in order."""
+    """`names` with the links that predict them, in order, and the probability from which a text counts as toxic."""
 
-    def __init__(self, names: Sequence[str], links: list[Link]):
-        self.names, self.links = tuple(names), links
+    def __init__(self, names: Sequence[str], links: list[Link], threshold: float = THRESHOLD):
+        self.names, self.links, self.threshold = tuple(names), links, threshold
         self.vocab = np.unique(np.concatenate([link.vocab for link in links])) if links else np.zeros(0, U64)
         self.columns = [np.searchsorted(self.vocab, link.vocab) for link in links]
         self.low = np.zeros(1 << 16, bool)
@@ -146,18 +157,11 @@ class Chain:
 
 
 def train(texts: Sequence[str], toxic: np.ndarray, quality: np.ndarray, weights: np.ndarray, seed: int = 7) -> Chain:
-    """The chain from labelled texts. `weights` undo the sampling of the classes.
-
-    The labels hold no degree of toxicity: a toxic text is severe if it holds at least as many features
-    that are typical of toxic texts as the median toxic text.
-    """
-    sets = text_features(texts)
-    typical = presence(sets, _select(sets, toxic)).sum(1)
-    median = np.median(typical[toxic == 1]) if toxic.any() else 0
-    targets = [1 - quality, toxic, toxic * (typical >= max(median, 1))]
+    """The chain from labelled texts, with a threshold from out-of-fold probabilities. `weights` undo the sampling of the classes."""
+    sets, threshold = text_features(texts), THRESHOLD
     fold = np.random.default_rng(seed).permutation(len(sets)) % FOLDS
     earlier, links = np.zeros((len(sets), 0)), []
-    for y in targets:
+    for name, y in zip(CATEGORIES, (1 - quality, toxic), strict=True):
         links.append(Link(sets, earlier, y, weights))
         out = np.zeros(len(sets))
         for f in range(FOLDS if len(sets) >= 2 * FOLDS else 0):
@@ -165,7 +169,9 @@ def train(texts: Sequence[str], toxic: np.ndarray, quality: np.ndarray, weights:
             link = Link([sets[i] for i in fit], earlier[fit], y[fit], weights[fit])
             out[rest] = link.predict(presence([sets[i] for i in rest], link.vocab), earlier[rest])
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(CATEGORIES, links)
+        if name == "toxic" and len(sets) >= 2 * FOLDS:
+            threshold = best_threshold(out, y, weights)
+    return Chain(CATEGORIES, links, threshold)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
@@ -187,11 +193,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
         chain = train([r["text"] for r in rows], toxic, quality, weights / weights.mean() if len(rows) else weights)
         yield pa.RecordBatch.from_pydict({"chain": [pickle.dumps(chain)]})
 
-    sample = None
-    for value in (0, 1):
-        some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH)
-        read = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-        sample = read if sample is None else sample.unionByName(read)
+    some = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for value in (0, 1)]
+    read = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    sample = read.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
     fitted = sample.repartition(1).mapInArrow(fit, "chain binary").first()
     return pickle.loads(fitted["chain"]) if fitted else train([], np.zeros(0), np.zeros(0), np.zeros(0))
 
@@ -214,10 +218,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the probabilities of the chain, and toxic_pred: whether that of toxic is THRESHOLD or more."""
+    """doc_id, the probabilities of the chain, and toxic_pred: whether that of toxic reaches the chain's threshold."""
     docs = read_table(spark, sf_dir, "documents")
     chain = fit_chain(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs.select("doc_id", "text"), chain).select("doc_id", *(F.col(n).alias(f"p_{n}") for n in CATEGORIES), (F.col("toxic") >= THRESHOLD).alias("toxic_pred"))
+    return score(docs.select("doc_id", "text"), chain).select("doc_id", *(F.col(n).alias(f"p_{n}") for n in CATEGORIES), (F.col("toxic") >= chain.threshold).alias("toxic_pred"))
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}
