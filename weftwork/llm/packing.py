@@ -27,6 +27,8 @@ from weftwork.llm.words import slices
 END, SEQUENCE = 2, 4096
 #: Sequences of a window.
 WINDOW = 64
+#: Target token proportions of the query by source, which are not those of the corpus: queues run dry one after the other.
+WEIGHTS: Mapping[str, int] = {f"src{k}": 1 + k % 3 for k in range(20)}
 
 
 class MixPlan:
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, weights: Mapping[str, int] | None = None, sequence: in
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(read_table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 QUERIES = {"op5_packing": op5_packing}
