@@ -52,6 +52,21 @@ def test_mixing(docs):
     assert mixing.choose(nothing(docs)).count() == 0
 
 
+def test_internal_names_may_clash(docs):
+    """Columns named like those that the operators add on the way pass through as they are."""
+    names = ["_lines", "_drops", "_kept", "_gone", "_split", "_text_hash", "_row", "_times", "_nth", "_copy"]
+    frame = docs.withColumns({c: F.lit(c) for c in names})
+    for got in (line_dedup.drop_repeated_lines(frame, batches=2), mixing.mix(frame)):
+        rows = got.collect()
+        assert rows and all(r[c] == c for r in rows for c in names)
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    text = "\n".join(f"line number {i} of many" for i in range(100_000))
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame([(1, text), (2, "first\n" + text + "\nlast")], "doc_id long, text string"), batches=1).collect()}
+    assert got[1].text == text and got[2].text == "first\nlast" and got[2].n_dropped == 100_000
+
+
 def test_language(docs):
     crf = language.fit_crf(docs)
     got = {(r.doc_id, r.text): r for r in language.identify(docs, crf).collect()}

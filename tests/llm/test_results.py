@@ -175,6 +175,30 @@ def test_weighted_windows_until_a_queue_is_dry():
     assert taken[-1] == [1000, 5000, 10] and all(x <= y for p, q in itertools.pairwise(taken) for x, y in zip(p, q, strict=True))
 
 
+def test_epochs_of_a_leaf_differ(spark):
+    """Half an epoch takes other documents than the half epoch after a whole one."""
+    docs = spark.createDataFrame([(i, f"a b c d {i}", "en", "src1") for i in range(100)], "doc_id long, text string, lang string, source string")
+    half, more = ({r.doc_id for r in mixing.choose(docs, ({}, {}, {}), total=n).filter("part_tokens > 0").collect()} for n in (250, 750))
+    assert len(half) == len(more) == 50 and half != more
+
+
+def test_threshold_is_where_f2_is_highest():
+    p, y = np.array([0.9, 0.8, 0.4, 0.2, 0.1]), np.array([1, 1, 1, 0, 0])
+    assert toxicity.best_threshold(p, y, np.ones(5)) == pytest.approx(0.3)
+    assert toxicity.best_threshold(p, np.zeros(5), np.ones(5)) == toxicity.THRESHOLD
+
+
+def test_query_windows_hold_their_weights_until_a_queue_is_dry(spark):
+    """op5's targets are not the corpus's shares."""
+    sf = "/root/testdata/sf0.01"
+    got = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), packing.WEIGHTS, window=2).toPandas()
+    by = got.assign(window=got["sequence_id"] // 2).groupby(["window", "source"])["length"].sum()
+    total = sum(packing.WEIGHTS.values())
+    first = by.loc[0]
+    assert all(abs(first[s] - w / total * 2 * packing.SEQUENCE) < 2 + len(first) for s, w in packing.WEIGHTS.items())
+    assert len(by.loc[by.index.get_level_values(0).max()]) < len(first)
+
+
 def test_encoder_equals_the_tokenizer(texts):
     enc = tokens.Encoder(tokens.default_tokenizer(), limit=500)
     rng = np.random.default_rng(2)
