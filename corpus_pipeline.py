@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from weftwork.llm.common import cut, read_table
+from weftwork.llm.common import read_table
+from weftwork.operators.rounds import cut, drop_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = toxicity.fit_chain(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), chain).filter(F.col("toxic") < toxicity.THRESHOLD).select(*COLUMNS)
+    return toxicity.score(docs.select(*COLUMNS), chain).filter(F.col("toxic") < chain.threshold).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), "stage")
+        drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
