@@ -164,10 +164,13 @@ def match(triples: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataF
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(iri, hop): what lies within `hops` edges, in either direction, of seeds(iri)."""
     both = edges.select(F.col("src_iri").alias("a"), F.col("dst_iri").alias("b")).unionByName(edges.select(F.col("dst_iri").alias("a"), F.col("src_iri").alias("b")))
-    seen = seeds.select("iri").distinct().withColumn("hop", F.lit(0))
+    from weftwork.operators.rounds import cut
+
+    seen = newest = cut(seeds.select("iri").distinct().withColumn("hop", F.lit(0)), "hop")
     for hop in range(1, hops + 1):
-        near = seen.filter(F.col("hop") == hop - 1).join(both, F.col("iri") == F.col("a")).select(F.col("b").alias("iri"), F.lit(hop).alias("hop"))
-        seen = seen.unionByName(near).groupBy("iri").agg(F.min("hop").alias("hop"))
+        near = newest.join(both, F.col("iri") == F.col("a")).select(F.col("b").alias("iri")).distinct()
+        newest = cut(near.join(seen, "iri", "left_anti").withColumn("hop", F.lit(hop)), "hop")
+        seen = seen.unionByName(newest)
     return seen
 
 

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +84,18 @@ def front_matter(name: Column) -> Column:
 def wiki_to_markdown(pages: DataFrame) -> DataFrame:
     """pages(name, raw) as docs(slug, title, markdown). A null text gives null Markdown: its page is passed over by the sinks."""
     steps = pages.select("name", F.col("raw").alias("body"))
-    # one projection a group of rules keeps each expression small enough for code generation
-    steps = steps.withColumn("body", _apply(F.col("body"), HEADINGS))
-    steps = steps.withColumn("body", replace_matches(F.col("body"), PAGE_LINK, _page_link))
-    steps = steps.withColumn("body", replace_matches(F.col("body"), NAMED_LINK, _named_link))
-    steps = steps.withColumn("body", _apply(F.col("body"), LISTS))
-    steps = steps.withColumn("body", replace_matches(F.col("body"), TABLE, table_to_pipes))
-    steps = steps.withColumn("body", _apply(F.col("body"), MARKS))
+    # one projection a group of rules keeps each expression small enough for code generation; texts without a group's marks skip it
+    for marks, rewrite in (
+        (["=", "[http"], lambda c: _apply(c, HEADINGS)),
+        (["[["], lambda c: replace_matches(c, PAGE_LINK, _page_link)),
+        (["[["], lambda c: replace_matches(c, NAMED_LINK, _named_link)),
+        (["*", "#"], lambda c: _apply(c, LISTS)),
+        (["{|"], lambda c: replace_matches(c, TABLE, table_to_pipes)),
+        (["''", "<code>", "<pre>"], lambda c: _apply(c, MARKS)),
+    ):
+        body = F.col("body")
+        marked = reduce(Column.__or__, (body.contains(m) for m in marks))
+        steps = steps.withColumn("body", F.when(marked, rewrite(body)).otherwise(body))
     return steps.select(slug(F.col("name")).alias("slug"), F.replace("name", F.lit("_"), F.lit(" ")).alias("title"), F.concat(front_matter(F.col("name")), "body").alias("markdown"))
 
 

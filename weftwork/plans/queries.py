@@ -98,7 +98,7 @@ def json_field(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END, ''), nullif(CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END, ''), to_json({message: CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END})::VARCHAR) AS reply FROM events WHERE event_id % 3 < 2")
+@query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END, ''), nullif(CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END, ''), CASE WHEN event_id % 3 = 0 AND event_type IS NULL THEN '{}' ELSE to_json({message: ''})::VARCHAR END) AS reply FROM events")
 def reply_fields(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("").alias("message"), F.when(F.col("event_id") % 3 == 1, F.col("user_id").cast("string")).alias("content")))
