@@ -3,6 +3,7 @@
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,22 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_topk_wide_and_hot(spark):
+    """Components of 1e6 to 1e300 get exact scores (cut to a long), and a third of the vectors are one and the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(3000)] + [(i, [0.25, -0.5, 1.0, 0.75]) for i in range(3000, 4500)]
+    rows += [(i, rng.normal(0, 1e6, 4).tolist()) for i in range(4500, 4600)] + [(5000, [1e300] * 4), (5050, [-1e300, 1.0, 1.0, 1.0]), (5001, [1.7e308, 0.0, 0.0, 0.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    top = float(np.finfo(float).max)
+    whole = {i: [int(max(min(np.floor(256 * x), top), -top)) for x in e] for i, e in rows}
+    for i in (0, 50, 2950, 3000, 4450, 4500, 4550, 5000, 5050):
+        want = sorted((-min(max(sum(a * b for a, b in zip(whole[i], x, strict=True)), -(2**63)), 2**63 - 1), j) for j, x in whole.items() if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)], i
+    assert len(got) == sum(i % 50 == 0 for i in whole)
+
+
 def test_toxicity(docs, labels):
     chain = toxicity.fit_chain(docs, labels)
     got = toxicity.score(docs, chain)
