@@ -8,11 +8,12 @@ highest mean posterior.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import read_table
@@ -230,16 +231,23 @@ def in_training(doc_id: Column) -> Column:
 
 def fit_crf(docs: DataFrame) -> Crf:
     """Trains on at most SAMPLE_EACH texts (of SAMPLE_CHARS code points at most) of each language, chosen by a hash of doc_id among the rows
-    with lang, text and doc_id whose crc32(doc_id) mod 4 is not 2."""
+    with lang, text and doc_id whose crc32(doc_id) mod 4 is not 2.
+
+    One pass ranks the ids, each task sending on its lowest of each language alone; a second reads the texts of those chosen. One
+    task trains on the bounded sample, and the driver receives the field alone, which grows with the number of languages.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    texts, langs = [], []
-    for lang, _ in sorted(sizes.items()):
-        ids = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH)
-        rows = known.filter(F.col("lang") == lang).select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-        texts += [r["text"] for r in rows]
-        langs += [lang] * len(rows)
-    return train(texts, langs)
+    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
+    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    ids = known.select("lang", "doc_id", "h").withColumn("nth", F.row_number().over(lowest)).filter(F.col("nth") <= SAMPLE_EACH).drop("nth")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(r["lang"], r["doc_id"], r["text"]) for b in batches for r in b.to_pylist()})
+        yield pa.RecordBatch.from_pydict({"crf": [pickle.dumps(train([r[2] for r in rows], [r[0] for r in rows]))]})
+
+    sample = known.join(F.broadcast(ids.distinct()), ["lang", "doc_id", "h"], "left_semi").select("lang", "doc_id", "text")
+    fitted = sample.repartition(1).mapInArrow(fit, "crf binary").first()
+    return pickle.loads(fitted["crf"]) if fitted else train([], [])
 
 
 def identify(docs: DataFrame, crf: Crf) -> DataFrame:
