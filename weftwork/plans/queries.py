@@ -399,6 +399,12 @@ def rule_violations(spark, sf_dir):
     return Q.violations(_table(spark, sf_dir, "events"), ["event_id"], rules)
 
 
+@query("SELECT event_id, 'value not above 50' AS reason FROM events WHERE NOT coalesce(value > 50, false)")
+def quarantined_events(spark, sf_dir):
+    bad = Q.set_aside(_table(spark, sf_dir, "events"), F.col("value") > 50, "value not above 50")[1]
+    return bad.select("event_id", "reason")
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations")
 def insertion_order(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("nth"))
