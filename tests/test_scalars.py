@@ -70,3 +70,12 @@ def test_current_time_year_and_headers(spark):
     assert r.ms == round(told.timestamp() * 1000) and r.next == r.ms + 1
     tokyo = datetime.timezone(datetime.timedelta(hours=9))
     assert r.year in {before.astimezone(tokyo).year, after.astimezone(tokyo).year} and r.h == {"Accept": "text/plain", "Id": "0"}
+
+
+def test_choices_with_nulls(spark):
+    rows = spark.createDataFrame([(1, " a ", None, "x"), (2, " ", False, "y"), (3, None, True, None), (4, "b", True, "z")], "id int, text string, flag boolean, name string")
+    form = F.create_map(F.lit("x"), F.lit("0"))
+    got = rows.select("id", S.sendable(F.col("text"), F.col("flag")).alias("s"), S.by_flag(F.col("flag"), F.lit("yes"), F.lit("no")).alias("f"), S.lookup(F.col("name"), {"x": "1", "y": "2"}).alias("l"), S.with_field(form, F.col("name"), F.col("text")).alias("m"))
+    assert [tuple(r)[1:] for r in got.orderBy("id").collect()] == [
+        (True, "no", "1", {"x": " a "}), (False, "no", "2", {"x": "0", "y": " "}), (False, "yes", None, {"x": "0"}), (False, "yes", None, {"x": "0", "z": "b"}),
+    ]

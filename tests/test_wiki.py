@@ -24,3 +24,8 @@ def test_pages(spark):
 def test_nav_config_leaves_index_out(spark):
     got = wiki.nav_config(spark.createDataFrame([("b",), ("index",), ("a",)], "slug string")).first().config
     assert 'items: ["a","b"]' in got and got.count("index") == 1
+
+
+def test_navigation_order(spark):
+    pages = spark.createDataFrame([("b", 1, "x"), ("a", None, "y"), ("a", 2, "z"), ("a", 2, "w")], "category string, position int, slug string")
+    assert [r.slug for r in wiki.navigation_order(pages).collect()] == ["w", "z", "y", "x"]

@@ -93,6 +93,30 @@ def inner_items(array: Column) -> Column:
     return F.when(F.size(array) > 2, F.slice(array, F.lit(2), F.greatest(F.size(array) - 2, F.lit(0)))).otherwise(F.slice(array, 1, 0))
 
 
+def sendable(text: Column, busy: Column) -> Column:
+    """Whether there is text beside white space and nothing is under way; null text is none, null busy is not."""
+    return F.coalesce(js_trim(text) != "", F.lit(False)) & ~F.coalesce(busy, F.lit(False))
+
+
+def by_flag(flag: Column, yes: Column, no: Column) -> Column:
+    """yes where the flag is true, no where it is false or null."""
+    return F.when(flag, yes).otherwise(no)
+
+
+def lookup(key: Column, values: dict[str, str], default: Column | None = None) -> Column:
+    """The value of the first equal key; the default, else null, where none is equal."""
+    found = F.lit(None).cast("string") if default is None else default
+    for k, v in reversed(values.items()):
+        found = F.when(key == k, v).otherwise(found)
+    return found
+
+
+def with_field(record: Column, name: Column, value: Column) -> Column:
+    """A map with one field set, whose name is a value of the row. A null name changes nothing."""
+    changed = F.map_concat(F.map_filter(record, lambda k, _: k != name), F.create_map(name, value))
+    return F.when(name.isNull(), record).otherwise(changed)
+
+
 def has_items(array: Column) -> Column:
     return F.coalesce(F.size(array) > 0, F.lit(False))
 

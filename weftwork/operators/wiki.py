@@ -99,6 +99,11 @@ def wiki_to_markdown(pages: DataFrame) -> DataFrame:
     return steps.select(slug(F.col("name")).alias("slug"), F.replace("name", F.lit("_"), F.lit(" ")).alias("title"), F.concat(front_matter(F.col("name")), "body").alias("markdown"))
 
 
+def navigation_order(pages: DataFrame) -> DataFrame:
+    """pages(category, position, slug, ...) by category and position; pages without a position come last, ties by slug."""
+    return pages.orderBy("category", F.asc_nulls_last("position"), "slug")
+
+
 def nav_config(slugs: DataFrame, name: str = "wikiSidebar") -> DataFrame:
     """One row `config`: a navigation tree in which `index` leads and all other slugs follow in order."""
     listed = slugs.filter(~F.col("slug").eqNullSafe(F.lit("index"))).agg(F.to_json(F.sort_array(F.collect_list("slug"))).alias("items"))

@@ -1,8 +1,8 @@
 """The relational tables as a graph, so that the graph operators run on data that grows.
 
 Regions, nations and suppliers are classes joined by is_a; customers are entities whose class is their nation and who point at
-their orders by `placed`; orders are entities whose class is their status, but open part orders (P) are not defined, so
-edges dangle. Customers and suppliers share identifiers p:1, p:2, ... across kinds.
+their orders by `placed`; orders are entities whose class is their status and who point at parts by `holds`, one edge a line. Parts
+are not defined, so those edges dangle. Customers and suppliers share identifiers p:1, p:2, ... across kinds.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(made("nation", "class", "n:", "n_nationkey", F.col("n_name"), none, F.lit("place")))
         .unionByName(made("supplier", "class", "p:", "s_suppkey", F.col("s_name"), none, F.lit("party")))
         .unionByName(made("customer", "entity", "p:", "c_custkey", F.col("c_name"), _iri("n:", "c_nationkey"), F.col("c_mktsegment")))
-        .unionByName(made("orders", "entity", "o:", "o_orderkey", none, F.concat(F.lit("st:"), "o_orderstatus"), F.col("o_orderpriority")).filter("class_iri <> 'st:P'"))
+        .unionByName(made("orders", "entity", "o:", "o_orderkey", none, F.concat(F.lit("st:"), "o_orderstatus"), F.col("o_orderpriority")))
     )
 
 
@@ -41,6 +41,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         made("nation", "class", "n:", "n_nationkey", "is_a", "r:", "n_regionkey")
         .unionByName(made("supplier", "class", "p:", "s_suppkey", "is_a", "n:", "s_nationkey"))
         .unionByName(made("orders", "entity", "p:", "o_custkey", "placed", "o:", "o_orderkey"))
+        .unionByName(made("lineitem", "entity", "o:", "l_orderkey", "holds", "part:", "l_partkey"))
     )
 
 
@@ -55,9 +56,10 @@ nodes AS (
   UNION ALL SELECT 'class', 'n:' || n_nationkey, n_name, NULL, 'place' FROM nation
   UNION ALL SELECT 'class', 'p:' || s_suppkey, s_name, NULL, 'party' FROM supplier
   UNION ALL SELECT 'entity', 'p:' || c_custkey, c_name, 'n:' || c_nationkey, c_mktsegment FROM customer
-  UNION ALL SELECT 'entity', 'o:' || o_orderkey, NULL, 'st:' || o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT 'entity', 'o:' || o_orderkey, NULL, 'st:' || o_orderstatus, o_orderpriority FROM orders
 ), edges AS (
   SELECT 'class' AS src_kind, 'n:' || n_nationkey AS src_iri, 'is_a' AS label, 'r:' || n_regionkey AS dst_iri FROM nation
   UNION ALL SELECT 'class', 'p:' || s_suppkey, 'is_a', 'n:' || s_nationkey FROM supplier
   UNION ALL SELECT 'entity', 'p:' || o_custkey, 'placed', 'o:' || o_orderkey FROM orders
+  UNION ALL SELECT 'entity', 'o:' || l_orderkey, 'holds', 'part:' || l_partkey FROM lineitem
 )"""

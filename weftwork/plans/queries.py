@@ -134,7 +134,7 @@ def struct_override(spark, sf_dir):
     return c.select("c_custkey", r.alias("r")).select("c_custkey", "r.value", "r.segment")
 
 
-@query("SELECT doc_id, i - 1 AS pos, ws[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ws FROM documents), range(1, 100000) t(i) WHERE i <= len(ws)")
+@query("SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ws FROM documents)")
 def indexed_lines(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.js_split(F.col("text"), "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
@@ -267,11 +267,12 @@ def sse_lines(spark, sf_dir):
     return _sse(spark, sf_dir).select("conv_id", F.array_join(M.data_lines(F.col("raw")), " ").alias("said"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN trim(t) WHEN 1 THEN trim(t) ELSE trim(regexp_replace(t, '\\s+', ' ', 'g')) END AS answer
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN trim('said ' || t) ELSE trim(t) END AS answer
 FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM conversations)""")
 def answer_fallback(spark, sf_dir):
-    t, n = F.regexp_replace("text", "\\s+", " "), F.col("turn") % 3
-    raw = F.when(n == 0, F.concat(F.lit("event: message data: "), t, F.lit(" event: done data: [DONE]"))).when(n == 1, F.concat(F.lit("map_intent I don't know what to do with this prompt. "), t, F.lit(" [DONE]"))).otherwise(F.concat(F.lit("map_intent "), t, F.lit(" [DONE]")))
+    t, n = F.regexp_replace("text", "\\s+", " "), F.col("turn") % 4
+    raw = F.when(n == 0, F.concat(F.lit("event: message data: "), t, F.lit(" event: done data: [DONE]"))).when(n == 1, F.concat(F.lit("map_intent I don't know what to do with this prompt. "), t, F.lit(" [DONE]")))
+    raw = raw.when(n == 3, F.concat(F.lit("data: SYSTEM MESSAGE x\ndata: said "), t, F.lit("\ndata: [DONE]"))).otherwise(F.concat(F.lit("map_intent "), t, F.lit(" [DONE]")))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", M.answer_text(raw).alias("answer"))
 
 
@@ -289,9 +290,12 @@ def message_replay(spark, sf_dir):
     return M.replay(_log(spark, sf_dir))
 
 
-@query("SELECT conv_id, seq FROM (SELECT conv_id, turn AS seq, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE role = 'user' AND b = 'user'")
+@query("SELECT user_id AS conv_id, event_id AS seq FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE event_type = 'click' AND b = 'click'")
 def single_flight(spark, sf_dir):
-    return M.overlapping_asks(_log(spark, sf_dir)).select("conv_id", "seq")
+    """Clicks of a user ask, views answer, all else resets."""
+    kind = F.when(F.col("event_type") == "click", "ask").when(F.col("event_type") == "view", "answer").otherwise("reset")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    return M.overlapping_asks(events).select("conv_id", "seq")
 
 
 # --- graph -----------------------------------------------------------------------------------------
@@ -372,7 +376,7 @@ def onto_group_counts(spark, sf_dir):
     return O.group_counts(graph.nodes(spark, sf_dir))
 
 
-@query("SELECT 'p:' || c_custkey AS who, 'o:' || o_orderkey AS what, 'st:' || o_orderstatus AS state, 'r:' || n_regionkey AS area FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus <> 'P'")
+@query("SELECT 'p:' || c_custkey AS who, 'o:' || o_orderkey AS what, 'st:' || o_orderstatus AS state, 'r:' || n_regionkey AS area FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
 def graph_pattern(spark, sf_dir):
     return O.match(graph.triples(spark, sf_dir), [("?who", "placed", "?what"), ("?what", "type", "?state"), ("?who", "type", "?where"), ("?where", "is_a", "?area")]).select("who", "what", "state", "area")
 
@@ -393,10 +397,11 @@ def range_overlaps(spark, sf_dir):
     return O.age_overlaps(a, b)
 
 
-@query("SELECT event_id, 'type in domain' AS rule FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, 'value positive' FROM events WHERE NOT coalesce(value > 50, false)")
+@query("SELECT event_id, 'type in domain' AS rule FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT event_id, 'value positive' FROM events WHERE NOT coalesce(value > 50, false) UNION ALL SELECT event_id, 'buyer required' FROM events WHERE event_type IS NULL OR event_type <> 'purchase' OR user_id IS NULL")
 def rule_violations(spark, sf_dir):
-    rules = [("type in domain", Q.one_of("event_type", ["click", "view"])[1]), ("value positive", F.col("value") > 50), Q.required("user_id")]
-    return Q.violations(_table(spark, sf_dir, "events"), ["event_id"], rules)
+    rules = [("type in domain", Q.one_of("event_type", ["click", "view"])[1]), ("value positive", F.col("value") > 50), Q.required("buyer")]
+    events = _table(spark, sf_dir, "events").withColumn("buyer", F.when(F.col("event_type") == "purchase", F.col("user_id")))
+    return Q.violations(events, ["event_id"], rules)
 
 
 @query("SELECT event_id, 'value not above 50' AS reason FROM events WHERE NOT coalesce(value > 50, false)")
@@ -408,3 +413,72 @@ def quarantined_events(spark, sf_dir):
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations")
 def insertion_order(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("nth"))
+
+
+# --- choices, fields and links -----------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_replace(text, '\\s', '', 'g') <> '' AND coalesce(role, '') <> 'system'")
+def sendable_turns(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    return c.filter(S.sendable(F.col("text"), F.col("role") == "system")).select("conv_id", "turn")
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN event_type ELSE user_id::VARCHAR END AS told FROM events")
+def source_by_flag(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", S.by_flag(F.col("value") > 50, F.col("event_type"), F.col("user_id").cast("string")).alias("told"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'house' WHEN 'MACHINERY' THEN 'gear' ELSE 'other' END AS icon, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'car' END AS bare FROM customer")
+def lookup_segment(spark, sf_dir):
+    segment = F.col("c_mktsegment")
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.lookup(segment, {"BUILDING": "house", "MACHINERY": "gear"}, F.lit("other")).alias("icon"), S.lookup(segment, {"AUTOMOBILE": "car"}).alias("bare"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN value ELSE 0 END AS click, CASE WHEN event_type = 'view' THEN value ELSE 0 END AS seen, (2 + CASE WHEN event_type IN ('click', 'view') OR event_type IS NULL THEN 0 ELSE 1 END)::INTEGER AS n_fields FROM events")
+def field_by_name(spark, sf_dir):
+    """A form of two fields, in which each event sets the field that it names."""
+    form = F.create_map(F.lit("click"), F.lit(0.0), F.lit("view"), F.lit(0.0))
+    e = _table(spark, sf_dir, "events").select("event_id", S.with_field(form, F.col("event_type"), F.col("value")).alias("form"))
+    return e.select("event_id", F.col("form")["click"].alias("click"), F.col("form")["view"].alias("seen"), F.size("form").alias("n_fields"))
+
+
+@query("SELECT o_orderkey, 'application/json' AS content_type, 'Key ' || o_custkey AS access, 2::INTEGER AS n_headers FROM orders")
+def request_headers(spark, sf_dir):
+    h = S.header_map({"Content-Type": "application/json", "Authorization": F.concat(F.lit("Key "), F.col("o_custkey").cast("string"))})
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", h.alias("h"))
+    return o.select("o_orderkey", F.col("h")["Content-Type"].alias("content_type"), F.col("h")["Authorization"].alias("access"), F.size("h").alias("n_headers"))
+
+
+@query("SELECT page_id, coalesce(starts_with(url, '/'), false) AS whole, coalesce(starts_with(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), false) AS path FROM pages")
+def internal_links(spark, sf_dir):
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    return _table(spark, sf_dir, "pages").select("page_id", S.is_internal(F.col("url")).alias("whole"), S.is_internal(path).alias("path"))
+
+
+@query("SELECT p_brand AS category, CASE WHEN p_size > 5 THEN p_size END AS position, 'part-' || p_partkey AS slug FROM part ORDER BY 1, 2 NULLS LAST, 3")
+def navigation_order(spark, sf_dir):
+    position = F.when(F.col("p_size") > 5, F.col("p_size"))
+    return wiki.navigation_order(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), position.alias("position"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("slug")))
+
+
+@query("""SELECT 'tables' AS source, 'entity' AS src_kind, 'o:' || o_orderkey AS src_iri, 'placed_by' AS label, CASE WHEN r_name = 'EUROPE' OR r_name IS NULL THEN 'r' || o_custkey % 7 || ':' || o_custkey ELSE 'http://a.b/' || lower(r_name) || '/' || o_custkey END AS dst_iri, 0::INTEGER AS seq
+FROM orders LEFT JOIN region ON r_regionkey = o_custkey % 7 WHERE o_orderstatus <> 'F' UNION ALL SELECT 'tables', 'entity', 'o:' || o_orderkey, 'state', o_orderstatus, 1::INTEGER FROM orders WHERE o_orderstatus <> 'F'""")
+def onto_flatten(spark, sf_dir):
+    """Orders with relations; those of status F have none. Regions give the prefixes, all but one, and r5 and r6 have none."""
+    prefixes = _table(spark, sf_dir, "region").filter("r_name <> 'EUROPE'").select(F.lit("tables").alias("source"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("prefix"), F.concat(F.lit("http://a.b/"), F.lower("r_name"), F.lit("/")).alias("base"))
+    key = F.col("o_custkey").cast("string")
+    buyer = F.concat(F.lit("r"), (F.col("o_custkey") % 7).cast("string"), F.lit(":"), key)
+    relations = F.array(F.struct(F.lit("placed_by").alias("label"), buyer.alias("to")), F.struct(F.lit("state").alias("label"), F.col("o_orderstatus").alias("to")))
+    orders = _table(spark, sf_dir, "orders").select(F.lit("tables").alias("source"), F.lit("entity").alias("kind"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("iri"), F.when(F.col("o_orderstatus") != "F", relations).alias("relations"))
+    return O.flatten(orders, prefixes)
+
+
+@query("""SELECT iri FROM (SELECT p_partkey AS iri, p_name || ' (id: ' || p_partkey || ')' || chr(10) || 'Definition: ' || CASE WHEN p_size > 40 THEN p_brand ELSE p_type END || CASE WHEN p_size > 20 THEN '  Examples: ' || p_brand ELSE '' END AS title,
+p_name || '(id:' || p_partkey || ')Definition:' || p_type || CASE WHEN p_size > 10 THEN 'Examples:' || p_brand ELSE '' END AS told FROM part) WHERE regexp_replace(title, '\\s', '', 'g') <> regexp_replace(told, '\\s', '', 'g')""")
+def onto_title_mismatches(spark, sf_dir):
+    """Parts as nodes; titles of sizes 11 to 20 lack their example and those over 40 tell the brand in place of the type."""
+    size, brand, key = F.col("p_size"), F.col("p_brand"), F.col("p_partkey").cast("string")
+    title = F.concat("p_name", F.lit(" (id: "), key, F.lit(")\nDefinition: "), F.when(size > 40, brand).otherwise(F.col("p_type")), F.when(size > 20, F.concat(F.lit("  Examples: "), brand)).otherwise(""))
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("iri"), key.alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("definition"), F.when(size > 10, brand).alias("example"), title.alias("title"))
+    return O.title_mismatches(parts).select("iri")
