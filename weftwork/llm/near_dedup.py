@@ -8,7 +8,7 @@ matched / (n_a + n_b - matched) >= 0.8. Classes are the connected components of
 
 Texts with the same words collapse to one representative first. In each bucket one member, the hub, is
 compared with the others. Where that leaves a large bucket in several components, its members meet again by a prefix filter in place
-of the bucket: shingles are put in ascending order of how many such members hold them, and two members
+of the bucket: shingles are put in one order, rare ones first by a table of counters of fixed size, and two members
 with a link share one of their first shingles, at places that their lengths bound (see `refined`). Copies of
 one text that differ by a few edits each have shingles of their own at the front, so they hardly meet. No
 group of copies is expanded into all its pairs, and no link is lost.
@@ -34,6 +34,8 @@ BANDS, ROWS = 24, 3
 #: Members of a group up to which all pairs from different components are compared, hubs of a larger one in a round, and members that stand
 #: beside one copy of their hub.
 SMALL, SLOTS, BLOCK = 8, 64, 128
+#: Counters by which shingles of members of large open buckets are ordered: 2 MB on the driver and in each executor, whatever the input.
+COUNTERS = 1 << 18
 _MULT = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
@@ -173,42 +175,75 @@ def _verify(threshold: float):
     return verify
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens of a batch's members fall to each counter."""
     for batch in batches:
-        for rep, raw in zip(batch["rep"].to_pylist(), batch["seq"].to_pylist(), strict=True):
-            token = np.unique(np.frombuffer(raw, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rep)), pa.array(token), pa.array(np.full(len(token), len(token)))], names=["rep", "token", "distinct"])
+        tokens = [np.unique(np.frombuffer(raw, np.uint32)) for raw in batch["seq"].to_pylist()]
+        counter, held = np.unique(np.concatenate([np.zeros(0, np.uint32), *tokens]) & np.uint32(COUNTERS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(counter.astype(np.int32)), pa.array(held.astype(np.int64))], names=["counter", "held"])
+
+
+_FIRST = pa.schema([("rep", pa.int64()), ("start", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+
+
+def _first_tokens(held, threshold: float):
+    """The first tokens of each sequence in the order of their counters, without those at the front that no other member holds; `start` is the
+    place of the first of them."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, lists = [], []
+            for raw in batch["seq"].to_pylist():
+                seq = np.frombuffer(raw, np.uint32)
+                token = np.unique(seq)
+                count = held.value[token & np.uint32(COUNTERS - 1)]
+                order = np.lexsort((token, count))[: int((1 - threshold) * len(seq) + 1e-6) + 1]
+                alone = int(np.count_nonzero(count[order] < 2))
+                starts.append(alone)
+                lists.append(token[order[alone:]].view(np.int32).tolist())
+            yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "start": starts, "tokens": lists}, schema=_FIRST)
+
+    return first
+
+
+def counters(seqs: DataFrame) -> np.ndarray:
+    """COUNTERS numbers, whatever the input: how many tokens of seqs(rep, seq) fall to each by their low bits."""
+    none = seqs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter"), F.lit(0).cast("long").alias("held"))
+    sums = seqs.mapInArrow(_counted, "counter int, held long").unionByName(none).groupBy("counter").agg(F.sum("held").alias("held")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[sums["counter"].to_numpy()] = sums["held"].to_numpy()
+    return out
 
 
 def refined(members: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """Groups (id, rep, n, lead, comp, short) in which all of members(rep, n, lead, comp) meet that may have a link.
 
     A link of lengths n >= m needs o >= a (n + m) common tokens, with a = t / (1 + t), and m >= t n. Tokens are ordered by how many
-    members hold them. If the first common one has place i in the longer and j in the shorter, then o <= n - i and
+    are held that share their counter, then by themselves: any one order for all members loses no link, and this one puts what large groups
+    share last. If the first common one has place i in the longer and j in the shorter, then o <= n - i and
     o <= m - j, so i <= (1 - t) n, j <= (1 - 2 a) m and m <= (n - i) / a - n. So the shorter one (`short`) goes to the groups of
     its class of lengths and its first tokens, the longer one to those of its first tokens and the classes that it can have a
-    link with. Tokens that no other member holds lead nowhere; they only take the first places.
+    link with. Tokens alone on their counter lead nowhere; they only take the first places.
     """
     a = threshold / (1 + threshold)
 
     def length_class(n: Column) -> Column:
         return F.floor(F.log(F.greatest(n, F.lit(1.0))) / np.log(1.1)).cast("int")
 
-    tokens = cut(seqs.join(members.select("rep"), "rep", "left_semi").mapInArrow(_tokens, "rep long, token int, distinct long"), "tokens")
-    several = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = tokens.join(several, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("_t"), F.first("distinct").alias("_u"))
-    n, place = F.col("n"), F.col("_u") - F.size("_t")
-    longer, shorter = F.floor((1 - threshold) * n + 1e-6) + 1, F.floor((1 - 2 * a) * n + 1e-6) + 1
-    first = shared.join(members, "rep").withColumn("_place", place).withColumn("_t", F.slice("_t", 1, F.greatest(F.lit(0), longer - place).cast("int")))
-    first = first.select("rep", "n", "lead", "comp", "_place", F.posexplode("_t").alias("_k", "_t")).withColumn("_place", F.col("_place") + F.col("_k"))
+    mine = cut(seqs.join(members.select("rep"), "rep", "left_semi"), "members")
+    held = mine.sparkSession.sparkContext.broadcast(counters(mine))
+    first = mine.mapInArrow(_first_tokens(held, threshold), "rep long, start int, tokens array<int>").join(members, "rep")
+    first = first.select("rep", "n", "lead", "comp", "start", F.posexplode("tokens").alias("_k", "_token")).withColumn("_place", F.col("start") + F.col("_k"))
+    n, shorter = F.col("n"), F.floor((1 - 2 * a) * F.col("n") + 1e-6) + 1
     own = F.array(F.struct(length_class(n).alias("kind"), F.lit(True).alias("short")))
     most = length_class(F.least(n, (n - F.col("_place")) / a - n + 1e-6))
     other = F.transform(F.sequence(length_class(threshold * n - 1e-6), most), lambda c: F.struct(c.alias("kind"), F.lit(False).alias("short")))
     other = F.when(most >= length_class(threshold * n - 1e-6), other).otherwise(F.array().cast("array<struct<kind:int,short:boolean>>"))
     roles = F.when(F.col("_place") < shorter, F.concat(own, F.filter(other, lambda r: r["kind"] != length_class(n)))).otherwise(other)
-    met = first.select("rep", "n", "lead", "comp", F.col("_t.token").alias("_token"), F.explode(roles).alias("_r"))
+    met = first.select("rep", "n", "lead", "comp", "_token", F.explode(roles).alias("_r"))
     out = cut(met.select(F.xxhash64("_token", "_r.kind").alias("id"), "rep", "n", "lead", "comp", F.col("_r.short").alias("short")), "refined")
-    drop_scratch(tokens)
+    held.destroy()
+    drop_scratch(mine)
     return out
 
 
