@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from weftwork.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, suffix_dedup, topk, toxicity
+from weftwork.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, sharding, suffix_dedup, topk, toxicity
 
-MODULES = [fingerprints, language, line_dedup, mixing, near_dedup, packing, sharding, suffix_dedup, topk, toxicity]
+MODULES = [fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, sharding, suffix_dedup, topk, toxicity]
 
 
 def queries() -> dict:
