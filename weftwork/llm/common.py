@@ -13,6 +13,18 @@ from weftwork.operators.rounds import cut, drop_scratch
 #: ASCII white space, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\f\r"
 
+#: DuckDB: a table of one row, `t`, the 256 entries of the CRC-32 table; see crc_sql.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(v, range(1, 9)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY v) AS t
+  FROM (SELECT range AS v FROM range(256))
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text, where crc_table is in scope."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda c, v: xor(c // 256, t[xor(c, v) % 256 + 1])))"""
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
