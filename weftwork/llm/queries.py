@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from weftwork.llm import chat_format, fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, sharding, suffix_dedup, topk, toxicity
+from weftwork.llm import chat_format, fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, prefix_trie, sharding, suffix_dedup, topk, toxicity
 
-MODULES = [chat_format, fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, sharding, suffix_dedup, topk, toxicity]
+MODULES = [chat_format, fingerprints, language, line_dedup, mixing, near_dedup, packing, periodic_runs, prefix_trie, sharding, suffix_dedup, topk, toxicity]
 
 
 def queries() -> dict:
