@@ -46,27 +46,31 @@ def _keyed(messages: DataFrame) -> DataFrame:
     return one.join(there, ["t", "parent"], "left").withColumn("parent", F.when(F.col("_there"), F.col("parent"))).drop("_there")
 
 
-def ways_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(t, id, up, depth, total) of each of nodes(t, id, parent, score), and tables (t, id, up) of 1, 2, 4, ... steps up.
+def ways_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(t, id, depth, total) of each of nodes(t, id, parent, score) that has a way to a root, tables (t, id, up) of 1, 2, 4, ... steps up, and the scratch tables behind them.
 
-    depth counts the messages of the way to the root and total sums their scores. Where parents go round in a circle, `up` never ends: after
-    as many doublings as there can be messages in a tree the rows that still have one are left so.
+    depth counts the messages of the way and total sums their scores. A round joins only the messages that have not come to a root
+    yet. Where parents go round in a circle none does: the rounds end after as many doublings as there can be messages in a tree.
     """
-    state = cut(nodes.select("t", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "up")
-    largest = state.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    steps = []
+    scratch = [cut(nodes.select("t", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "up")]
+    largest = scratch[0].groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    done, steps = [scratch[0].filter("up IS NULL")], []
     for _ in range(max(1, int(largest)).bit_length()):
-        step = cut(state.filter("up IS NOT NULL").select("t", "id", "up"), "step")
-        if step.isEmpty():
-            drop_scratch(step)
+        under = scratch[-1].filter("up IS NOT NULL")
+        if under.isEmpty():
             break
-        steps.append(step)
-        above = state.select("t", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        zero = F.lit(0)
-        joined = state.join(above, ["t", "up"], "left")
-        before, state = state, cut(joined.select("t", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", zero)).alias("depth"), (F.col("total") + F.coalesce("_total", zero)).alias("total")), "up")
-        drop_scratch(before)
-    return state, steps
+        steps.append(under.select("t", "id", "up"))
+        known = under
+        for table in done:
+            known = known.unionByName(table)
+        known = known.select("t", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        further = under.join(known, ["t", "up"]).select("t", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        scratch.append(cut(further, "up"))
+        done.append(scratch[-1].filter("up IS NULL"))
+    state = done[0]
+    for table in done[1:]:
+        state = state.unionByName(table)
+    return state.drop("up"), steps, scratch
 
 
 def formatted_paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
@@ -81,9 +85,9 @@ def formatted_paths(messages: DataFrame, per_tree: int | None = None) -> DataFra
     No task holds a path: ranks and starts are running sums over ranges, and turns stay rows.
     """
     nodes = cut(_keyed(messages), "messages")
-    state, steps = ways_up(nodes)
+    state, steps, scratch = ways_up(nodes)
     answered = nodes.filter("parent IS NOT NULL").select("t", F.col("parent").alias("id"))
-    leaves = state.filter("up IS NULL").join(answered, ["t", "id"], "left_anti")
+    leaves = state.join(answered, ["t", "id"], "left_anti")
     leaves = leaves.select("t", F.col("id").alias("leaf"), F.col("depth"), (-F.col("total") / F.col("depth")).alias("_score"), F.lit(1).alias("_one"))
     chosen = running_sum(leaves, ["t"], ["t", "_score", "leaf"], "_one", "rank").drop("_one", "_score")
     chosen = cut(chosen if per_tree is None else chosen.filter(F.col("rank") < per_tree), "chosen")
@@ -102,7 +106,7 @@ def formatted_paths(messages: DataFrame, per_tree: int | None = None) -> DataFra
     placed = running_sum(pieces, ["_path"], ["t", "leaf", "pos"], "_n", "start")
     mask = F.when(F.col("_learn"), F.col("start") + F.col("_before"))
     out = cut(placed.select("tree", "leaf", "rank", "pos", "start", "piece", mask.alias("mask_start"), (mask + F.col("_said")).alias("mask_end")), "pieces")
-    drop_scratch(nodes, state, chosen, *steps)
+    drop_scratch(nodes, chosen, *scratch)
     return out
 
 
