@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from weftwork.operators import messages as M
 from weftwork.operators import quality as Q
 from weftwork.plans import queries as plans
-from weftwork.streaming.messages import keep_log
 
 
 def test_drop_transient_keeps_null(spark):
@@ -79,17 +78,6 @@ def test_replay(spark):
     assert [(r.conv_id, r.seq) for r in M.overlapping_asks(spark.createDataFrame(EVENTS, SCHEMA)).collect()] == [(1, 2)]
 
 
-def test_stream_keeps_the_log(spark, tmp_path):
-    def run():
-        keep_log(spark, str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
-        return spark.read.json(str(tmp_path / "state")).count()
-
-    spark.createDataFrame(EVENTS[:3], SCHEMA).write.json(str(tmp_path / "in"), mode="append")
-    assert run() == 3
-    spark.createDataFrame(EVENTS[3:], SCHEMA).write.json(str(tmp_path / "in"), mode="append")
-    assert run() == 7
-
-
 def test_rules(spark):
     rows = spark.createDataFrame([(1, "user", "x"), (2, "robot", None), (3, None, "y")], "id int, role string, text string")
     got = {(r.id, r.rule) for r in Q.violations(rows, ["id"], [Q.required("role"), Q.one_of("role", M.ROLES), Q.required("text")]).collect()}

@@ -10,7 +10,9 @@ from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
 from weftwork.operators import quality as Q
 from weftwork.operators import wiki
+from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
+from weftwork.streaming import messages as stream_messages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,6 +292,19 @@ def message_replay(spark, sf_dir):
     return M.replay(_log(spark, sf_dir))
 
 
+@query(ORACLE_SQL["message_replay"])
+def streamed_log(spark, sf_dir):
+    """The same log from a stream with keyed state: batches dealt by a hash, so events come late, one batch comes again, and half way the state is compacted."""
+    events, folder = _log(spark, sf_dir), scratch_path(spark, "stream")
+    for n, part in enumerate((2, 0, 3, 0, 1)):
+        events.filter(F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)) == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(stream_messages.EVENTS).parquet(f"{folder}/in")
+        stream_messages.keep_state(spark, stream, f"{folder}/out", f"{folder}/state", patience_ms=86_400_000).awaitTermination()
+        if n == 2:
+            stream_messages.compact(spark, f"{folder}/out")
+    return stream_messages.current(spark, f"{folder}/out").drop("slot")
+
+
 @query("SELECT user_id AS conv_id, event_id AS seq FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE event_type = 'click' AND b = 'click'")
 def single_flight(spark, sf_dir):
     """Clicks of a user ask, views answer, all else resets."""

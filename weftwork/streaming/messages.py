@@ -1,24 +1,163 @@
-"""The message log as a stream: events are appended as they come, and the replayed log is written after each batch."""
+"""The message log as a stream with keyed state.
+
+Events (conv_id, seq, kind, role, text) come in any order, late or repeated. The state of a conversation says which of its messages are live
+and which questions are open, by number and without texts, so it stays small however long the texts are. A batch puts out what it changes:
+rows that come and rows that go. The sink keeps a folder a batch, and a batch that is run again replaces its own folder. The log as it stands is the
+last change of each row; it equals `replay` over all events, beside what the clock ended.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from weftwork.operators.messages import replay
-from weftwork.sources.sinks import snapshot
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 EVENTS = "conv_id long, seq long, kind string, role string, text string"
+#: slot tells the rows of one event apart: what was said, the placeholder of an open question, and the reply that the clock gave.
+CHANGES = "conv_id long, seq long, slot string, live boolean, role string, text string, nth long"
+SAID, WAITS, LATE = "said", "waits", "late"
+NO_REPLY = "No reply came in time."
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Changes by the clock follow those of the batch's events.
+_AFTER = 1 << 40
+
+
+class Conversations(StatefulProcessor):
+    """One conversation's state: live (seq to whether the clock replied), open (seq to deadline), marks (last reset, last reply)."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getMapState("live", "seq long", "late boolean")
+        self.open = handle.getMapState("open", "seq long", "deadline long")
+        self.marks = handle.getValueState("marks", "reset long, reply long")
+
+    def _ended(self, conv: int, upto: int, nth: int) -> list[tuple]:
+        """Closes the open questions before upto."""
+        old = [k[0] for k in self.open.keys() if k[0] < upto]  # noqa: SIM118  a state, no dict
+        for seq in old:
+            self.open.removeKey((seq,))
+        return [(conv, seq, WAITS, False, None, None, nth + i) for i, seq in enumerate(old)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        conv = int(key[0])
+        marks = self.marks.get() if self.marks.exists() else (None, None)
+        reset, reply = marks
+        nth = 0
+        for frame in rows:
+            out: list[tuple] = []
+            for seq, kind, role, text in zip(frame["seq"].tolist(), frame["kind"].tolist(), frame["role"].tolist(), frame["text"].tolist(), strict=True):
+                if (reset is not None and seq <= reset) or (kind != "reset" and self.live.containsKey((seq,))):
+                    continue  # what a reset dropped, or what came before
+                if kind == "reset":
+                    reset = seq
+                    for k, late in [(k[0], v[0]) for k, v in self.live.iterator() if k[0] < seq]:
+                        self.live.removeKey((k,))
+                        out += [(conv, k, slot, False, None, None, nth + len(out)) for slot in ([SAID, LATE] if late else [SAID])]
+                    out += self._ended(conv, seq, nth + len(out))
+                    continue
+                self.live.updateValue((seq,), (False,))
+                out.append((conv, seq, SAID, True, role, text, nth + len(out)))
+                if kind == "ask" and (reply is None or seq > reply):
+                    deadline = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+                    self.open.updateValue((seq,), (deadline,))
+                    self.handle.registerTimer(deadline)
+                    out.append((conv, seq, WAITS, True, "assistant", "", nth + len(out)))
+                elif kind in ("answer", "error") and (reply is None or seq > reply):
+                    reply = seq
+                    out += self._ended(conv, seq, nth + len(out))
+            nth += len(out)
+            if out:
+                yield pd.DataFrame(out, columns=["conv_id", "seq", "slot", "live", "role", "text", "nth"])
+        if (reset, reply) != tuple(marks):
+            self.marks.update((reset, reply))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        conv, now, out = int(key[0]), expiredTimerInfo.getExpiryTimeInMs(), []
+        for seq in [k[0] for k, v in self.open.iterator() if v[0] <= now]:
+            self.open.removeKey((seq,))
+            self.live.updateValue((seq,), (True,))
+            out.append((conv, seq, WAITS, False, None, None, _AFTER + len(out)))
+            out.append((conv, seq, LATE, True, "assistant", NO_REPLY, _AFTER + len(out)))
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "seq", "slot", "live", "role", "text", "nth"])
+
+    def close(self) -> None:
+        pass
+
+
+def changes(events: DataFrame, patience_ms: int) -> DataFrame:
+    """The changes that a stream of events makes. Events without conv_id, seq or kind are none."""
+    known = events.filter("conv_id IS NOT NULL AND seq IS NOT NULL AND kind IS NOT NULL").select("conv_id", "seq", "kind", "role", "text")
+    return known.groupBy("conv_id").transformWithStateInPandas(Conversations(patience_ms), CHANGES, "Append", "ProcessingTime")
+
+
+def keep_state(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, patience_ms: int = 600_000, available_now: bool = True) -> StreamingQuery:
+    """Starts a query that turns a stream of events into changes below path.
+
+    With available_now it takes what has come and ends; questions out of time are then ended by the next batch that has events. A question without reply for patience_ms of the clock is ended by a reply of the clock's own (slot late); a later answer is
+    kept beside it. Of events that share conv_id and seq the first to come counts. An event before the conversation's last reset is dropped.
+    State is kept by RocksDB, with numbers only; all rows of one conversation in a batch pass through one task, a part at a time.
+    """
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    # by the clock alone a query is never done, so one that ends with its input runs no batch without events
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": str(not available_now).lower()}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        writer = changes(events, patience_ms).writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """The last change of each row; keys spread even where one conversation holds most rows, and each task keeps one change a key before the shuffle."""
+    newest = F.max_by(F.struct("live", "role", "text"), F.struct("batch", "nth")).alias("_row")
+    return rows.groupBy("conv_id", "seq", "slot").agg(newest).select("conv_id", "seq", "slot", "_row.*")
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches up to which there are compacted states; one small file name each."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/base")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [(f.getPath().getName(), fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f.getPath()}/_SUCCESS"))) for f in fs.listStatus(folder)]
+    return sorted(int(name.partition("=")[2]) for name, whole in found if whole)
+
+
+def _rows(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The newest compacted state and the changes after it, as rows with batch and nth; and the base's number."""
+    base = max(_bases(spark, path), default=-1)
+    new = spark.read.schema(f"{CHANGES}, batch long").parquet(f"{path}/changes").filter(F.col("batch") > base)
+    if base >= 0:
+        old = spark.read.schema(CHANGES).parquet(f"{path}/base/upto={base}").withColumn("batch", F.lit(base).cast("long"))
+        new = new.unionByName(old)
+    return new, base
 
 
-def keep_log(spark: SparkSession, events_path: str, log_path: str, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that reads JSON events, adds each batch to the log once, and rewrites the state."""
-    stream = spark.readStream.schema(EVENTS).json(events_path)
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The log as it stands: conv_id, seq, role, text, is_typing, slot. It reads the newest compacted state and the changes after it."""
+    rows = _last(_rows(spark, path)[0]).filter("live")
+    return rows.select("conv_id", "seq", "role", "text", F.when(F.col("slot") == WAITS, F.lit(True)).alias("is_typing"), "slot")
 
-    def batch(rows: DataFrame, number: int) -> None:
-        # a folder a batch: a batch that is run again replaces itself
-        rows.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.schema(EVENTS + ", batch long").parquet(log_path)
-        snapshot(replay(log.drop("batch")), state_path)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact(spark: SparkSession, path: str) -> int:
+    """Writes the log as it stands as a new base; later reads start there. Returns the last batch in it, -1 if there is none. Not while a batch is written."""
+    rows, base = _rows(spark, path)
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is None or last == base:
+        return base
+    _last(rows).filter("live").withColumn("nth", F.lit(-1).cast("long")).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
+    return last
