@@ -1,22 +1,20 @@
-"""Near-duplicate documents by Order MinHash over five-word shingles, verified by banded alignment.
+"""Near-duplicate documents by Order MinHash over five-word shingles, verified by banded alignment of words.
 
-A text is the sequence of its five-word shingles, each labelled with how often it occurred before, so that
+For the sketch a text is the sequence of its five-word shingles, each labelled with how often it occurred before, so that
 all are different. A sketch entry takes the two least labelled shingles under one hash function and keeps
-them in text order; three entries make a band, and texts that agree in a band are candidates. A candidate pair is a link
-if the longest common subsequence of the two sequences, matched within the band of diagonals that the threshold allows, gives
-matched / (n_a + n_b - matched) >= 0.8. Classes are the connected components of the links.
+them in text order; texts that agree in an entry are candidates. A candidate pair is a link if the longest common subsequence of its words, aligned
+within the band of diagonals that the threshold allows, gives matched / (n_a + n_b - matched) >= 0.8: about one word in nine may be
+another one. Classes are the connected components of the links.
 
 Texts with the same words collapse to one representative first. In each bucket one member, the hub, is
 compared with the others. Where that leaves a large bucket in several components, its members meet again by a prefix filter in place
-of the bucket: shingles are put in ascending order of how many such members hold them, and two members
-with a link share one of their first shingles, at places that their lengths bound (see `refined`). Copies of
-one text that differ by a few edits each have shingles of their own at the front, so they hardly meet. No
+of the bucket: words, labelled with their occurrence, are put in ascending order of how many such members hold them, and two members
+with a link share one of their first words, at places that their lengths bound (see `refined`). No
 group of copies is expanded into all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -30,11 +28,14 @@ from weftwork.llm.words import U64, Words, mix, shingle_hashes, slices
 from weftwork.operators.rounds import cut, drop_scratch
 
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 3
+#: Entries of a sketch. One word in nine changed leaves 5/9 of the shingles, so a pair at the threshold agrees in an entry with about 0.15, in one of 24 with 0.98.
+BANDS = 24
+#: Rows of an alignment between moves of its window.
+STEP = 64
 #: Members of a group up to which all pairs from different components are compared, hubs of a larger one in a round, and members that stand
 #: beside one copy of their hub.
 SMALL, SLOTS, BLOCK = 8, 64, 128
-_MULT = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64)) | U64(1)
+_MULT = mix(np.arange(1, 2 * BANDS + 1, dtype=U64)) | U64(1)
 
 
 def labelled(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -52,24 +53,20 @@ def labelled(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(label: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Band hashes, texts x BANDS; every text has a shingle at least."""
+    """Hashes of the entries, texts x BANDS; every text has a shingle at least."""
     start, n = bounds[:-1], np.diff(bounds)
     width = int(n.max()).bit_length() + 1
     keep, place = ~U64((1 << width) - 1), (np.arange(len(label)) - np.repeat(start, n)).astype(U64)
     last, alone = U64(2**64 - 1), n == 1
     out = np.zeros((len(n), BANDS), U64)
     for band in range(BANDS):
-        h = np.full(len(n), U64(band + 1))
-        for r in range(ROWS):
-            k = 2 * (band * ROWS + r)
-            v = (((label ^ _MULT[k + 1]) * _MULT[k]) & keep) | place
-            one = (np.minimum.reduceat(v, start) & ~keep).astype(np.int64)
-            v[start + one] = last
-            two = (np.minimum.reduceat(v, start) & ~keep).astype(np.int64)
-            two[alone] = 0
-            h = mix(h * U64(31) + label[start + np.minimum(one, two)])
-            h = mix(h * U64(31) + label[start + np.maximum(one, two)])
-        out[:, band] = h
+        v = (((label ^ _MULT[2 * band + 1]) * _MULT[2 * band]) & keep) | place
+        one = (np.minimum.reduceat(v, start) & ~keep).astype(np.int64)
+        v[start + one] = last
+        two = (np.minimum.reduceat(v, start) & ~keep).astype(np.int64)
+        two[alone] = 0
+        h = mix(U64((band + 1) * 31) + label[start + np.minimum(one, two)])
+        out[:, band] = mix(h * U64(31) + label[start + np.maximum(one, two)])
     return out
 
 
@@ -92,7 +89,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i, text in enumerate(texts):
                 own = words.hash[words.first[i] : words.first[i + 1]]
-                rows.append((text_key(own, text), int(bounds[i + 1] - bounds[i]), bands[i].tolist() if len(own) else []))
+                rows.append((text_key(own, text), len(own), bands[i].tolist() if len(own) else []))
             yield pa.RecordBatch.from_pydict({"doc_id": all_ids[a:b], "digest": digests[a:b], "key": [r[0] for r in rows], "n": [r[1] for r in rows], "bands": [r[2] for r in rows]}, schema=_SKETCH)
 
 
@@ -100,40 +97,71 @@ _SEQUENCE = pa.schema([("key", pa.binary()), ("seq", pa.binary())])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled shingles of 32 bits; a chance agreement moves a similarity by under 1 in its length."""
+    """Words as 32 bits; a chance agreement moves a similarity by under 1 in its length."""
     for batch in batches:
         all_texts = batch["text"].to_pylist()
         for a, b in slices(all_texts):
             words = Words(all_texts[a:b])
-            label, bounds = labelled(words)
-            low = (label >> U64(32)).astype(np.uint32)
-            keys = [text_key(words.hash[s:e], text) for s, e, text in zip(words.first[:-1], words.first[1:], all_texts[a:b], strict=True)]
-            yield pa.RecordBatch.from_pydict({"key": keys, "seq": [low[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]}, schema=_SEQUENCE)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """matched / (len(a) + len(b) - matched) of two sequences of different values, or 0 where it is under the threshold.
-
-    A pair of n values that reaches the threshold leaves at most n (1 - t) / (1 + t) values unmatched, so
-    its alignment stays within as many diagonals; matches outside cannot count.
-    """
-    total = len(a) + len(b)
-    need = threshold / (1 + threshold) * total - 1e-9
-    _, at, to = np.intersect1d(a, b, return_indices=True)
-    near = np.abs(at - to) <= total - 2 * need + 1e-9
-    at, to = at[near], to[near]
-    if len(at) < need:
-        return 0.0
-    to = to[np.argsort(at)]
-    if (np.diff(to) > 0).all():
-        matched = len(to)
-    else:
-        tails: list[int] = []
-        for x in to.tolist():
-            k = bisect.bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        matched = len(tails)
-    return matched / (total - matched) if matched >= need else 0.0
+            low = (words.hash >> U64(32)).astype(np.uint32)
+            bounds = list(zip(words.first[:-1], words.first[1:], all_texts[a:b], strict=True))
+            yield pa.RecordBatch.from_pydict({"key": [text_key(words.hash[s:e], text) for s, e, text in bounds], "seq": [low[s:e].tobytes() for s, e, _ in bounds]}, schema=_SEQUENCE)
+
+
+class Lead:
+    """A sequence of words that others are compared with: its different words, how often each occurs, and at which places, as bits."""
+
+    def __init__(self, seq: np.ndarray):
+        self.n = len(seq)
+        self.words, self.counts = np.unique(seq, return_counts=True)
+        self.seq, self.places = seq, {}
+
+    def shared(self, other: np.ndarray) -> int:
+        """Words in common, in any order, each as often as both have it."""
+        words, counts = np.unique(other, return_counts=True)
+        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+        same = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        return int(np.minimum(self.counts[at[same]], counts[same]).sum())
+
+    def aligned(self, other: np.ndarray, band: int) -> int:
+        """The longest common subsequence whose matches lie on the diagonals up to `band` (and up to STEP more).
+
+        A row of the alignment is an integer whose bits are clear where the row's best length grows; one addition carries all matches of a word. Only the bits
+        of the band are kept, those that have left it are counted.
+        """
+        if not self.places:
+            for i, w in enumerate(self.seq.tolist()):
+                self.places[w] = self.places.get(w, 0) | 1 << i
+        matched = low = 0
+        width = STEP + band
+        full = row = (1 << width) - 1
+        words = other.tolist()
+        for start in range(0, len(words), STEP):
+            if (past := max(0, start - band) - low) > 0:
+                matched += past - (row & ((1 << past) - 1)).bit_count()
+                row, low = row >> past, low + past
+            wider = start + STEP + band - low
+            kept = width - past if past > 0 else width
+            row |= ((1 << max(0, wider - kept)) - 1) << kept
+            width, full = wider, (1 << wider) - 1
+            for w in words[start : start + STEP]:
+                if held := self.places.get(w):
+                    hit = row & (held >> low)
+                    row = ((row + hit) | (row - hit)) & full
+        end = max(0, min(width, self.n - low))
+        return matched + end - (row & ((1 << end) - 1)).bit_count()
+
+    def similarity(self, other: np.ndarray, threshold: float = THRESHOLD) -> float:
+        """matched / (n_a + n_b - matched), or 0 where it is under the threshold.
+
+        A pair that reaches the threshold leaves at most (n_a + n_b) (1 - t) / (1 + t) words unmatched, so its alignment stays within as
+        many diagonals. Words in common, whatever their order, bound what can match.
+        """
+        total = self.n + len(other)
+        need = threshold / (1 + threshold) * total - 1e-9
+        if not total or min(self.n, len(other)) < need or self.shared(other) < need:
+            return 0.0
+        matched = self.aligned(other, int(total - 2 * need + 1e-6))
+        return matched / (total - matched) if matched >= need else 0.0
 
 
 def _beside(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -145,9 +173,9 @@ def _beside(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return leads.unionByName(members, allowMissingColumns=True).repartition("hub", "block").sortWithinPartitions("hub", "block", F.asc_nulls_first("rep"))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, list[tuple[int, np.ndarray]]]]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Lead, list[tuple[int, np.ndarray]]]]:
     """(columns of a batch, the hub's sequence, [(row, sequence)]) for each run of members of one hub."""
-    lead = np.zeros(0, np.uint32)
+    lead = Lead(np.zeros(0, np.uint32))
     for batch in batches:
         columns = {name: batch[name].to_pylist() for name in batch.schema.names}
         run: list[tuple[int, np.ndarray]] = []
@@ -158,7 +186,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
                 continue
             if run:
                 yield columns, lead, run
-            lead, run = seq, []
+            lead, run = Lead(seq), []
         if run:
             yield columns, lead, run
 
@@ -166,7 +194,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
 def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, lead, run in _members(batches):
-            ok = [i for i, seq in run if similarity(lead, seq, threshold) >= threshold]
+            ok = [i for i, seq in run if lead.similarity(seq, threshold) >= threshold]
             hubs, reps = [columns["hub"][i] for i in ok], [columns["rep"][i] for i in ok]
             yield pa.RecordBatch.from_pydict({"a": pa.array(map(min, hubs, reps), pa.int64()), "b": pa.array(map(max, hubs, reps), pa.int64())})
 
@@ -174,9 +202,13 @@ def _verify(threshold: float):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words labelled with their occurrence, 64 bits each."""
     for batch in batches:
         for rep, raw in zip(batch["rep"].to_pylist(), batch["seq"].to_pylist(), strict=True):
-            token = np.unique(np.frombuffer(raw, np.int32))
+            words = np.sort(np.frombuffer(raw, np.uint32)).astype(U64)
+            at = np.arange(len(words))
+            occurrence = at - np.maximum.accumulate(np.where(np.append(True, words[1:] != words[:-1])[: len(words)], at, 0))
+            token = mix(words | occurrence.astype(U64) << U64(32)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rep)), pa.array(token), pa.array(np.full(len(token), len(token)))], names=["rep", "token", "distinct"])
 
 
@@ -194,7 +226,7 @@ def refined(members: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     def length_class(n: Column) -> Column:
         return F.floor(F.log(F.greatest(n, F.lit(1.0))) / np.log(1.1)).cast("int")
 
-    tokens = cut(seqs.join(members.select("rep"), "rep", "left_semi").mapInArrow(_tokens, "rep long, token int, distinct long"), "tokens")
+    tokens = cut(seqs.join(members.select("rep"), "rep", "left_semi").mapInArrow(_tokens, "rep long, token long, distinct long"), "tokens")
     several = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     shared = tokens.join(several, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("_t"), F.first("distinct").alias("_u"))
     n, place = F.col("n"), F.col("_u") - F.size("_t")
