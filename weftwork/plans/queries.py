@@ -9,7 +9,7 @@ from weftwork.functions import scalars as S
 from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
 from weftwork.operators import quality as Q
-from weftwork.operators import wiki
+from weftwork.operators import search, wiki
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
 from weftwork.streaming import messages as stream_messages
@@ -294,14 +294,16 @@ def message_replay(spark, sf_dir):
 
 @query(ORACLE_SQL["message_replay"])
 def streamed_log(spark, sf_dir):
-    """The same log from a stream with keyed state: batches dealt by a hash, so events come late, one batch comes again, and half way the state is compacted."""
+    """The same log from a stream with keyed state. Batches are dealt by a hash, so events come late, one batch comes again, and between two starts of
+    the stream its state is compacted."""
     events, folder = _log(spark, sf_dir), scratch_path(spark, "stream")
-    for n, part in enumerate((2, 0, 3, 0, 1)):
-        events.filter(F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)) == part).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(stream_messages.EVENTS).parquet(f"{folder}/in")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for parts in ((2, 0, 3), (0, 1)):
+        for part in parts:
+            events.filter(F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)) == part).repartition(files).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(stream_messages.EVENTS).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
         stream_messages.keep_state(spark, stream, f"{folder}/out", f"{folder}/state", patience_ms=86_400_000).awaitTermination()
-        if n == 2:
-            stream_messages.compact(spark, f"{folder}/out")
+        stream_messages.compact(spark, f"{folder}/out")
     return stream_messages.current(spark, f"{folder}/out").drop("slot")
 
 
@@ -497,3 +499,38 @@ def onto_title_mismatches(spark, sf_dir):
     title = F.concat("p_name", F.lit(" (id: "), key, F.lit(")\nDefinition: "), F.when(size > 40, brand).otherwise(F.col("p_type")), F.when(size > 20, F.concat(F.lit("  Examples: "), brand)).otherwise(""))
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("iri"), key.alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("definition"), F.when(size > 10, brand).alias("example"), title.alias("title"))
     return O.title_mismatches(parts).select("iri")
+
+
+# --- search ----------------------------------------------------------------------------------------
+
+_SEARCH_SQL = """WITH held AS (
+  SELECT doc_id, len(w) AS size, unnest(w) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+), tf AS (
+  SELECT doc_id, term, size, count(*) AS tf FROM held GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS held FROM tf GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark
+), under AS (
+  SELECT a.term AS src, b.term AS dst FROM df a JOIN df b ON length(a.term) >= 6 AND b.term = left(a.term, length(a.term) - 2)
+), wide AS (
+  SELECT item_id, term, max(weight) AS weight FROM (
+    SELECT item_id, term, 4 AS weight FROM asked
+    UNION ALL SELECT item_id, src, 2 FROM asked JOIN under ON dst = term
+    UNION ALL SELECT item_id, v.src, 1 FROM asked JOIN under u ON u.dst = term JOIN under v ON v.dst = u.src
+  ) GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, sum(weight * floor(100 * ln(1 + (n - held + 0.5) / (held + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) + 0.5))::BIGINT AS score
+  FROM wide JOIN tf USING (term) JOIN df USING (term), (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM held) / count(*)::DOUBLE AS mean FROM documents) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER w AS rank, doc_id, score FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10"""
+
+
+@query(_SEARCH_SQL)
+def concept_search(spark, sf_dir):
+    """The ten best documents for each benchmark text. A word of six letters or more is_a the word without its last two letters, if there is one."""
+    index = search.build_index(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    names = index.terms.select("term")
+    under = names.filter(F.length("term") >= 6).select(F.col("term").alias("src"), F.expr("left(term, length(term) - 2)").alias("dst")).join(names.withColumnRenamed("term", "dst"), "dst", "left_semi")
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(search.words(F.col("text"))).alias("term"))
+    return search.search(index, search.widened(asked, under)).select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
