@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftwork.functions import scalars as S
 from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
+from weftwork.operators import paths, search, wiki
 from weftwork.operators import quality as Q
-from weftwork.operators import search, wiki
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
 from weftwork.streaming import messages as stream_messages
@@ -501,6 +501,29 @@ def onto_title_mismatches(spark, sf_dir):
     return O.title_mismatches(parts).select("iri")
 
 
+@query(_g("SELECT DISTINCT u.dst_iri AS seed, u.src_iri AS iri FROM up u WHERE u.dst_iri LIKE 'r:%'"))
+def question_kinds(spark, sf_dir):
+    """What kinds lie below each region?"""
+    regions = graph.nodes(spark, sf_dir).filter("iri LIKE 'r:%'").select("iri")
+    return paths.reached(graph.edges(spark, sf_dir), regions, paths.some(paths.back("is_a")))
+
+
+@query(_g("SELECT DISTINCT u.dst_iri AS seed, h.dst_iri AS iri FROM up u JOIN edges p ON p.label = 'placed' AND p.src_iri = u.src_iri JOIN edges h ON h.label = 'holds' AND h.src_iri = p.dst_iri WHERE u.dst_iri LIKE 'r:%'"))
+def question_parts_of_regions(spark, sf_dir):
+    """Which parts are in orders of those who belong to each region, at whatever level?"""
+    regions = graph.nodes(spark, sf_dir).filter("iri LIKE 'r:%'").select("iri")
+    pattern = paths.chain(paths.some(paths.back("is_a")), paths.step("placed"), paths.step("holds"))
+    return paths.reached(graph.edges(spark, sf_dir), regions, pattern)
+
+
+@query(_g("SELECT DISTINCT 'part:' || p_partkey AS seed, n.dst_iri AS iri FROM part JOIN edges h ON h.label = 'holds' AND h.dst_iri = 'part:' || p_partkey JOIN edges p ON p.label = 'placed' AND p.dst_iri = h.src_iri JOIN (SELECT src_iri, dst_iri FROM up UNION ALL SELECT src_iri, src_iri FROM edges WHERE label = 'placed') n ON n.src_iri = p.src_iri WHERE p_size >= 49"))
+def question_who_orders(spark, sf_dir):
+    """Who orders the largest parts, and what are they kinds of?"""
+    largest = _table(spark, sf_dir, "part").filter("p_size >= 49").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("iri"))
+    pattern = paths.chain(paths.back("holds"), paths.back("placed"), paths.any_number(paths.step("is_a")))
+    return paths.reached(graph.edges(spark, sf_dir), largest, pattern)
+
+
 # --- search ----------------------------------------------------------------------------------------
 
 _SEARCH_SQL = """WITH held AS (
