@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import scalars as S
 from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
-from weftwork.operators import paths, search, wiki
+from weftwork.operators import affinity, paths, search, wiki
 from weftwork.operators import quality as Q
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
@@ -524,6 +526,44 @@ def question_who_orders(spark, sf_dir):
     return paths.reached(graph.edges(spark, sf_dir), largest, pattern)
 
 
+# --- what goes together ----------------------------------------------------------------------------
+
+_LINKS_SQL = """WITH one AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem),
+kept AS (SELECT * FROM one WHERE basket IN (SELECT basket FROM one GROUP BY basket HAVING count(*) <= 1000)),
+item AS (SELECT item, count(*) AS n FROM kept GROUP BY item),
+pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS times FROM kept x JOIN kept y ON x.basket = y.basket AND x.item < y.item GROUP BY ALL),
+often AS (SELECT a, b, times AS k, i.n AS na, j.n AS nb, (SELECT count(DISTINCT basket) FROM kept) AS n FROM pairs JOIN item i ON i.item = a JOIN item j ON j.item = b WHERE times >= 2),
+weighed AS (SELECT a, b, floor(2000 * (x(k) + x(na - k) + x(nb - k) + x(n - na - nb + k) + x(n) - x(na) - x(n - na) - x(nb) - x(n - nb)) + 0.5)::BIGINT AS weight FROM often WHERE k * n > na * nb),
+ways AS (SELECT a AS item, b AS other, weight FROM weighed UNION ALL SELECT b, a, weight FROM weighed),
+links AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY item ORDER BY weight DESC, other) <= 10)"""
+_LINKS_SQL = re.sub(r"\bx\(([^()]*)\)", r"(CASE WHEN \1 > 0 THEN (\1)::DOUBLE * ln((\1)::DOUBLE) ELSE 0.0 END)", _LINKS_SQL)
+
+
+def _baskets(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item"))
+
+
+@query(_LINKS_SQL + """ SELECT l.item, m.other, count(*) AS between, sum(least(l.weight, m.weight))::BIGINT AS score FROM links l JOIN links m ON m.item = l.other AND m.other <> l.item
+WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.a = least(l.item, m.other) AND p.b = greatest(l.item, m.other)) GROUP BY ALL""")
+def part_gaps(spark, sf_dir):
+    """Parts that no order holds together, though both go with the same third parts."""
+    return affinity.gaps(_baskets(spark, sf_dir))
+
+
+@query(_LINKS_SQL + """, held AS (SELECT DISTINCT o_custkey AS cust, l_partkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+given AS (SELECT cust, l.other AS item, h.item AS because, weight FROM held h JOIN links l ON l.item = h.item),
+best AS (SELECT cust, item, sum(weight)::BIGINT AS score FROM given WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.cust = given.cust AND h.item = given.item) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY score DESC, item) AS rank FROM best QUALIFY rank <= 5),
+why AS (SELECT cust, item, because, row_number() OVER (PARTITION BY cust, item ORDER BY weight DESC, because) AS r FROM given QUALIFY r <= 3)
+SELECT cust, rank, item, score, string_agg(because::VARCHAR, ',' ORDER BY r) AS reasons FROM top JOIN why USING (cust, item) GROUP BY ALL""")
+def part_recommendations(spark, sf_dir):
+    """Five parts for each customer, each with the parts of theirs that it goes with."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_custkey").alias("user"))
+    lines = _baskets(spark, sf_dir)
+    found = affinity.recommendations(orders.join(lines, "basket"), lines)
+    return found.select(F.col("user").alias("cust"), "rank", "item", "score", F.array_join(F.transform("reasons", lambda i: i.cast("string")), ",").alias("reasons"))
+
+
 # --- search ----------------------------------------------------------------------------------------
 
 _SEARCH_SQL = """WITH held AS (
