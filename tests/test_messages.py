@@ -85,3 +85,11 @@ def test_rules(spark):
     good, bad = Q.set_aside(rows, F.col("role") == "user", "not a user")
     assert good.count() == 1 and {r.reason for r in bad.collect()} == {"not a user"}
     assert {r.id for r in M.roles_outside(rows).collect()} == {2, 3}
+
+
+def test_lines_are_measured_in_utf16_units(spark):
+    raw = "data: \U0001f600\U0001f600\U0001f600\ndata: abcd\ndata: abcde\ndata: \ufeff\u3000     \ndata: \u0085    "
+    got = spark.createDataFrame([(raw,)], "raw string").select(M.data_lines(F.col("raw")).alias("a")).first().a
+    assert got == ["\U0001f600\U0001f600\U0001f600", "abcde", "\u0085"]
+    assert answers(spark, "\U0001f600event: message data: \ufeffhi\u0085 event: done data:") == ["hi\u0085"]
+    assert answers(spark, "event: x\u0085data: a\u0085 b\ufeff c") == ["a\u0085 b c"]

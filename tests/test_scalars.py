@@ -79,3 +79,27 @@ def test_choices_with_nulls(spark):
     assert [tuple(r)[1:] for r in got.orderBy("id").collect()] == [
         (True, "no", "1", {"x": " a "}), (False, "no", "2", {"x": "0", "y": " "}), (False, "yes", None, {"x": "0"}), (False, "yes", None, {"x": "0", "z": "b"}),
     ]
+
+
+@pytest.mark.parametrize(("text", "want"), [("\u0085 a \u0085", "\u0085 a \u0085"), ("\ufeff\u00a0a\u3000\u2028", "a"), (" a\u0085 ", "a\u0085"), ("\x1ca\x1c", "\x1ca\x1c"), ("\u180ea", "\u180ea")])
+def test_trim_by_javascripts_white_space(spark, text, want):
+    assert one(spark, S.js_trim(F.col("s")), s=text) == want
+
+
+def units(text, a, b):
+    """JavaScript's substring by UTF-16 code units, halves as U+FFFD."""
+    raw = text.encode("utf-16-le")
+    n = len(raw) // 2
+    a, b = sorted((max(0, min(a, n)), max(0, min(b, n))))
+    return raw[2 * a : 2 * b].decode("utf-16-le", "replace")
+
+
+def test_substring_and_index_by_utf16_units(spark):
+    texts = ["\U0001f600abc", "a\U0001f600\U0001f601b", "\U0001f600", "", "plain", "é\U00010000é"]
+    cases = [(t, a, b) for t in texts for a in range(-1, 7) for b in range(-1, 7)]
+    df = spark.createDataFrame(cases, "s string, a int, b int").select("*", S.js_substring(F.col("s"), F.col("a"), F.col("b")).alias("r"), S.js_substring(F.col("s"), F.col("a")).alias("tail"), S.index_of(F.col("s"), "b").alias("i"))
+    for r in df.collect():
+        assert r.r == units(r.s, r.a, r.b), (r.s, r.a, r.b)
+        assert r.tail == units(r.s, r.a, 99)
+        assert r.i == (len(r.s[: r.s.index("b")].encode("utf-16-le")) // 2 if "b" in r.s else -1)
+    assert one(spark, S.dash_slug(F.col("s")), s="A\ufeffB\u0085C\u2003 d") == "a-b\u0085c-d"

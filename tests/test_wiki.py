@@ -29,3 +29,9 @@ def test_nav_config_leaves_index_out(spark):
 def test_navigation_order(spark):
     pages = spark.createDataFrame([("b", 1, "x"), ("a", None, "y"), ("a", 2, "z"), ("a", 2, "w")], "category string, position int, slug string")
     assert [r.slug for r in wiki.navigation_order(pages).collect()] == ["w", "z", "y", "x"]
+
+
+def test_lines_and_white_space_are_javascripts(spark):
+    raw = "x\u0085* a\n*\ufeffb\u2028*\u0085c\n==\u3000T\u0085 =="
+    got = spark.createDataFrame([("P", raw)], "name string, raw string").select(wiki.markdown_body(F.col("raw")).alias("m")).first().m
+    assert got == "x\u0085* a\n- b\u2028*\u0085c\n  1. T\u0085 "

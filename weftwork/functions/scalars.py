@@ -7,6 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: what JavaScript takes for white space and for the end of a line, as the inside of a character class
+JS_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+JS_LINE_END = r"\n\r\x{2028}\x{2029}"
+#: The start of a line (JavaScript's ^ with the m flag); Java's own would begin one after U+0085 too.
+JS_LINE_START = f"(?<![^{JS_LINE_END}])"
+#: What stands for half of a character beyond U+FFFF, as JavaScript's encoders write it.
+HALF = "\ufffd"
+
 
 def quoted(text: str) -> str:
     """text as a pattern that matches itself."""
@@ -14,8 +22,8 @@ def quoted(text: str) -> str:
 
 
 def js_trim(s: Column) -> Column:
-    """Strips all Unicode white space, where Spark's trim strips blanks alone."""
-    return F.regexp_replace(s, "(?U)^[\\s\\ufeff]+|[\\s\\ufeff]+$", "")
+    """Strips JavaScript's white space, where Spark's trim strips blanks alone."""
+    return F.regexp_replace(s, f"^[{JS_SPACE}]+|[{JS_SPACE}]+\\z", "")
 
 
 def js_split(s: Column, separator: str) -> Column:
@@ -30,16 +38,46 @@ def replace_first(s: Column, what: str, by: str) -> Column:
 
 
 def index_of(s: Column, what: str) -> Column:
-    """Position from 0; -1 where there is none."""
-    return F.instr(s, F.lit(what)) - 1
+    """Position from 0, in UTF-16 units; -1 where there is none."""
+    at = F.instr(s, F.lit(what))
+    return F.when(at > 0, utf16_length(F.substring(s, F.lit(1), at - 1))).otherwise(at - 1)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _between_units(s: Column, low: Column, high: Column) -> Column:
+    """Units low to high of a text that has characters beyond U+FFFF, in one walk over its characters."""
+    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(False).alias("half"), F.lit(0).alias("last"), F.lit(False).alias("half2"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def on(at: Column, c: Column) -> Column:
+        end, n = at["units"] + F.when(F.octet_length(c) == 4, 2).otherwise(1), at["n"] + 1
+        cuts = [
+            F.when(end <= at["low"], n).otherwise(at["first"]).alias("first"), (at["half"] | ((at["units"] < at["low"]) & (end > at["low"]))).alias("half"),
+            F.when(end <= at["high"], n).otherwise(at["last"]).alias("last"), (at["half2"] | ((at["units"] < at["high"]) & (end > at["high"]))).alias("half2"),
+        ]
+        return F.struct(end.alias("units"), n.alias("n"), *cuts, at["low"], at["high"])
+
+    def made(at: Column) -> Column:
+        first = at["first"] + at["half"].cast("int")
+        return F.concat(F.when(at["half"], HALF).otherwise(""), F.substring(s, first + 1, at["last"] - first), F.when(at["half2"], HALF).otherwise(""))
+
+    return _let(F.aggregate(F.split(s, ""), start, on), made)
 
 
 def js_substring(s: Column, start: Column, end: Column | None = None) -> Column:
-    """Characters from start up to end, from 0. Ends out of range are moved in and reversed ends change places."""
-    n = F.length(s)
-    a = F.greatest(F.lit(0), F.least(start, n))
-    b = n if end is None else F.greatest(F.lit(0), F.least(end, n))
-    return F.substring(s, F.least(a, b) + 1, F.greatest(a, b) - F.least(a, b))
+    """UTF-16 units from start up to end, from 0. Ends out of range are moved in and reversed ends change places; half a character reads U+FFFD."""
+    a = F.greatest(F.lit(0), start)
+    b = F.lit(2**31 - 1) if end is None else F.greatest(F.lit(0), end)
+    ends = F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), utf16_length(s).alias("n"))
+
+    def made(x: Column) -> Column:
+        low, high = F.least(x["low"], x["n"]), F.least(x["high"], x["n"])
+        return F.when(x["n"] == F.length(s), F.substring(s, low + 1, high - low)).when(low == high, F.lit("")).otherwise(_between_units(s, low, high))
+
+    return _let(ends, made)
 
 
 def utf16_length(s: Column) -> Column:
@@ -69,7 +107,7 @@ def slug(s: Column) -> Column:
 
 def dash_slug(s: Column) -> Column:
     """Lower case, runs of white space to one dash; punctuation stays."""
-    return F.regexp_replace(F.lower(s), "(?U)\\s+", "-")
+    return F.regexp_replace(F.lower(s), f"[{JS_SPACE}]+", "-")
 
 
 def replace_matches(s: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
@@ -159,6 +197,7 @@ def video_id(url: Column) -> Column:
 
 
 def thumbnail(video: Column) -> Column:
+    # fixed value: the address of a preview
     return F.when(F.length(video) > 0, F.concat(F.lit("https://img.youtube.com/vi/"), video, F.lit("/hqdefault.jpg")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.functions.scalars import first_filled, index_of, js_split, js_substring, js_trim, replace_first
+from weftwork.functions.scalars import JS_LINE_END, JS_SPACE, first_filled, index_of, js_split, js_substring, js_trim, replace_first, utf16_length
 
 # fixed values: marks of the agent's replies
 MESSAGE_MARK, DONE_MARK = "event: message data:", "event: done data:"
@@ -78,7 +78,7 @@ def data_lines(raw: Column) -> Column:
     """Trimmed payloads of the lines that carry an answer."""
     lines = F.filter(
         js_split(raw, "\n"),
-        lambda x: F.startswith(x, F.lit(LINE_MARK)) & ~F.contains(x, F.lit(SYSTEM_MARK)) & ~F.contains(x, F.lit(END_MARK)) & ~F.contains(x, F.lit(INTENT_MARK)) & (F.length(x) > 10),
+        lambda x: F.startswith(x, F.lit(LINE_MARK)) & ~F.contains(x, F.lit(SYSTEM_MARK)) & ~F.contains(x, F.lit(END_MARK)) & ~F.contains(x, F.lit(INTENT_MARK)) & (utf16_length(x) > 10),
     )
     return F.filter(F.transform(lines, lambda x: js_trim(F.substring(x, F.lit(len(LINE_MARK) + 1), F.length(x)))), lambda x: x != "")
 
@@ -94,12 +94,12 @@ def answer_text(raw: Column) -> Column:
     bare = raw
     for noise in (INTENT_MARK, NO_ANSWER, END_MARK):
         bare = replace_first(bare, noise, "")
-    bare = F.regexp_replace(F.regexp_replace(bare, "event:.*?data:", ""), "SYSTEM MESSAGE.*?\\]", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, f"event:[^{JS_LINE_END}]*?data:", ""), f"SYSTEM MESSAGE[^{JS_LINE_END}]*?\\]", "")
     return F.coalesce(
         _between(raw, MESSAGE_MARK, DONE_MARK),
         _between(raw, PROMPT_MARK, END_MARK),
         F.when(F.size(lines) > 0, F.array_join(lines, " ")),
-        F.regexp_replace(js_trim(bare), "(?U)\\s+", " "),
+        F.regexp_replace(js_trim(bare), f"[{JS_SPACE}]+", " "),
     )
 
 

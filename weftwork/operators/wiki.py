@@ -8,28 +8,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.scalars import inner_items, js_split, js_trim, replace_matches, slug
+from weftwork.functions.scalars import JS_LINE_START, JS_SPACE, inner_items, js_split, js_trim, replace_matches, slug
 
 # fixed values: patterns and replacements in the order in which they apply
+_S = f"[{JS_SPACE}]"
 HEADINGS = [
-    (r"(?U)=====\s*([^=]+)\s*=====", "##### $1"),
-    (r"(?U)====\s*([^=]+)\s*====", "#### $1"),
-    (r"(?U)===\s*([^=]+)\s*===", "### $1"),
-    (r"(?U)==\s*([^=]+)\s*==", "## $1"),
-    (r"(?U)=\s*([^=]+)\s*=", "# $1"),
-    (r"(?U)\[http(s)?://([^\s\]]+)\s+([^\]]+)\]", "[$3](http$1://$2)"),
+    (rf"====={_S}*([^=]+){_S}*=====", "##### $1"),
+    (rf"===={_S}*([^=]+){_S}*====", "#### $1"),
+    (rf"==={_S}*([^=]+){_S}*===", "### $1"),
+    (rf"=={_S}*([^=]+){_S}*==", "## $1"),
+    (rf"={_S}*([^=]+){_S}*=", "# $1"),
+    (rf"\[http(s)?://([^{JS_SPACE}\]]+){_S}+([^\]]+)\]", "[$3](http$1://$2)"),
 ]
 PAGE_LINK = r"\[\[([^\]|]+)\]\]"
 NAMED_LINK = r"\[\[([^\]|]+)\|([^\]]+)\]\]"
 LISTS = [
-    (r"(?mU)^\*\*\*\s", "    - "),
-    (r"(?mU)^\*\*\s", "  - "),
-    (r"(?mU)^\*\s", "- "),
-    (r"(?mU)^###\s", "    1. "),
-    (r"(?mU)^##\s", "  1. "),
-    (r"(?mU)^#\s", "1. "),
+    (rf"{JS_LINE_START}\*\*\*{_S}", "    - "),
+    (rf"{JS_LINE_START}\*\*{_S}", "  - "),
+    (rf"{JS_LINE_START}\*{_S}", "- "),
+    (rf"{JS_LINE_START}###{_S}", "    1. "),
+    (rf"{JS_LINE_START}##{_S}", "  1. "),
+    (rf"{JS_LINE_START}#{_S}", "1. "),
 ]
-TABLE = r"(?ms)\{\|(.+?)^\|\}"
+TABLE = rf"(?s)\{{\|(.+?){JS_LINE_START}\|\}}"
 MARKS = [
     (r"'''([^']+)'''", "**$1**"),
     (r"''([^']+)''", "*$1*"),
@@ -78,6 +79,7 @@ def markdown_body(text: Column) -> Column:
 
 
 def front_matter(name: Column) -> Column:
+    # fixed value: the block at the head of a page
     return F.concat(F.lit("---\nid: "), slug(name), F.lit("\ntitle: "), F.replace(name, F.lit("_"), F.lit(" ")), F.lit("\n---\n\n"))
 
 
@@ -106,5 +108,6 @@ def navigation_order(pages: DataFrame) -> DataFrame:
 
 def nav_config(slugs: DataFrame, name: str = "wikiSidebar") -> DataFrame:
     """One row `config`: a navigation tree in which `index` leads and all other slugs follow in order."""
+    # fixed value: the text around the list of pages
     listed = slugs.filter(~F.col("slug").eqNullSafe(F.lit("index"))).agg(F.to_json(F.sort_array(F.collect_list("slug"))).alias("items"))
     return listed.select(F.concat(F.lit(f"module.exports = {{{name}: [{{type: 'category', label: 'Wiki', link: {{type: 'doc', id: 'index'}}, items: "), "items", F.lit("}]};\n")).alias("config"))

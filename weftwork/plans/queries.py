@@ -64,6 +64,18 @@ def utf16_units(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", S.utf16_length(F.col("text")).cast("long").alias("units"), S.index_of(F.col("text"), "and").cast("long").alias("first_and"))
 
 
+@query("""WITH x AS (SELECT doc_id, chr(65279) || ' ' || chr(133) || chr(128512) || text || chr(133) || ' ' || chr(12288) AS x, text FROM documents), y AS (SELECT *, instr(x, 'the') AS place FROM x)
+SELECT doc_id, chr(133) || chr(128512) || text || chr(133) AS trimmed, (length(x) + length(regexp_replace(x, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS units,
+  CASE WHEN place = 0 THEN -1 ELSE place - 1 + length(regexp_replace(left(x, place - 1), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) END::BIGINT AS first_the,
+  chr(65533) || substr(x, 5, 4) AS part, 'a-' || chr(133) || 'b-c-' || doc_id AS slug FROM y""")
+def js_text_rules(spark, sf_dir):
+    """White space, lengths, positions and parts by JavaScript's rules, on texts with an emoji, U+0085, U+FEFF and U+3000."""
+    d = _table(spark, sf_dir, "documents")
+    x = F.concat(F.lit("\ufeff \u0085\U0001f600"), "text", F.lit("\u0085 \u3000"))
+    slug = S.dash_slug(F.concat(F.lit("A \u0085B\ufeff\u00a0C\u2003"), F.col("doc_id").cast("string")))
+    return d.select("doc_id", S.js_trim(x).alias("trimmed"), S.utf16_length(x).cast("long").alias("units"), S.index_of(x, "the").cast("long").alias("first_the"), S.js_substring(x, F.lit(4), F.lit(9)).alias("part"), slug.alias("slug"))
+
+
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> ''))::BIGINT AS n FROM documents")
 def nonblank_lines(spark, sf_dir):
     lines = F.filter(S.js_split(F.col("text"), "\n"), lambda x: S.js_trim(x) != "")
@@ -161,11 +173,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+def _line_sql(pattern: str) -> str:
+    """DuckDB has no look-behind; on the tables ^ with the m flag is the same."""
+    return "(?m)" + pattern.replace(S.JS_LINE_START, "^") if S.JS_LINE_START in pattern else pattern
+
+
 def _rule_sql(text: str, rules) -> str:
     for pattern, by in rules:
         for k in (1, 2, 3):
             by = by.replace(f"${k}", f"\\{k}")
-        text = f"regexp_replace({text}, {_quoted(pattern.replace('(?U)', '').replace('(?mU)', '(?m)'))}, {_quoted(by)}, 'g')"
+        text = f"regexp_replace({text}, {_quoted(_line_sql(pattern))}, {_quoted(by)}, 'g')"
     return text
 
 
@@ -177,7 +194,7 @@ def _slug_sql(x: str) -> str:
     return f"regexp_replace(replace(lower({x}), '_', '-'), '[^a-z0-9-]', '', 'g')"
 
 
-_PAGE, _NAMED, _TABLE = wiki.PAGE_LINK, wiki.NAMED_LINK, wiki.TABLE
+_PAGE, _NAMED, _TABLE = wiki.PAGE_LINK, wiki.NAMED_LINK, _line_sql(wiki.TABLE)
 _WIKI_SQL = f"""
 WITH p AS (
   SELECT source || '_Doc_' || doc_id AS name, '== ' || source || ' ==' || chr(10) || '==== ' || lang || ' ====' || chr(10) || '[[Main_Page|home]] and [[' || lang || ' Text]] at [http://a.b/' || source
