@@ -35,6 +35,8 @@ STEP = 64
 #: Members of a group up to which all pairs from different components are compared, hubs of a larger one in a round, and members that stand
 #: beside one copy of their hub.
 SMALL, SLOTS, BLOCK = 8, 64, 128
+#: Further hubs that an open bucket gets, each from its largest component, before its members meet by their words.
+MORE = 2
 _MULT = mix(np.arange(1, 2 * BANDS + 1, dtype=U64)) | U64(1)
 
 
@@ -150,18 +152,23 @@ class Lead:
         end = max(0, min(width, self.n - low))
         return matched + end - (row & ((1 << end) - 1)).bit_count()
 
-    def similarity(self, other: np.ndarray, threshold: float = THRESHOLD) -> float:
-        """matched / (n_a + n_b - matched), or 0 where it is under the threshold.
+    def compared(self, other: np.ndarray, threshold: float = THRESHOLD) -> tuple[float, int]:
+        """(similarity, apart): matched / (n_a + n_b - matched), or 0 where it is under the threshold; and n_a + n_b - 2 matched, of a pair under the threshold only a
+        lower bound of it, by the words in common in whatever order.
 
-        A pair that reaches the threshold leaves at most (n_a + n_b) (1 - t) / (1 + t) words unmatched, so its alignment stays within as
-        many diagonals. Words in common, whatever their order, bound what can match.
+        A pair that reaches the threshold leaves at most (n_a + n_b) (1 - t) / (1 + t) words unmatched, so its alignment stays within as many diagonals.
         """
         total = self.n + len(other)
         need = threshold / (1 + threshold) * total - 1e-9
-        if not total or min(self.n, len(other)) < need or self.shared(other) < need:
-            return 0.0
-        matched = self.aligned(other, int(total - 2 * need + 1e-6))
-        return matched / (total - matched) if matched >= need else 0.0
+        shared = self.shared(other)
+        if shared and shared >= need:
+            matched = self.aligned(other, int(total - 2 * need + 1e-6))
+            if matched >= need:
+                return matched / (total - matched), total - 2 * matched
+        return 0.0, total - 2 * shared
+
+    def similarity(self, other: np.ndarray, threshold: float = THRESHOLD) -> float:
+        return self.compared(other, threshold)[0]
 
 
 def _beside(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -191,12 +198,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Lead, li
             yield columns, lead, run
 
 
+_PAIRS = "hub long, rep long, linked boolean, apart long"
+
+
 def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, lead, run in _members(batches):
-            ok = [i for i, seq in run if lead.similarity(seq, threshold) >= threshold]
-            hubs, reps = [columns["hub"][i] for i in ok], [columns["rep"][i] for i in ok]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(map(min, hubs, reps), pa.int64()), "b": pa.array(map(max, hubs, reps), pa.int64())})
+            told = [lead.compared(seq, threshold) for _, seq in run]
+            ends = [pa.array([columns[c][i] for i, _ in run], pa.int64()) for c in ("hub", "rep")]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array([x > 0 for x, _ in told]), pa.array([d for _, d in told], pa.int64())], names=["hub", "rep", "linked", "apart"])
 
     return verify
 
@@ -267,26 +277,44 @@ def _open(groups: DataFrame) -> DataFrame:
     return groups.join(state.filter("_any AND low < _high").select("id", "size", "low"), "id")
 
 
+def _reachable(rows: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """rows(id, rep, n, lead, comp, hub, linked, apart) of buckets without their hubs and without members that are linked to the hub and too far from all that is
+    outside of its component.
+
+    n_a + n_b - 2 matched is a metric, and a link to a member of n words is at most n (1 - t) / t long. So a member at a distance d from the hub has no link to
+    others whose distances from it all exceed d + n (1 - t) / t. Copies of one text leave the buckets that they share with unlike texts in this way.
+    """
+    hub_comp = comps.select(F.col("id").alias("hub"), F.col("comp").alias("_hub_comp"))
+    known = rows.filter("rep <> hub").join(hub_comp, "hub", "left").withColumn("_out", F.col("comp") != F.coalesce("_hub_comp", "hub"))
+    outside = known.filter("_out").groupBy("id").agg(F.min("apart").alias("_least"))
+    reach = F.col("apart") + F.col("n") * ((1 - threshold) / threshold) + 1e-6
+    kept = known.join(outside, "id").filter(F.col("_out") | ~F.col("linked") | (reach >= F.col("_least")))
+    return kept.select("id", "rep", "n", "lead", "comp", F.lit(True).alias("short"))
+
+
 def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The links(a, b) that were tested within buckets(id, rep, n, lead), and the components(id, comp) that all links make.
 
-    The first round compares each bucket's hub with its other members. What is open then is compared pair by pair where it is small
+    The first round compares each bucket's hub with its other members, MORE rounds the same for a member of the largest component that is left. What is open then is compared pair by pair where it is small
     and refined where it is large. Of refined groups that are still large, the members outside of the least component
-    become hubs in turn.
+    become hubs in turn, in each round four times as many as in the one before.
     """
     spark = buckets.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "id long, comp long")
 
-    def test(pairs: DataFrame) -> None:
+    def test(pairs: DataFrame) -> DataFrame:
+        """Tells which of pairs(hub, rep) are links, and takes them up."""
         nonlocal links, comps
         fresh = cut(pairs.distinct(), "pairs")
-        found = cut(_beside(fresh, seqs).mapInArrow(_verify(threshold), "a long, b long").distinct(), "links")
+        told = cut(_beside(fresh, seqs).mapInArrow(_verify(threshold), _PAIRS), "tested")
+        found = cut(told.filter("linked").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "links")
         if not found.isEmpty():
             before, links = (links, comps), cut(links.unionByName(found).distinct(), "links")
             comps = components(links)
             drop_scratch(*before)
         drop_scratch(fresh, found)
+        return told
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -299,20 +327,28 @@ def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tupl
         b = rows.select("id", "rep", "n", "comp", "short")
         return a.join(b, "id").filter((F.col("hub_comp") != F.col("comp")) & (F.col("hub_n") <= F.col("n")) & alike("hub_n", "n") & F.expr("hub_n < n OR hub < rep OR NOT short")).select("hub", "rep")
 
-    hub = buckets.groupBy("id").agg(F.min(F.struct("lead", "rep", "n")).alias("_hub")).select("id", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"))
-    met = cut(buckets.join(hub, "id").filter("rep <> hub"), "met")
-    test(met.filter(alike("n", "hub_n")).select("hub", "rep"))
-    still = cut(_open(placed(met.select("id", "rep", "n", "lead")).withColumn("short", F.lit(True))), "open")
+    still = buckets
+    hubs = buckets.groupBy("id").agg(F.min(F.struct("lead", "rep")).alias("_hub")).select("id", F.col("_hub.rep").alias("hub"))
+    for last in range(MORE, -1, -1):
+        met = cut(still.select("id", "rep", "n", "lead").join(hubs, "id"), "met")
+        told = test(met.filter("rep <> hub").select("hub", "rep"))
+        before, still = still, cut(_open(_reachable(placed(met.join(told, ["hub", "rep"])), comps, threshold)), "open")
+        drop_scratch(met, told, *([] if before is buckets else [before]))
+        if last:  # next, a member of the component that has most members there
+            shares = still.groupBy("id", "comp").agg(F.count("*").alias("_n"), F.min(F.struct("lead", "rep")).alias("_best"))
+            hubs = shares.groupBy("id").agg(F.max_by("_best.rep", F.struct("_n", "comp")).alias("hub"))
     members = cut(still.filter(F.col("size") > SMALL).select("rep", "n", "lead", "comp").distinct(), "members")
     groups = refined(members, seqs, threshold)
     live = cut(_open(groups.unionByName(still.filter(F.col("size") <= SMALL).drop("size", "low"))), "open")
-    drop_scratch(met, still, members, groups)
-    test(all_pairs(live.filter(F.col("size") <= SMALL)))
+    drop_scratch(still, members, groups)
+    drop_scratch(test(all_pairs(live.filter(F.col("size") <= SMALL))))
     rest = cut(live.filter(F.col("size") > SMALL).withColumn("waits", F.col("comp") != F.col("low")).drop("size", "low", "comp"), "rest")
     drop_scratch(live)
+    slots = SLOTS
     while True:
         live = cut(_open(placed(rest)).drop("size", "low"), "open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")
+        slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")
+        slots *= 4
         hubs = live.filter("waits").groupBy("id", slot).agg(F.min(F.struct("lead", "rep", "n", "comp", "short")).alias("_hub"))
         hubs = cut(hubs.select("id", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"), F.col("_hub.comp").alias("hub_comp"), F.col("_hub.short").alias("hub_short")), "hubs")
         drop_scratch(rest)
@@ -320,7 +356,7 @@ def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tupl
             drop_scratch(live, hubs)
             return links, comps
         pairs = live.join(hubs, "id").filter((F.col("comp") != F.col("hub_comp")) & alike("n", "hub_n") & F.expr("short OR hub_short"))
-        test(pairs.select("hub", "rep"))
+        drop_scratch(test(pairs.select("hub", "rep")))
         past = hubs.select("id", F.col("hub").alias("rep"), F.lit(True).alias("_past"))
         rest = cut(live.join(past, ["id", "rep"], "left").withColumn("waits", F.col("waits") & F.col("_past").isNull()).drop("_past", "comp"), "rest")
         drop_scratch(live, hubs)
