@@ -145,3 +145,47 @@ def test_known_counts_of_the_real_files(spark):
             assert pairs.count() == 183 and depths == {0: 1, 1: 2, 2: 8, 3: 8, 4: 14, 5: 10, 6: 1, 7: 3, 8: 1}
             assert O.schema_profile(nodes, edges).count() == 8 and O.leaves(nodes.filter("kind = 'class'"), edges).count() == 26
     assert found[48, 63] == (173, 4, 0, 0, 5) and found[21, 10][:4] == (21, 17, 20, 4)
+
+
+def test_closure_of_a_long_chain_and_of_random_graphs(spark):
+    import random
+    from collections import deque
+
+    chain = spark.createDataFrame([(f"c{i}", "is_a", f"c{i + 1}") for i in range(200)] + [(None, "is_a", "c0"), ("c0", "is_a", None)], "src_iri string, label string, dst_iri string")
+    pairs = O.closure(chain)
+    assert pairs.count() == 200 * 201 // 2 and pairs.agg({"depth": "max"}).first()[0] == 200
+    rng = random.Random(6)
+    edges = sorted({(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(45)})
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    want = {}
+    for a in after:
+        queue = deque((b, 1) for b in after[a])
+        while queue:
+            b, d = queue.popleft()
+            if (a, b) not in want:
+                want[a, b] = d
+                queue.extend((c, d + 1) for c in after.get(b, []))
+    got = O.closure(spark.createDataFrame([(a, "x", b) for a, b in edges], "src_iri string, label string, dst_iri string"), None).collect()
+    assert len(got) == len(want) and {(r.src_iri, r.dst_iri): r.depth for r in got} == want
+
+
+def test_overlaps_of_ranges_of_any_length(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def made(n):
+        rows = []
+        for i in range(n):
+            low = rng.randrange(-1000, 1000)
+            rows.append((i, low, low + rng.choice([0, 0, 1, 2, 7, 8, 31, 300, 10**9])))
+        return [*rows, (n, None, 3), (n + 1, 3, None), (n + 2, 5, 4)]
+
+    a, b = made(60), made(70)
+    schema = "name int, low long, high long"
+    got = [(r.name, r.other) for r in O.age_overlaps(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()]
+    want = {(i, j) for i, p, q in a for j, r, s in b if None not in (p, q, r, s) and p <= q and r <= s and p <= s and r <= q}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert O.age_overlaps(spark.createDataFrame([], schema), spark.createDataFrame(b, schema)).count() == 0

@@ -65,24 +65,26 @@ def leaves(nodes: DataFrame, edges: DataFrame, label: str = "is_a") -> DataFrame
     return nodes.join(edges.filter(F.col("label") == label).select(F.col("dst_iri").alias("iri")), "iri", "left_anti")
 
 
-def closure(edges: DataFrame, label: str | None = "is_a", max_steps: int = 100) -> DataFrame:
+def closure(edges: DataFrame, label: str | None = "is_a") -> DataFrame:
     """(src_iri, dst_iri, depth): every node with all that it reaches, at the least number of steps.
 
-    Each round joins the newest pairs with the edges and keeps pairs not seen before, so cycles end. A node that lies on a
-    cycle reaches itself. Lineage is cut each round.
+    Each round doubles the reach: pairs of just 2^k steps meet the pairs of up to 2^k that begin where they end, and pairs known before fall out. So
+    there are as many rounds as the depth has binary digits, a pair of a tree is made once, and cycles end. A node that lies on a cycle reaches itself. A node
+    that many lead to makes one side of its join long; adaptive execution splits that side. Lineage is cut each round. Nulls lead nowhere.
     """
     from weftwork.operators.rounds import cut
 
     step = edges if label is None else edges.filter(F.col("label") == label)
-    step = cut(step.select("src_iri", "dst_iri").distinct(), "step")
-    known = newest = cut(step.withColumn("depth", F.lit(1)), "closure")
-    for depth in range(2, max_steps + 1):
-        on = newest.select("src_iri", F.col("dst_iri").alias("mid")).join(step.select(F.col("src_iri").alias("mid"), "dst_iri"), "mid").select("src_iri", "dst_iri").distinct()
-        newest = cut(on.join(known, ["src_iri", "dst_iri"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+    known = cut(step.filter("src_iri IS NOT NULL AND dst_iri IS NOT NULL").select("src_iri", "dst_iri", F.lit(1).alias("depth")).distinct(), "closure")
+    reach = 1
+    while True:
+        far = known.filter(F.col("depth") == reach).select("src_iri", F.col("dst_iri").alias("mid"))
+        on = far.join(known.select(F.col("src_iri").alias("mid"), "dst_iri", "depth"), "mid").groupBy("src_iri", "dst_iri").agg((F.min("depth") + reach).alias("depth"))
+        newest = cut(on.join(known, ["src_iri", "dst_iri"], "left_anti"), "closure")
         if newest.isEmpty():
             return known
         known = known.unionByName(newest)
-    raise ValueError(f"paths of over {max_steps} steps")
+        reach *= 2
 
 
 def depths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -174,16 +176,25 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def age_overlaps(phases: DataFrame, others: DataFrame, width: int = 10) -> DataFrame:
-    """Pairs of age ranges low to high, both ends included, that overlap: (name, other).
+def age_overlaps(phases: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of age ranges low to high, both ends included, that overlap: (name, other). Ranges with a null bound, or with low over high, overlap nothing.
 
-    Ranges meet in buckets of `width` years and a pair is reported in the bucket where the later one starts, so no pair comes
-    twice and there is no cross join.
+    Ranges are classed by the power of two that their length stays under. A pair meets in buckets as wide as the class of its longer range, of which either
+    touches two at most, and is reported in the one where the later range starts; so a range makes two rows for each longer class that there is, 64 at most,
+    however long it is, no pair comes twice and there is no cross join.
     """
+    def classed(df: DataFrame) -> DataFrame:
+        return df.filter("low <= high").withColumn("_class", F.ceil(F.log2(F.col("high") - F.col("low") + F.lit(1.0))).cast("int"))
+
+    a, b = classed(phases.select("name", "low", "high")), classed(others.select(F.col("name").alias("other"), "low", "high"))
+    present = sorted(r[0] for r in a.select("_class").unionByName(b.select("_class")).distinct().collect())
+    levels = F.array(*map(F.lit, present)) if present else F.array().cast("array<int>")
+
     def spread(df: DataFrame) -> DataFrame:
-        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+        at = df.withColumn("_level", F.explode(F.filter(levels, lambda x: x >= F.col("_class")))).withColumn("_width", F.pow(F.lit(2.0), F.col("_level")))
+        ends = F.array_distinct(F.array(F.floor(F.col("low") / F.col("_width")), F.floor(F.col("high") / F.col("_width"))))
+        return at.withColumn("_b", F.explode(ends))
 
-    a = spread(phases.filter("low <= high"))
-    b = spread(others.filter("low <= high").select(F.col("name").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2")).withColumnsRenamed({"low2": "low", "high2": "high"})).withColumnsRenamed({"low": "low2", "high": "high2"})
-    met = a.join(b, "_b").filter("low <= high2 AND low2 <= high")
-    return met.filter(F.col("_b") == F.floor(F.greatest("low", "low2") / width)).select("name", "other")
+    met = spread(a).join(spread(b).drop("_width").withColumnsRenamed({"low": "low2", "high": "high2", "_class": "_class2"}), ["_level", "_b"])
+    kept = met.filter("low <= high2 AND low2 <= high AND _level = greatest(_class, _class2)")
+    return kept.filter(F.col("_b") == F.floor(F.greatest("low", "low2") / F.col("_width"))).select("name", "other")
