@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import scalars as S
 from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
-from weftwork.operators import affinity, paths, search, wiki
+from weftwork.operators import affinity, mapping, paths, search, wiki
 from weftwork.operators import quality as Q
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
@@ -543,6 +543,24 @@ def question_who_orders(spark, sf_dir):
     return paths.reached(graph.edges(spark, sf_dir), largest, pattern)
 
 
+_TYPO_SQL = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, k) || substr(p_name, k + 2) WHEN 2 THEN substr(p_name, 1, k) || 'q' || substr(p_name, k + 2) ELSE 'zz' || p_name END"
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS variable, trim(regexp_replace(lower({_TYPO_SQL}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS v FROM (SELECT *, p_partkey % 7 AS k FROM part)),
+t AS (SELECT DISTINCT p_name AS term, trim(regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM part),
+near AS (SELECT variable, term, levenshtein(v, t) AS edits FROM v JOIN t ON abs(length(v) - length(t)) <= 2
+  WHERE levenshtein(v, t) <= least(CASE WHEN length(v) >= 7 THEN 2 WHEN length(v) >= 4 THEN 1 ELSE 0 END, CASE WHEN length(t) >= 7 THEN 2 WHEN length(t) >= 4 THEN 1 ELSE 0 END)),
+ranked AS (SELECT *, row_number() OVER w AS r, lead(edits) OVER w - edits AS margin FROM near WINDOW w AS (PARTITION BY variable ORDER BY edits, term))
+SELECT variable, term, edits, margin, coalesce(margin >= 1, true) AS sure FROM ranked WHERE r = 1""")
+def mapped_labels(spark, sf_dir):
+    """Part names with up to two typing errors mapped back to the part names."""
+    p, k = _table(spark, sf_dir, "part"), (F.col("p_partkey") % 7).cast("int")
+    name, kind = F.col("p_name"), F.col("p_partkey") % 4
+    after = F.substring(name, k + 2, F.length(name))
+    label = F.when(kind == 0, name).when(kind == 1, F.concat(F.substring(name, F.lit(1), k), after)).when(kind == 2, F.concat(F.substring(name, F.lit(1), k), F.lit("q"), after)).otherwise(F.concat(F.lit("zz"), name))
+    return mapping.mapping_table(p.select(F.col("p_partkey").alias("variable"), label.alias("label")), p.select(name.alias("term"), name.alias("label")))
+
+
 # --- what goes together ----------------------------------------------------------------------------
 
 _LINKS_SQL = """WITH one AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem),
