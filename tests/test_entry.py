@@ -17,7 +17,7 @@ ROOT = Path(__file__).resolve().parents[1]
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
