@@ -271,6 +271,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
 
 
+def joined(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """comps(id, comp) with the links found(a, b) taken up: the components that are there are joined, none is worked out anew."""
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        at = comps.select(F.col("id").alias(end), F.col("comp").alias(f"_{end}"))
+        return rows.join(at, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+
+    ends = cut(named(named(found.select("a", "b"), "a"), "b"), "ends")
+    fresh = ends.select("a", "_a").unionByName(ends.select(F.col("b").alias("a"), F.col("_b").alias("_a"))).toDF("id", "comp")
+    known = comps.unionByName(fresh).distinct()
+    apart = cut(ends.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "apart")
+    if not apart.isEmpty():
+        merged = components(apart)
+        known = known.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("_new")), "comp", "left").select("id", F.coalesce("_new", "comp").alias("comp"))
+    out = cut(known, "components")
+    drop_scratch(ends, apart)
+    return out
+
+
 def _open(groups: DataFrame) -> DataFrame:
     """The rows of groups that hold several components and a member that may be the shorter of a pair, with the group's size and least component."""
     state = groups.groupBy("id").agg(F.count("*").alias("size"), F.max("short").alias("_any"), F.min("comp").alias("low"), F.max("comp").alias("_high"))
@@ -311,7 +329,7 @@ def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tupl
         found = cut(told.filter("linked").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "links")
         if not found.isEmpty():
             before, links = (links, comps), cut(links.unionByName(found).distinct(), "links")
-            comps = components(links)
+            comps = joined(comps, found)
             drop_scratch(*before)
         drop_scratch(fresh, found)
         return told
