@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import scalars as S
 from weftwork.operators import messages as M
 from weftwork.operators import ontology as O
-from weftwork.operators import affinity, mapping, paths, search, wiki
+from weftwork.operators import affinity, mapping, paths, search, shapes, versions, wiki
 from weftwork.operators import quality as Q
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
@@ -599,6 +599,84 @@ def part_recommendations(spark, sf_dir):
     return found.select(F.col("user").alias("cust"), "rank", "item", "score", F.array_join(F.transform("reasons", lambda i: i.cast("string")), ",").alias("reasons"))
 
 
+# --- shapes and versions of graphs -------------------------------------------------------------------
+
+_SHAPES = (
+    shapes.Shape("buyer", (shapes.Count("placed", 1, 12), shapes.Targets("placed", ("st:F", "st:O")), shapes.Closed(("placed",)), shapes.Has("name"), shapes.Unique("stamp")), "entity", ("r:2",)),
+    shapes.Shape("open order", (shapes.Count("holds", 2, 6), shapes.Closed(("placed",)), shapes.Has("name")), "entity", ("st:P",)),
+    shapes.Shape("kind", (shapes.Count("is_a", 1, 1), shapes.Unique("name")), "class"),
+)
+
+
+@query(_g(""", buyer AS (SELECT iri, right(name, 3) AS stamp FROM nodes WHERE kind = 'entity' AND class_iri IN (SELECT src_iri FROM up WHERE dst_iri = 'r:2')),
+part_order AS (SELECT iri FROM nodes WHERE kind = 'entity' AND class_iri = 'st:P')
+SELECT 'buyer' AS shape, 'entity' AS kind, iri, 'placed 1..12' AS rule, count(dst_iri) AS found FROM buyer LEFT JOIN edges ON src_kind = 'entity' AND src_iri = iri AND label = 'placed' GROUP BY iri HAVING count(dst_iri) NOT BETWEEN 1 AND 12
+UNION ALL SELECT 'buyer', 'entity', iri, 'placed to st:F|st:O', count(*) FROM buyer JOIN edges ON src_kind = 'entity' AND src_iri = iri AND label = 'placed' WHERE dst_iri NOT IN (SELECT iri FROM nodes WHERE class_iri IN ('st:F', 'st:O')) GROUP BY iri
+UNION ALL SELECT 'buyer', 'entity', iri, 'stamp unique', n FROM (SELECT iri, count(*) OVER (PARTITION BY stamp) AS n FROM buyer) WHERE n > 1
+UNION ALL SELECT 'open order', 'entity', iri, 'holds 2..6', count(dst_iri) FROM part_order LEFT JOIN edges ON src_kind = 'entity' AND src_iri = iri AND label = 'holds' GROUP BY iri HAVING count(dst_iri) NOT BETWEEN 2 AND 6
+UNION ALL SELECT 'open order', 'entity', iri, 'only placed', count(*) FROM part_order JOIN edges ON src_kind = 'entity' AND src_iri = iri AND label <> 'placed' GROUP BY iri
+UNION ALL SELECT 'open order', 'entity', iri, 'name required', 0 FROM part_order
+UNION ALL SELECT 'kind', 'class', iri, 'is_a 1..1', count(dst_iri) FROM nodes LEFT JOIN edges ON src_kind = 'class' AND src_iri = iri AND label = 'is_a' WHERE kind = 'class' GROUP BY iri HAVING count(dst_iri) <> 1
+UNION ALL SELECT 'kind', 'class', iri, 'name unique', n FROM (SELECT iri, count(*) OVER (PARTITION BY name) AS n FROM nodes WHERE kind = 'class' AND name IS NOT NULL) WHERE n > 1"""))
+def shape_violations(spark, sf_dir):
+    """Buyers of region 2 place 1 to 12 orders, none of them open; open orders and classes have rules of their own."""
+    edges = graph.edges(spark, sf_dir)
+    regions = graph.nodes(spark, sf_dir).filter("iri = 'r:2'").select("iri")
+    under = paths.reached(edges, regions, paths.some(paths.back("is_a"))).select(F.col("iri").alias("src_iri"), F.col("seed").alias("dst_iri"))
+    nodes = graph.nodes(spark, sf_dir).withColumn("stamp", F.expr("right(name, 3)"))
+    return shapes.violations(nodes, edges, _SHAPES, under).drop("source")
+
+
+_LOG_SQL = """WITH log AS (
+  SELECT 'y' || year(o_orderdate) AS graph, 'p:' || o_custkey AS s, 'placed' AS p, 'o:' || o_orderkey AS o, 1 + o_orderkey % 5 AS version, 1 AS added FROM orders
+  UNION ALL SELECT 'y' || year(o_orderdate), 'p:' || o_custkey, 'placed', 'o:' || o_orderkey, 6 + o_orderkey % 3, 0 FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 'y' || year(o_orderdate), 'p:' || o_custkey, 'placed', 'o:' || o_orderkey, 6 + o_orderkey % 3 + o_orderkey % 2, 1 FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 0
+  UNION ALL SELECT 's' || l_returnflag, 'o:' || l_orderkey, 'holds', 'part:' || l_partkey, 1 + l_linenumber, 1 FROM lineitem
+  UNION ALL SELECT 's' || l_returnflag, 'o:' || l_orderkey, 'holds', 'part:' || l_partkey, 5, 0 FROM lineitem WHERE l_linestatus = 'F'
+)"""
+
+
+def _quad_log(spark, sf_dir) -> DataFrame:
+    """Orders are placed in the graph of their year; finished ones are removed later and some come back. Lines are held in the graph of their flag."""
+    def quads(rows, graph_of, s, p, o, version, added):
+        return rows.select(graph_of.alias("graph"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"), version.cast("long").alias("version"), F.lit(added).alias("added"))
+
+    orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    done, key = orders.filter("o_orderstatus = 'F'"), F.col("o_orderkey")
+    placed = (F.concat(F.lit("y"), F.year("o_orderdate").cast("string")), F.concat(F.lit("p:"), F.col("o_custkey").cast("string")), "placed", F.concat(F.lit("o:"), key.cast("string")))
+    held = (F.concat(F.lit("s"), "l_returnflag"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")), "holds", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")))
+    return (
+        quads(orders, *placed, 1 + key % 5, True)
+        .unionByName(quads(done, *placed, 6 + key % 3, False))
+        .unionByName(quads(done.filter("o_custkey % 4 = 0"), *placed, 6 + key % 3 + key % 2, True))
+        .unionByName(quads(lines, *held, 1 + F.col("l_linenumber"), True))
+        .unionByName(quads(lines.filter("l_linestatus = 'F'"), *held, F.lit(5), False))
+    )
+
+
+_INTERVALS_SQL = _LOG_SQL + """, each AS (SELECT graph, s, p, o, version, max(added) AS added FROM log GROUP BY ALL),
+turns AS (SELECT * FROM (SELECT *, lag(added, 1, 0) OVER (PARTITION BY graph, s, p, o ORDER BY version) AS before FROM each) WHERE added <> before),
+spans AS (SELECT graph, s, p, o, version AS since, lead(version) OVER (PARTITION BY graph, s, p, o ORDER BY version) AS until, added FROM turns)"""
+
+
+@query(_INTERVALS_SQL + " SELECT graph, s, p, o, since, until FROM spans WHERE added = 1")
+def graph_intervals(spark, sf_dir):
+    return versions.intervals(_quad_log(spark, sf_dir))
+
+
+@query(_INTERVALS_SQL + " SELECT s, p, o, graph, since FROM spans WHERE added = 1 AND since <= 7 AND (until IS NULL OR until > 7)")
+def graph_provenance(spark, sf_dir):
+    """Which graphs say what as of version 7, and since when."""
+    return versions.provenance(_quad_log(spark, sf_dir), 7)
+
+
+@query(_INTERVALS_SQL + """, a AS (SELECT * FROM spans WHERE added = 1 AND since <= 4 AND (until IS NULL OR until > 4)), b AS (SELECT * FROM spans WHERE added = 1 AND since <= 8 AND (until IS NULL OR until > 8))
+SELECT graph, s, p, o, 'removed' AS change FROM a ANTI JOIN b USING (graph, s, p, o) UNION ALL SELECT graph, s, p, o, 'added' FROM b ANTI JOIN a USING (graph, s, p, o)""")
+def graph_difference(spark, sf_dir):
+    """What changes from version 4 to version 8."""
+    return versions.difference(versions.compact(_quad_log(spark, sf_dir), 3), 4, 8)
+
+
 # --- search ----------------------------------------------------------------------------------------
 
 _SEARCH_SQL = """WITH held AS (
