@@ -14,6 +14,7 @@ from weftwork.operators import affinity, mapping, paths, search, shapes, version
 from weftwork.operators import quality as Q
 from weftwork.operators.rounds import scratch_path
 from weftwork.plans import graph
+from weftwork.sources import files, ledger, ontology_yaml, page_files as page_sink
 from weftwork.streaming import messages as stream_messages
 
 QUERIES: dict = {}
@@ -677,6 +678,56 @@ def graph_difference(spark, sf_dir):
     return versions.difference(versions.compact(_quad_log(spark, sf_dir), 3), 4, 8)
 
 
+# --- folders of files --------------------------------------------------------------------------------
+
+
+@query("""SELECT slug, count(*) AS pages, max_by(p_type || ' ' || p_partkey, p_partkey) || chr(10) AS raw, CASE WHEN count(*) > 1 THEN 'clash' END AS reason
+FROM (SELECT *, regexp_replace(replace(lower(p_name), '_', '-'), '[^a-z0-9-]', '', 'g') AS slug FROM part) GROUP BY slug""")
+def page_files(spark, sf_dir):
+    """Parts as pages named by the slug of the part's name, written one file each and read back, with the report of clashes."""
+    pages = _table(spark, sf_dir, "part").select(S.slug(F.col("p_name")).alias("slug"), F.concat_ws(" ", "p_type", F.col("p_partkey").cast("string")).alias("markdown"), "p_partkey")
+    path = scratch_path(spark, "page_files")
+    report = page_sink.write_page_files(pages, path, order="p_partkey")
+    back = files.landed_pages(spark, path).withColumnRenamed("name", "slug")
+    return back.join(report, "slug", "left").select("slug", F.coalesce("pages", F.lit(1)).alias("pages"), "raw", "reason")
+
+
+@query("""WITH c AS (SELECT *, 'block-' || c_custkey // 100 || '.yaml' AS source FROM customer), good AS (SELECT * FROM c WHERE (c_custkey // 100) % 5 <> 4)
+SELECT source, 'name' AS what, 'http://a.b/p/' || c_custkey AS a, c_name AS b FROM good
+UNION ALL SELECT source, 'class', 'http://a.b/p/' || c_custkey, 'http://a.b/n:' || c_nationkey FROM good
+UNION ALL SELECT source, 'lives_in', 'http://a.b/p/' || c_custkey, 'http://a.b/n:' || c_nationkey FROM good
+UNION ALL SELECT source, 'buys_for', 'http://a.b/p/' || c_custkey, 'q:' || c_mktsegment FROM good WHERE c_custkey % 2 = 0
+UNION ALL SELECT DISTINCT source, CASE WHEN (c_custkey // 100) % 5 = 4 THEN 'faulty' ELSE 'read' END, CASE WHEN (c_custkey // 100) % 5 = 4 THEN '0' ELSE '1' END, NULL FROM c""")
+def ontology_documents(spark, sf_dir):
+    """Customers as YAML documents of at most 100 entities, written one file a document and read by tasks; each has a value to repair and every fifth is broken off."""
+    key = F.col("c_custkey").cast("string")
+    to_nation = F.concat(F.lit("n:"), F.col("c_nationkey").cast("string"))
+    relations = F.concat(F.lit("\n    relations:\n      - label: lives_in\n        to: "), to_nation, F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("\n      - label: buys_for\n        to: q:"), "c_mktsegment")).otherwise(""))
+    entity = F.concat(F.lit("\n  - id: p:"), key, F.lit("\n    name: "), "c_name", F.lit("\n    class: "), to_nation, relations)
+    blocks = _table(spark, sf_dir, "customer").select(F.expr("c_custkey DIV 100").alias("block"), entity.alias("entity")).groupBy("block").agg(F.array_join(F.array_sort(F.collect_list("entity")), "").alias("entities"))
+    head = F.lit("title: some customers\nprefixes:\n  p: http://a.b/p/\n  n: http://a.b/n:\nentities:")
+    text = F.when(F.col("block") % 5 == 4, F.concat(head, F.lit(" ["), "entities")).otherwise(F.concat(head, "entities"))
+    path = scratch_path(spark, "ontologies")
+    page_sink.write_page_files(blocks.select(F.concat(F.lit("block-"), F.col("block").cast("string")).alias("slug"), text.alias("markdown"), "block"), path, ".yaml", "block")
+    nodes, edges, _, documents = ontology_yaml.read_ontologies(spark, path)
+    return (
+        nodes.select("source", F.lit("name").alias("what"), F.col("iri").alias("a"), F.col("name").alias("b"))
+        .unionByName(nodes.select("source", F.lit("class").alias("what"), F.col("iri").alias("a"), F.col("class_iri").alias("b")))
+        .unionByName(edges.select("source", F.col("label").alias("what"), F.col("src_iri").alias("a"), F.col("dst_iri").alias("b")))
+        .unionByName(documents.select("source", F.when(F.col("error").isNull(), "read").otherwise("faulty").alias("what"), F.col("repaired").cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
+    )
+
+
+@query("""SELECT event_id, sha256('{"event_id":' || event_id || '}') AS id, 1 AS times FROM events""")
+def sent_events(spark, sf_dir):
+    """Errors are sent, then all events: the ledger holds each once, whichever run sent it."""
+    events, path = _table(spark, sf_dir, "events"), scratch_path(spark, "ledger")
+    for rows in (events.filter("event_type = 'error'"), events):
+        ledger.send_once(rows, ["event_id"], lambda: lambda row, name: 200, path)
+    written = spark.read.schema("id string").text(path).groupBy("id").agg(F.count("*").alias("times"))
+    return events.select("event_id", ledger.message_id(["event_id"]).alias("id")).join(written, "id")
+
+
 # --- search ----------------------------------------------------------------------------------------
 
 _SEARCH_SQL = """WITH held AS (
