@@ -177,7 +177,7 @@ def train(texts: Sequence[str], toxic: np.ndarray, quality: np.ndarray, weights:
 def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     """Trains on at most SAMPLE_EACH texts (of SAMPLE_CHARS code points at most) of each toxic value, chosen by a hash of
     doc_id. Labels with a null in any column are left out; a document labelled twice is toxic, or of low
-    quality, if either label says so. Without labels of both kinds every text gets the base rate.
+    quality, if either label says so; of several texts of one doc_id the least is read. Without labels of both kinds every text gets the base rate.
 
     One task trains on the bounded sample; the driver receives the chain alone.
     """
@@ -195,7 +195,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
 
     some = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for value in (0, 1)]
     read = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    sample = read.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
+    sample = read.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "toxic", "quality").agg(F.min("text").alias("text"))
     fitted = sample.repartition(1).mapInArrow(fit, "chain binary").first()
     return pickle.loads(fitted["chain"]) if fitted else train([], np.zeros(0), np.zeros(0), np.zeros(0))
 
