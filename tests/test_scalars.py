@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,23 @@ def test_substring_and_index_by_utf16_units(spark):
         assert r.tail == units(r.s, r.a, 99)
         assert r.i == (len(r.s[: r.s.index("b")].encode("utf-16-le")) // 2 if "b" in r.s else -1)
     assert one(spark, S.dash_slug(F.col("s")), s="A\ufeffB\u0085C\u2003 d") == "a-b\u0085c-d"
+
+
+def test_texts_are_walked_natively(spark):
+    """Every pair of ends against Python's own UTF-16; a whole text is neither split into characters nor matched at each."""
+    text = "﻿\u0085\U0001f600a\U0001f601é　"
+    raw = text.encode("utf-16-be")
+    n = len(raw) // 2
+
+    def part(i, j):
+        low, high = sorted((min(i, n), min(j, n)))
+        return re.sub("[\ud800-\udfff]", "�", raw[2 * low : 2 * high].decode("utf-16-be", "surrogatepass"))
+
+    ends = spark.createDataFrame([(text, i, j) for i in range(n + 2) for j in range(n + 2)], "s string, i int, j int")
+    for r in ends.select("i", "j", S.js_substring(F.col("s"), F.col("i"), F.col("j")).alias("r"), S.utf16_length(F.col("s")).alias("n")).collect():
+        assert (r.r, r.n) == (part(r.i, r.j), n), (r.i, r.j)
+    spaces = "\t\n\x0b\f\r \xa0       　﻿"
+    assert one(spark, S.js_trim(F.col("s")), s=f"{spaces}\u0085 x ᠎{spaces}") == "\u0085 x ᠎"
+    s = F.col("s")
+    for made in (S.js_trim(s), S.utf16_length(s), S.js_substring(s, F.lit(4), F.lit(9)), S.index_of(s, "x")):
+        assert "regexp_replace" not in str(made) and "split" not in str(made) and "aggregate" not in str(made)
