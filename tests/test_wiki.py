@@ -35,3 +35,12 @@ def test_lines_and_white_space_are_javascripts(spark):
     raw = "x\u0085* a\n*\ufeffb\u2028*\u0085c\n==\u3000T\u0085 =="
     got = spark.createDataFrame([("P", raw)], "name string, raw string").select(wiki.markdown_body(F.col("raw")).alias("m")).first().m
     assert got == "x\u0085* a\n- b\u2028*\u0085c\n  1. T\u0085 "
+
+
+def test_list_rules_stop_at_marks_alone(spark):
+    """The rules in use begin with their mark, and give what the written ones give."""
+    assert all(used[0] in "\\#" and used != rule for (used, _), (rule, _) in zip(wiki._LISTS, wiki.LISTS, strict=True))
+    starts = ["", "\n", "\r", " ", "\u0085", "x", "\U0001f600", "*", "#", " "]
+    rows = [(a + mark * n + end,) for a in starts for mark in "*#" for n in range(1, 6) for end in (" b", "﻿b", "\n", "b", "", f" {mark} {mark}{mark} ")]
+    s = F.col("s")
+    assert spark.createDataFrame(rows, "s string").filter(wiki._apply(s, wiki._LISTS) != wiki._apply(s, wiki.LISTS)).count() == 0
