@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from weftwork.operators import affinity
+import pytest
+
+from weftwork.operators import affinity, rounds
 
 
 def links_by_hand(lines, widest, least, links):
@@ -79,3 +81,15 @@ def test_recommendations_and_reasons(spark):
     assert want and {(r.user, r["rank"]): (r.item, r.score, r.reasons) for r in got} == want
     assert affinity.recommendations(spark.createDataFrame([], "user long, item long"), frame).count() == 0
     assert affinity.gaps(frame.limit(0)).count() == 0
+
+
+def test_more_lines_are_dealt_over_more_tasks(spark):
+    """The number of tasks follows the rows, and the session's own settings come back, also after an error."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(RuntimeError), rounds.small_tasks(spark, 10_000_000):
+        assert spark.conf.get(names[0]) == "40"
+        raise RuntimeError
+    with rounds.small_tasks(spark, 10):
+        assert spark.conf.get(names[0]) == before[0]
+    assert [spark.conf.get(n) for n in names] == before
