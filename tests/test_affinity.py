@@ -93,3 +93,8 @@ def test_more_lines_are_dealt_over_more_tasks(spark):
     with rounds.small_tasks(spark, 10):
         assert spark.conf.get(names[0]) == before[0]
     assert [spark.conf.get(n) for n in names] == before
+    spark.conf.set(names[1], "16k")
+    with rounds.small_tasks(spark, 10):
+        assert spark.conf.get(names[1]) == "16384b" and spark.conf.get(names[2]) == f"{32 << 20}b"
+    spark.conf.set(names[1], before[1])
+    assert [rounds._bytes(x) for x in ("64MB", "8m", "1024", "128k", "67108864b")] == [64 << 20, 8 << 20, 1024, 128 << 10, 64 << 20]
