@@ -369,3 +369,58 @@ def test_many_copies_around_the_threshold_against_all_pairs(spark):
     assert 20 < len(set(want.values())) < 480
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def edited_copies(n, seed):
+    """Copies of two related texts with 6 to 24 edits each."""
+    rng = np.random.default_rng(seed)
+    first = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    second = [f"v{i}" if i % 5 == 0 else w for i, w in enumerate(first)]
+    rows = []
+    for i in range(n):
+        words = list((first, second)[i % 2])
+        for at in rng.choice(150, rng.integers(6, 25), replace=False):
+            words[at] = ("", f"e{i}x{at}", "common")[rng.integers(0, 3)]
+        rows.append((i, " ".join(w for w in words if w)))
+    return rows
+
+
+def test_few_pairs_are_aligned_in_groups_of_copies_that_are_no_links(spark, monkeypatch):
+    """Most copies have too many edits for links: of their pairs only those are compared whose bitmaps allow a link, whatever the sizes of blocks."""
+    rows, tested = edited_copies(400, 7), []
+    want, plain = classes_by_hand(rows), near_dedup.cut
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "tested":
+            tested.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+    assert sum(tested) < 20 * len(rows), tested
+    monkeypatch.setattr(near_dedup, "PACK", 20, raising=False)
+    monkeypatch.setattr(near_dedup, "LARGE", 60, raising=False)
+    monkeypatch.setattr(near_dedup, "MOST", (1, 2, None), raising=False)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_bitmaps_lose_no_link():
+    """Texts of very different lengths, so bitmaps of several widths meet."""
+    rng, rows = np.random.default_rng(2), []
+    for n in (1, 3, 110, 125, 128, 140, 500, 530):
+        base = rng.integers(0, 300, n).astype(np.uint32)
+        for k in range(8):
+            seq = base.copy()
+            seq[rng.random(n) < 0.02 * k] = 1000 + k
+            seq = seq[rng.random(n) >= 0.01 * k]
+            rows.append({"rep": len(rows), "n": len(seq), "comp": len(rows), "short": True, "bits": near_dedup.bitmap(seq.tobytes()), "seq": seq})
+    packs = near_dedup.Pack.all_of(rows)
+    assert len(packs) > 2
+    met = {tuple(sorted((int(a.rep[i]), int(b.rep[j])))) for k, a in enumerate(packs) for b in packs[k:] for i, j in zip(*near_dedup.near(a, b, 0.8, 5), strict=True)}
+    links = {(x, y) for x in range(len(rows)) for y in range(x + 1, len(rows)) if near_dedup.Lead(rows[x]["seq"]).similarity(rows[y]["seq"]) > 0}
+    assert len(links) > 50 and links <= met and len(met) < 2.5 * len(links)
+    for r in rows:
+        r["comp"] = 0
+    assert not any(len(near_dedup.near(a, a, 0.8)[0]) for a in near_dedup.Pack.all_of(rows))

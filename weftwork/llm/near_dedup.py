@@ -7,10 +7,12 @@ within the band of diagonals that the threshold allows, gives matched / (n_a + n
 another one. Classes are the connected components of the links.
 
 Texts with the same words collapse to one representative first. In each bucket one member, the hub, is
-compared with the others. Where that leaves a large bucket in several components, its members meet again by a prefix filter in place
+compared with the others. Where that leaves a bucket in several components, its members, with those of other buckets of such a hub, are packed into blocks, and the tasks that hold two
+blocks tell by a bitmap of the words which pairs from different components may be links (see `near`); only those are aligned. The members of a very
+large bucket first meet again by a prefix filter in place
 of the bucket: words, labelled with their occurrence, are put in ascending order of how many such members hold them, and two members
 with a link share one of their first words, at places that their lengths bound (see `refined`). No
-group of copies is expanded into all its pairs, and no link is lost.
+group of copies is expanded into rows for all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -32,11 +34,10 @@ THRESHOLD = 0.8
 BANDS = 24
 #: Rows of an alignment between moves of its window.
 STEP = 64
-#: Members of a group up to which all pairs from different components are compared, hubs of a larger one in a round, and members that stand
-#: beside one copy of their hub.
-SMALL, SLOTS, BLOCK = 8, 64, 128
-#: Further hubs that an open bucket gets, each from its largest component, before its members meet by their words.
-MORE = 2
+#: Members that stand beside one copy of their hub, members of a packed block, and those of a bucket from which on its members meet by their words.
+BLOCK, PACK, LARGE = 128, 512, 32_768
+#: Pairs a member and round that are aligned of those that may be links, until in the last round all are. Copies that a hub has not joined are joined by a few.
+MOST = (4, 64, None)
 _MULT = mix(np.arange(1, 2 * BANDS + 1, dtype=U64)) | U64(1)
 
 
@@ -211,17 +212,136 @@ def _verify(threshold: float):
     return verify
 
 
+def numbered(raw: bytes) -> np.ndarray:
+    """The words of a sequence, each with its occurrence, as different 64-bit tokens."""
+    words = np.sort(np.frombuffer(raw, np.uint32)).astype(U64)
+    at = np.arange(len(words))
+    occurrence = at - np.maximum.accumulate(np.where(np.append(True, words[1:] != words[:-1])[: len(words)], at, 0))
+    return mix(words | occurrence.astype(U64) << U64(32))
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words labelled with their occurrence, 64 bits each."""
     for batch in batches:
         for rep, raw in zip(batch["rep"].to_pylist(), batch["seq"].to_pylist(), strict=True):
-            words = np.sort(np.frombuffer(raw, np.uint32)).astype(U64)
-            at = np.arange(len(words))
-            occurrence = at - np.maximum.accumulate(np.where(np.append(True, words[1:] != words[:-1])[: len(words)], at, 0))
-            token = mix(words | occurrence.astype(U64) << U64(32)).view(np.int64)
+            token = numbered(raw).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rep)), pa.array(token), pa.array(np.full(len(token), len(token)))], names=["rep", "token", "distinct"])
 
 
+def bitmap(raw: bytes) -> bytes:
+    """At each bit whether an odd number of tokens falls there; four to eight bits a token, 512 at least."""
+    token = numbered(raw)
+    width = max(512, 1 << (4 * len(token) - 1).bit_length())
+    odd = np.bincount((token & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([bitmap(raw) for raw in batch["seq"].to_pylist()], pa.binary())], names=["rep", "bits"])
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of as many 64-bit words, as if they had been made so narrow."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+class Pack:
+    """Members of one block whose bitmaps have one width, by ascending length."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: r["n"])
+        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), U64).reshape(len(rows), -1)
+        self.rep, self.n, self.comp = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "n", "comp"))
+        self.short = np.array([r["short"] for r in rows], bool)
+
+    @staticmethod
+    def all_of(rows: list[dict]) -> list[Pack]:
+        widths = sorted({len(r["bits"]) for r in rows})
+        return [Pack([r for r in rows if len(r["bits"]) == w]) for w in widths]
+
+
+def near(a: Pack, b: Pack, threshold: float, strip: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs from different components of a and b (each once, if b is a) that may be links.
+
+    A token that only one of two texts has turns one bit, so at least as many tokens are unmatched as there are different bits, and a link leaves at most
+    (n_a + n_b) (1 - t) / (1 + t). Bitmaps of a quarter of the width go first: unlike texts fail there.
+    """
+    full = min(a.bits.shape[1], b.bits.shape[1])
+    wide, other = _folded(a.bits, full), _folded(b.bits, full)
+    slim, few = _folded(wide, full // 4), _folded(other, full // 4)
+    share = (1 - threshold) / (1 + threshold)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, len(a.n), strip):
+        rows = slice(start, min(start + strip, len(a.n)))
+        low = int(np.searchsorted(b.n, threshold * a.n[rows.start] - 1e-6))
+        if a is b:
+            low = max(low, start)
+        high = int(np.searchsorted(b.n, a.n[rows.stop - 1] / threshold + 1e-6, "right"))
+        apart = (a.comp[rows, None] != b.comp[None, low:high]) & (a.short[rows, None] | b.short[None, low:high])
+        if not apart.any():
+            continue
+        most = (a.n[rows, None] + b.n[None, low:high]) * share + 1e-6
+        apart &= np.bitwise_count(slim[rows, None, :] ^ few[None, low:high, :]).sum(2, dtype=np.int64) <= most
+        i, j = np.nonzero(apart)
+        i, j = i + start, j + low
+        if a is b:
+            i, j = i[i < j], j[i < j]
+        kept = np.bitwise_count(wide[i] ^ other[j]).sum(1, dtype=np.int64) <= (a.n[i] + b.n[j]) * share + 1e-6
+        kept &= np.minimum(a.n[i], b.n[j]) >= threshold * np.maximum(a.n[i], b.n[j]) - 1e-6
+        found.append((i[kept], j[kept]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _rank(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of the same id, by key."""
+    order = np.lexsort((key, ids))
+    first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])[: len(ids)])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+    return out
+
+
+def _near(threshold: float, most: int | None):
+    """Pairs of two blocks, or of one with itself, that may be links; of each member `most` at least, and whether there are more."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, others = batch["own"][at].as_py(), batch["others"][at].as_py()
+                a = Pack.all_of(own)
+                b = a if others is None else Pack.all_of(others)
+                pairs = [(x.rep[i], y.rep[j]) for k, x in enumerate(a) for y in (a[k:] if others is None else b) for i, j in [near(x, y, threshold)]]
+                one, two = np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs])
+                hub, rep = np.minimum(one, two), np.maximum(one, two)
+                kept = np.ones(len(hub), bool)
+                if most is not None and len(hub):
+                    key = mix(mix(hub.astype(U64)) ^ rep.astype(U64))
+                    kept = (_rank(hub, key) < most) | (_rank(rep, key) < most)
+                more = pa.array(np.full(int(kept.sum()), not kept.all()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(hub[kept]), pa.array(rep[kept]), more], names=["hub", "rep", "more"])
+
+    return told
+
+
+def candidates(groups: DataFrame, threshold: float, most: int | None) -> DataFrame:
+    """The pairs (hub, rep, more) within groups(id, rep, n, comp, short, size, bits) that may be links, of each member and two blocks `most` at least.
+
+    A group is dealt into blocks of about PACK members, each one row; tasks get single blocks and pairs of blocks, so a pair of members is never a row.
+    """
+    blocks = F.ceil(F.col("size") / PACK).cast("int")
+    dealt = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    packed = cut(dealt.groupBy("id", "blocks", "block").agg(F.collect_list(F.struct("rep", "n", "comp", "short", "bits")).alias("own")), "packed")
+    single = packed.repartition("id", "block").select("own", F.lit(None).cast(packed.schema["own"].dataType).alias("others"))
+    first = packed.filter("block < blocks - 1").select("id", F.col("block").alias("first"), "own", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    double = first.join(packed.select("id", "block", F.col("own").alias("others")), ["id", "block"]).repartition("id", "first", "block")
+    out = cut(single.unionByName(double.select("own", "others")).mapInArrow(_near(threshold, most), "hub long, rep long, more boolean").distinct(), "near")
+    drop_scratch(packed)
+    return out
+
+
 def refined(members: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """Groups (id, rep, n, lead, comp, short) in which all of members(rep, n, lead, comp) meet that may have a link.
 
@@ -296,26 +416,26 @@ def _open(groups: DataFrame) -> DataFrame:
 
 
 def _reachable(rows: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """rows(id, rep, n, lead, comp, hub, linked, apart) of buckets without their hubs and without members that are linked to the hub and too far from all that is
-    outside of its component.
+    """rows(rep, n, lead, comp, hub, linked, apart) as groups (id, rep, n, lead, comp, short), one for all hubs of a component, without members that are linked to the hub and too
+    far from all that the hub meets outside of its component.
 
     n_a + n_b - 2 matched is a metric, and a link to a member of n words is at most n (1 - t) / t long. So a member at a distance d from the hub has no link to
     others whose distances from it all exceed d + n (1 - t) / t. Copies of one text leave the buckets that they share with unlike texts in this way.
     """
     hub_comp = comps.select(F.col("id").alias("hub"), F.col("comp").alias("_hub_comp"))
-    known = rows.filter("rep <> hub").join(hub_comp, "hub", "left").withColumn("_out", F.col("comp") != F.coalesce("_hub_comp", "hub"))
-    outside = known.filter("_out").groupBy("id").agg(F.min("apart").alias("_least"))
+    known = rows.join(hub_comp, "hub", "left").withColumn("id", F.coalesce("_hub_comp", "hub")).withColumn("_out", F.col("comp") != F.col("id"))
+    outside = known.filter("_out").groupBy("hub").agg(F.min("apart").alias("_least"))
     reach = F.col("apart") + F.col("n") * ((1 - threshold) / threshold) + 1e-6
-    kept = known.join(outside, "id").filter(F.col("_out") | ~F.col("linked") | (reach >= F.col("_least")))
-    return kept.select("id", "rep", "n", "lead", "comp", F.lit(True).alias("short"))
+    kept = known.join(outside, "hub").filter(F.col("_out") | ~F.col("linked") | (reach >= F.col("_least")))
+    return kept.select("id", "rep", "n", "lead", "comp", F.lit(True).alias("short")).distinct()
 
 
 def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The links(a, b) that were tested within buckets(id, rep, n, lead), and the components(id, comp) that all links make.
 
-    The first round compares each bucket's hub with its other members, MORE rounds the same for a member of the largest component that is left. What is open then is compared pair by pair where it is small
-    and refined where it is large. Of refined groups that are still large, the members outside of the least component
-    become hubs in turn, in each round four times as many as in the one before.
+    The first round compares each bucket's hub with its other members. The buckets whose hubs have come into one component go on as one group. In what is open then, the pairs
+    from different components that may be links are told from packed blocks and aligned, in each round of MOST more of a member's, until there are none left. Groups of more than LARGE
+    members are refined before.
     """
     spark = buckets.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -337,47 +457,32 @@ def linked_groups(buckets: DataFrame, seqs: DataFrame, threshold: float) -> tupl
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    def alike(n: str, m: str) -> Column:
-        return F.least(n, m) >= threshold * F.greatest(n, m)
-
-    def all_pairs(rows: DataFrame) -> DataFrame:
-        a = rows.filter("short").select("id", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        b = rows.select("id", "rep", "n", "comp", "short")
-        return a.join(b, "id").filter((F.col("hub_comp") != F.col("comp")) & (F.col("hub_n") <= F.col("n")) & alike("hub_n", "n") & F.expr("hub_n < n OR hub < rep OR NOT short")).select("hub", "rep")
-
-    still = buckets
     hubs = buckets.groupBy("id").agg(F.min(F.struct("lead", "rep")).alias("_hub")).select("id", F.col("_hub.rep").alias("hub"))
-    for last in range(MORE, -1, -1):
-        met = cut(still.select("id", "rep", "n", "lead").join(hubs, "id"), "met")
-        told = test(met.filter("rep <> hub").select("hub", "rep"))
-        before, still = still, cut(_open(_reachable(placed(met.join(told, ["hub", "rep"])), comps, threshold)), "open")
-        drop_scratch(met, told, *([] if before is buckets else [before]))
-        if last:  # next, a member of the component that has most members there
-            shares = still.groupBy("id", "comp").agg(F.count("*").alias("_n"), F.min(F.struct("lead", "rep")).alias("_best"))
-            hubs = shares.groupBy("id").agg(F.max_by("_best.rep", F.struct("_n", "comp")).alias("hub"))
-    members = cut(still.filter(F.col("size") > SMALL).select("rep", "n", "lead", "comp").distinct(), "members")
-    groups = refined(members, seqs, threshold)
-    live = cut(_open(groups.unionByName(still.filter(F.col("size") <= SMALL).drop("size", "low"))), "open")
-    drop_scratch(still, members, groups)
-    drop_scratch(test(all_pairs(live.filter(F.col("size") <= SMALL))))
-    rest = cut(live.filter(F.col("size") > SMALL).withColumn("waits", F.col("comp") != F.col("low")).drop("size", "low", "comp"), "rest")
-    drop_scratch(live)
-    slots = SLOTS
-    while True:
-        live = cut(_open(placed(rest)).drop("size", "low"), "open")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot")
-        slots *= 4
-        hubs = live.filter("waits").groupBy("id", slot).agg(F.min(F.struct("lead", "rep", "n", "comp", "short")).alias("_hub"))
-        hubs = cut(hubs.select("id", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"), F.col("_hub.comp").alias("hub_comp"), F.col("_hub.short").alias("hub_short")), "hubs")
-        drop_scratch(rest)
-        if hubs.isEmpty():
-            drop_scratch(live, hubs)
-            return links, comps
-        pairs = live.join(hubs, "id").filter((F.col("comp") != F.col("hub_comp")) & alike("n", "hub_n") & F.expr("short OR hub_short"))
-        drop_scratch(test(pairs.select("hub", "rep")))
-        past = hubs.select("id", F.col("hub").alias("rep"), F.lit(True).alias("_past"))
-        rest = cut(live.join(past, ["id", "rep"], "left").withColumn("waits", F.col("waits") & F.col("_past").isNull()).drop("_past", "comp"), "rest")
-        drop_scratch(live, hubs)
+    met = cut(buckets.join(hubs, "id").select("hub", "rep", "n", "lead").distinct(), "met")
+    told = test(met.filter("rep <> hub").select("hub", "rep"))
+    # a hub is linked to itself, so it stays where another member may reach what is outside
+    rows = met.join(told.select("hub", "rep", "linked", "apart"), ["hub", "rep"], "left").fillna({"linked": True, "apart": 0})
+    still = cut(_open(_reachable(placed(rows), comps, threshold)).drop("low"), "open")
+    drop_scratch(met, told)
+    groups = still.filter(F.col("size") <= LARGE).select("id", "rep", "n", "short", "size")
+    large, made = still.filter(F.col("size") > LARGE), []
+    if not large.isEmpty():
+        members = cut(large.select("rep", "n", "lead", "comp").distinct(), "members")
+        made = [members, refined(members, seqs, threshold)]
+        groups = groups.unionByName(_open(made[1]).select("id", "rep", "n", "short", "size"))
+    bits = seqs.join(groups.select("rep").distinct(), "rep", "left_semi").mapInArrow(_bitmaps, "rep long, bits binary")
+    rest = cut(groups.join(bits, "rep"), "rest")
+    drop_scratch(still, *made)
+    for most in MOST:
+        pairs = candidates(placed(rest), threshold, most)
+        if not pairs.isEmpty():
+            drop_scratch(test(pairs.select("hub", "rep")))
+        whole = pairs.filter("more").isEmpty()
+        drop_scratch(pairs)
+        if whole:
+            break
+    drop_scratch(rest)
+    return links, comps
 
 
 def text_digest(text: str = "text") -> Column:
