@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftwork.operators import messages as M
@@ -56,3 +57,65 @@ def test_state_holds_no_texts(spark):
     schema = [f.name for f in spark.createDataFrame([], S.CHANGES).schema]
     assert schema[:3] == ["conv_id", "seq", "slot"]
     assert S.changes(spark.readStream.format("rate").load().select(F.lit(1).cast("long").alias("conv_id"), F.col("value").alias("seq"), F.lit("ask").alias("kind"), F.lit("user").alias("role"), F.lit("t").alias("text")), 10).isStreaming
+
+
+class Held:
+    """A state that counts the calls that go to Spark's process."""
+
+    def __init__(self, calls):
+        self.calls, self.map, self.value = calls, {}, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            elif name == "getValue":
+                return self.map.get(args[0])
+            elif name == "updateValue":
+                self.map[args[0]] = args[1]
+            elif name == "removeKey":
+                del self.map[args[0]]
+            elif name == "containsKey":
+                return args[0] in self.map
+            elif name == "keys":
+                return iter(list(self.map))
+            elif name == "iterator":
+                return iter(list(self.map.items()))
+            return 0
+
+        return call
+
+
+def test_a_batch_reads_and_writes_a_conversation_once():
+    calls = []
+    handle = Held(calls)
+    handle.getValueState = handle.getMapState = lambda *_: Held(calls)
+    step = S.Conversations(1000)
+    step.init(handle)
+
+    def batch(*rows):
+        calls.clear()
+        return [tuple(r)[1:4] for r in step.handleInputRows((7,), iter([Row(seq=n, kind=kind, role="user", text="t") for n, kind in rows]), handle)]
+
+    assert batch(*[(n, "note") for n in range(100)]) == [(n, S.SAID, True) for n in range(100)] and len(calls) == 2
+    assert batch(*[(n, "note") for n in range(100)]) == [] and len(calls) == 1
+    far = [-3, 600, 5000]  # numbers of other blocks are kept too
+    assert batch(*[(n, "note") for n in far]) == [(n, S.SAID, True) for n in far]
+    assert batch(*[(n, "note") for n in far]) == []
+    assert batch((601, "reset")) == [(n, S.SAID, False) for n in [-3, *range(100), 600]]
+    assert batch((600, "note"), (5000, "note"), (602, "ask")) == [(602, S.SAID, True), (602, S.WAITS, True)]
+    assert batch((603, "answer")) == [(603, S.SAID, True), (602, S.WAITS, False)]
+    assert batch((9000, "reset")) == [(n, S.SAID, False) for n in (602, 603, 5000)]
+
+
+def test_long_conversations_equal_replay(spark, tmp_path):
+    """Numbers of several blocks, some below 0, with resets among them."""
+    rng = random.Random(5)
+    rows = [(c, s, rng.choices(["ask", "answer", "reset", "note"], [5, 3, 1, 5])[0], "user", f"{c}.{s}") for c in range(3) for s in rng.sample(range(-2000, 4000), 60)]
+    rows = [(c, s, k, {"ask": "user", "reset": None}.get(k, "assistant"), t) for c, s, k, _, t in rows]
+    for part in (rows[:90], rows[60:120], rows[120:]):
+        feed(spark, tmp_path, rng.sample(part, len(part)), patience_ms=86_400_000)
+    assert log(S.current(spark, str(tmp_path / "out"))) == log(M.replay(spark.createDataFrame(rows, S.EVENTS)))

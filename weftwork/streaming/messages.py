@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -23,69 +22,159 @@ NO_REPLY = "No reply came in time."
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Changes by the clock follow those of the batch's events.
 _AFTER = 1 << 40
+#: Numbers of messages that one entry of the state tells of.
+_BLOCK = 512
+_Change = Row("conv_id", "seq", "slot", "live", "role", "text", "nth")
+
+
+def _bits(raw: bytes | None) -> int:
+    return int.from_bytes(raw or b"", "little")
+
+
+def _raw(bits: int) -> bytes:
+    return bits.to_bytes((bits.bit_length() + 7) // 8, "little")
+
+
+def _numbers(block: int, bits: int) -> Iterator[int]:
+    """The numbers of a block whose bits are set."""
+    while bits:
+        low = bits & -bits
+        yield block * _BLOCK + low.bit_length() - 1
+        bits ^= low
+
+
+class Live:
+    """Numbers of the live messages, and which of them the clock replied to, as two bitmaps a block. Block 0 comes with the conversation's head, others are read when they are asked for."""
+
+    def __init__(self, blocks, live: bytes | None, late: bytes | None):
+        self.blocks, self.known, self.changed = blocks, {0: [_bits(live), _bits(late)]}, set()
+
+    def _at(self, seq: int) -> tuple[int, int, list[int]]:
+        block, bit = divmod(seq, _BLOCK)
+        if block not in self.known:
+            self.known[block] = [_bits(raw) for raw in self.blocks.getValue((block,)) or (None, None)]
+        return block, 1 << bit, self.known[block]
+
+    def holds(self, seq: int) -> bool:
+        _, bit, (live, _) = self._at(seq)
+        return bool(live & bit)
+
+    def add(self, seq: int, late: bool = False) -> None:
+        block, bit, both = self._at(seq)
+        both[0] |= bit
+        if late:
+            both[1] |= bit
+        self.changed.add(block)
+
+    def take_before(self, seq: int) -> Iterator[tuple[int, bool]]:
+        """Takes out the numbers before seq, each with whether the clock replied."""
+        upto, bit = divmod(seq, _BLOCK)
+        for block in sorted({*self.known, *[k[0] for k in self.blocks.keys()]}):  # noqa: SIM118  a state, no dict
+            if block <= upto:
+                both = self._at(block * _BLOCK)[2]
+                gone = both[0] & ((1 << bit) - 1) if block == upto else both[0]
+                late = gone & both[1]
+                if gone:
+                    self.known[block] = [both[0] & ~gone, both[1] & ~gone]
+                    self.changed.add(block)
+                for k in _numbers(block, gone):
+                    yield k, bool(late >> (k - block * _BLOCK) & 1)
+
+    def keep(self) -> tuple[bytes, bytes]:
+        """Writes the blocks that changed and returns block 0."""
+        for block in self.changed - {0}:
+            live, late = self.known[block]
+            if live:
+                self.blocks.updateValue((block,), (_raw(live), _raw(late)))
+            elif self.blocks.containsKey((block,)):
+                self.blocks.removeKey((block,))
+        return _raw(self.known[0][0]), _raw(self.known[0][1])
 
 
 class Conversations(StatefulProcessor):
-    """One conversation's state: live (seq to whether the clock replied), open (seq to deadline), marks (last reset, last reply)."""
+    """One conversation's state: head (last reset, last reply, how many questions are open, live messages of block 0), blocks (live messages of other blocks), open (seq to deadline).
+
+    Each call of a state goes to Spark's process and back, so a batch reads and writes a short conversation's head once, however many events it has.
+    """
 
     def __init__(self, patience_ms: int):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getMapState("live", "seq long", "late boolean")
+        self.head = handle.getValueState("head", "reset long, reply long, waiting long, live binary, late binary")
+        self.blocks = handle.getMapState("blocks", "block long", "live binary, late binary")
         self.open = handle.getMapState("open", "seq long", "deadline long")
-        self.marks = handle.getValueState("marks", "reset long, reply long")
 
-    def _ended(self, conv: int, upto: int, nth: int) -> list[tuple]:
+    def _ended(self, upto: int) -> list[int]:
         """Closes the open questions before upto."""
         old = [k[0] for k in self.open.keys() if k[0] < upto]  # noqa: SIM118  a state, no dict
         for seq in old:
             self.open.removeKey((seq,))
-        return [(conv, seq, WAITS, False, None, None, nth + i) for i, seq in enumerate(old)]
+        return old
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         conv = int(key[0])
-        marks = self.marks.get() if self.marks.exists() else (None, None)
-        reset, reply = marks
-        nth = 0
-        for frame in rows:
-            out: list[tuple] = []
-            for seq, kind, role, text in zip(frame["seq"].tolist(), frame["kind"].tolist(), frame["role"].tolist(), frame["text"].tolist(), strict=True):
-                if (reset is not None and seq <= reset) or (kind != "reset" and self.live.containsKey((seq,))):
-                    continue  # what a reset dropped, or what came before
-                if kind == "reset":
-                    reset = seq
-                    for k, late in [(k[0], v[0]) for k, v in self.live.iterator() if k[0] < seq]:
-                        self.live.removeKey((k,))
-                        out += [(conv, k, slot, False, None, None, nth + len(out)) for slot in ([SAID, LATE] if late else [SAID])]
-                    out += self._ended(conv, seq, nth + len(out))
-                    continue
-                self.live.updateValue((seq,), (False,))
-                out.append((conv, seq, SAID, True, role, text, nth + len(out)))
+        before = self.head.get() or (None, None, 0, None, None)
+        reset, reply, waiting = before[:3]
+        live, deadline, nth = Live(self.blocks, *before[3:]), None, 0
+
+        def gone(seq: int, slot: str) -> Row:
+            nonlocal nth
+            nth += 1
+            return _Change(conv, seq, slot, False, None, None, nth - 1)
+
+        def came(seq: int, slot: str, role: str | None, text: str | None) -> Row:
+            nonlocal nth
+            nth += 1
+            return _Change(conv, seq, slot, True, role, text, nth - 1)
+
+        for row in rows:
+            seq, kind = row["seq"], row["kind"]
+            if (reset is not None and seq <= reset) or (kind != "reset" and live.holds(seq)):
+                continue  # what a reset dropped, or what came before
+            ends = kind == "reset"
+            if kind == "reset":
+                reset = seq
+                for k, late in live.take_before(seq):
+                    yield gone(k, SAID)
+                    if late:
+                        yield gone(k, LATE)
+            else:
+                live.add(seq)
+                yield came(seq, SAID, row["role"], row["text"])
                 if kind == "ask" and (reply is None or seq > reply):
-                    deadline = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+                    if deadline is None:
+                        deadline = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+                        self.handle.registerTimer(deadline)
                     self.open.updateValue((seq,), (deadline,))
-                    self.handle.registerTimer(deadline)
-                    out.append((conv, seq, WAITS, True, "assistant", "", nth + len(out)))
+                    waiting += 1
+                    yield came(seq, WAITS, "assistant", "")
                 elif kind in ("answer", "error") and (reply is None or seq > reply):
-                    reply = seq
-                    out += self._ended(conv, seq, nth + len(out))
-            nth += len(out)
-            if out:
-                yield pd.DataFrame(out, columns=["conv_id", "seq", "slot", "live", "role", "text", "nth"])
-        if (reset, reply) != tuple(marks):
-            self.marks.update((reset, reply))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        conv, now, out = int(key[0]), expiredTimerInfo.getExpiryTimeInMs(), []
-        for seq in [k[0] for k, v in self.open.iterator() if v[0] <= now]:
+                    reply, ends = seq, True
+            if ends and waiting:
+                old = self._ended(seq)
+                waiting -= len(old)
+                for k in old:
+                    yield gone(k, WAITS)
+        after = (reset, reply, waiting, *live.keep())
+        if after != tuple(before):
+            self.head.update(after)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        conv, now, nth = int(key[0]), expiredTimerInfo.getExpiryTimeInMs(), _AFTER
+        late = [k[0] for k, v in self.open.iterator() if v[0] <= now]
+        if not late:
+            return
+        reset, reply, waiting, *block = self.head.get()
+        live = Live(self.blocks, *block)
+        for seq in late:
             self.open.removeKey((seq,))
-            self.live.updateValue((seq,), (True,))
-            out.append((conv, seq, WAITS, False, None, None, _AFTER + len(out)))
-            out.append((conv, seq, LATE, True, "assistant", NO_REPLY, _AFTER + len(out)))
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "slot", "live", "role", "text", "nth"])
+            live.add(seq, late=True)
+            yield _Change(conv, seq, WAITS, False, None, None, nth)
+            yield _Change(conv, seq, LATE, True, "assistant", NO_REPLY, nth + 1)
+            nth += 2
+        self.head.update((reset, reply, waiting - len(late), *live.keep()))
 
     def close(self) -> None:
         pass
@@ -94,7 +183,7 @@ class Conversations(StatefulProcessor):
 def changes(events: DataFrame, patience_ms: int) -> DataFrame:
     """The changes that a stream of events makes. Events without conv_id, seq or kind are none."""
     known = events.filter("conv_id IS NOT NULL AND seq IS NOT NULL AND kind IS NOT NULL").select("conv_id", "seq", "kind", "role", "text")
-    return known.groupBy("conv_id").transformWithStateInPandas(Conversations(patience_ms), CHANGES, "Append", "ProcessingTime")
+    return known.groupBy("conv_id").transformWithState(Conversations(patience_ms), CHANGES, "Append", "ProcessingTime")
 
 
 def keep_state(spark: SparkSession, events: DataFrame, path: str, checkpoint: str, patience_ms: int = 600_000, available_now: bool = True) -> StreamingQuery:
