@@ -8,6 +8,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,50 @@ def test_repeats_of_periodic_and_shared_text(spark):
     assert bytes(got[2].kept) == b"x" and got[5].n_spans == 1
 
 
+def test_only_windows_that_may_repeat_are_hashed_as_phrases(monkeypatch):
+    rng, hashed, plain = np.random.default_rng(3), [], suffix_dedup.mix
+    rows = ["".join(chr(c) for c in rng.integers(33, 1200, 3000)) for _ in range(40)]
+    passage = rows[0][100:400]
+    rows[7] = rows[7][:50] + passage + rows[7][50:]
+    chunk = pa.table({"chunk": [5] * 40, "row": range(40), "doc_id": range(40), "text": rows})
+
+    def counted(h):
+        hashed.append(len(h))
+        return plain(h)
+
+    monkeypatch.setattr(suffix_dedup, "mix", counted)
+    found = suffix_dedup._phrases(4)(chunk, suffix_dedup._BITS.empty_table()).to_pylist()
+    assert sum(hashed) < sum(len(r.encode()) for r in rows) / 2
+    for row in (0, 7):
+        at = rows[row].encode().index(passage.encode())
+        covered = {p for f in found if f["row"] == row for p in range(f["s"], f["e"])}
+        assert covered >= set(range(at, at + len(passage.encode()) - 49))
+    assert all(f["raw"] is None or f["raw"] == rows[f["row"]].encode()[f["s"] : f["e"] + 49] for f in found)
+
+
+def test_packed_numbers_come_back():
+    for a in ([], [0], [5, 255, 3], [1 << 40, 1], [-1, 3], [2**63 - 1, -(2**63)]):
+        for ascending in (False, True):
+            a = np.array(sorted(a) if ascending else a, np.int64)
+            assert suffix_dedup._unpack(suffix_dedup._pack(a, ascending), ascending).tolist() == a.tolist()
+
+
+def test_each_bucket_of_phrases_is_one_file(spark, monkeypatch):
+    files, plain = {}, suffix_dedup._Bucketed.__init__
+
+    def counted(self, df, column, n):
+        plain(self, df, column, n)
+        files[column] = len(self.rows.inputFiles()), n
+
+    monkeypatch.setattr(suffix_dedup._Bucketed, "__init__", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        suffix_dedup.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files["block"][0] <= files["block"][1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}

@@ -53,16 +53,19 @@ def _zstd() -> tuple:
 
 
 def _pack(a: np.ndarray, ascending: bool = False) -> bytes:
-    """Compressed byte planes of a 64-bit array, of its steps if it ascends."""
-    a = np.ascontiguousarray(a).astype(np.int64)
+    """Compressed byte planes of a 64-bit array, of its steps if it ascends; high planes that are all zero are left out. The first byte tells how many follow."""
+    a = np.ascontiguousarray(a, np.int64)
     if ascending:
         a = np.diff(a, prepend=0)
-    return _zstd()[0].compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    n = 8 if a.min(initial=0) < 0 else max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + _zstd()[0].compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes())
 
 
 def _unpack(b: bytes, ascending: bool = False) -> np.ndarray:
-    planes = np.frombuffer(_zstd()[1].decompress(b), np.uint8).reshape(8, -1)
-    a = np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+    planes = np.frombuffer(_zstd()[1].decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    a = np.zeros((planes.shape[1], 8), np.uint8)
+    a[:, : b[0]] = planes.T
+    a = a.reshape(-1).view(np.int64)
     return np.cumsum(a) if ascending else a
 
 
@@ -84,23 +87,23 @@ class _Bucketed:
 # --- minimizers of a chunk -------------------------------------------------------------------------
 
 
-def _gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all k-grams, from those of powers of two."""
-    p = x.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x1234567)
-    p ^= p >> U64(29)
-    n = len(x) - k + 1
-    out, at, size = np.zeros(max(n, 0), U64), 0, 1
-    while k:
-        if k & 1:
-            out = out * U64(0xD6E8FEB86659FD93) + p[at : at + n]
-            out ^= out >> U64(32)
-            at += size
-        k >>= 1
-        if k:
-            p = p[:-size] * U64(0xBF58476D1CE4E5B9) + p[size:]
-            p ^= p >> U64(31)
-            size *= 2
-    return out * U64(0x94D049BB133111EB)
+def _eights(x: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number."""
+    return np.ndarray((max(len(x) - 7, 0),), "<u8", x, strides=(1,)).astype(U64)
+
+
+def _gram_hashes(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all GRAM-grams: of 8 bytes, of two such, and of two overlapping ones of 16."""
+    h = _eights(x)
+    for distance, factor in ((8, 0xBF58476D1CE4E5B9), (GRAM - 16, 0xD6E8FEB86659FD93)):
+        h *= U64(0x9E3779B97F4A7C15)
+        h ^= h >> U64(29)
+        right = h[distance:]
+        h = h[:-distance] * U64(factor)
+        h += right
+    h ^= h >> U64(31)
+    h *= U64(0x94D049BB133111EB)
+    return h
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -123,14 +126,14 @@ class _Slice:
             self.start = self.end = self.owner = np.zeros(0, np.int64)
             self.code = np.zeros(0, np.int64)
             return
-        least = _least(_gram_hashes(self.x, GRAM), SPAN - GRAM + 1)
+        least = _least(_gram_hashes(self.x), SPAN - GRAM + 1)
         # a document's windows end 49 bytes before it does
         new = np.append(True, least[1:] != least[:-1])
         edges = np.concatenate([self.bounds, np.maximum(self.bounds[1:] - SPAN + 1, self.bounds[:-1])])
         new[edges[edges < n]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], n)
-        owner = np.searchsorted(self.bounds, start, side="right") - 1
+        owner = np.repeat(np.arange(len(raws)), np.diff(np.searchsorted(start, self.bounds)))
         on = start + SPAN <= self.bounds[owner + 1]
         self.start, self.end, self.owner = start[on], end[on], owner[on]
         h = mix(least[self.start])
@@ -138,8 +141,8 @@ class _Slice:
         self.code = (((h >> U64(40)) * U64(parts) >> U64(24)) << U64(40) | (h & U64(2**40 - 1))).astype(np.int64)
 
 
-def _sliced(table: pa.Table, parts: int, size: int = 1 << 19):
-    """(first row, _Slice) over the texts of a chunk in row order."""
+def _sliced(table: pa.Table, parts: int, size: int = 1 << 16):
+    """(first row, _Slice) over the texts of a chunk in row order, small enough for a core's cache."""
     raws, total, first = [], 0, 0
     texts = table["text"].cast(pa.binary())
     for i, raw in enumerate(texts.to_pylist()):
@@ -152,16 +155,19 @@ def _sliced(table: pa.Table, parts: int, size: int = 1 << 19):
         yield first, _Slice(raws, parts)
 
 
-def _codes(slices: list, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct minimizer codes of a chunk in ascending order, and which of them several of its documents hold."""
+def _codes(slices: list, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct minimizer codes of a chunk in ascending order, which of them several of its documents hold, and the rank among them of each run's code."""
     code = np.concatenate([s.code for _, s in slices]) if slices else np.zeros(0, np.int64)
     if not len(code):
-        return code, np.zeros(0, bool)
+        return code, np.zeros(0, bool), code
     doc = np.concatenate([doc_ids[first + s.owner] for first, s in slices])
     order = np.argsort(code)
     code, doc = code[order], doc[order]
-    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-    return code[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+    new = np.append(True, code[1:] != code[:-1])
+    at = np.flatnonzero(new)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return code[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), rank
 
 
 _ASK = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("keys", pa.binary())])
@@ -170,7 +176,7 @@ _ASK = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("keys", pa.bina
 def _ask_codes(parts: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         slices = list(_sliced(table, parts))
-        codes, _ = _codes(slices, table["doc_id"].to_numpy())
+        codes, _, _ = _codes(slices, table["doc_id"].to_numpy())
         edges = np.searchsorted(codes, np.arange(parts + 1) << 40)
         rows = [(j, np.ascontiguousarray((codes[a:b] & (2**40 - 1)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()) for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         return pa.table({"part": [r[0] for r in rows], "sender": [key[0].as_py()] * len(rows), "keys": [r[1] for r in rows]}, schema=_ASK)
@@ -204,37 +210,44 @@ def _binary(x: np.ndarray, start: np.ndarray, end: np.ndarray, given: np.ndarray
     return pa.Array.from_buffers(pa.large_binary(), len(start), [pa.py_buffer(bits), pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def _cut_up(s: _Slice, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of the runs `on` of a slice as phrases, from start to end.
+def _cut_up(s: _Slice, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the runs `on` of a slice as phrases: their bytes with overhang end to end, y, the 8-grams of y, each phrase's start and end in y and its start in the slice.
 
     Phrases end where adjoining runs end, where 8-grams hash to a rare value, and at LONGEST windows where none does.
     """
     hs, he, owner = s.start[on], s.end[on], s.owner[on]
     new = np.append(True, (he[:-1] != hs[1:]) | (owner[1:] != owner[:-1]))
-    last = np.append(new[1:], True)
-    begin, stop = hs[new], he[last]
-    at = np.flatnonzero(mix(_gram_hashes(s.x, 8)) & U64(127) == 0)
+    place, size = hs[new], he[np.append(new[1:], True)] - hs[new]
+    stride = size + SPAN - 1
+    begin = np.cumsum(stride) - stride
+    stop = begin + size
+    y = s.x[np.arange(stride.sum()) + np.repeat(place - begin, stride)]
+    eights = _eights(y)
+    at = np.flatnonzero(mix(eights) & U64(127) == 0)
+    at = at[at < stop[np.searchsorted(begin, at, side="right") - 1]]
     at = at[np.diff(at, prepend=-99) >= 16]  # dense cuts, as of periodic text, are left out
-    run = np.searchsorted(begin, at, side="right") - 1
-    at = at[(run >= 0) & (at < stop[run])]
     starts = np.union1d(begin, at)
-    ends = np.minimum(np.append(starts[1:], len(s.x)), stop[np.searchsorted(stop, starts, side="right")])
+    run = np.searchsorted(begin, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(y)), stop[run])
     parts = -(-(ends - starts) // LONGEST)
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts, ends = np.repeat(starts, parts) + nth * LONGEST, np.repeat(ends, parts)
-    return starts, np.minimum(ends, starts + LONGEST)
+    starts, ends, run = np.repeat(starts, parts) + nth * LONGEST, np.repeat(ends, parts), np.repeat(run, parts)
+    return y, eights, starts, np.minimum(ends, starts + LONGEST), starts + (place - begin)[run]
+
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def _keys(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of x[start:end], from sums of hashed 8-grams."""
-    grams, out = _gram_hashes(x, 8), []
+
+def _keys(eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the bytes from start to end, from sums of hashed 8-grams."""
+    n, out = max(1 << 16, 1 << len(eights).bit_length()), []
     for base, inverse in _BASES:
-        power, back = np.full(len(x), base, U64), np.full(len(x), inverse, U64)
-        power[0] = back[0] = 1
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(back, out=back)
-        sums = np.append(U64(0), np.cumsum(mix(grams ^ U64(base)) * power[: len(grams)]))
-        out.append(mix((sums[end - 7] - sums[start]) * back[start] + (end - start).astype(U64)).view(np.int64))
+        sums = np.append(U64(0), np.cumsum(mix(eights ^ U64(base)) * _powers(base, n)[: len(eights)]))
+        out.append(mix((sums[end - 7] - sums[start]) * _powers(inverse, n)[start] + (end - start).astype(U64)).view(np.int64))
     return out
 
 
@@ -245,20 +258,22 @@ def _phrases(parts: int):
         if not chunk.num_rows:
             return _PHRASES.empty_table()
         slices, doc_ids, row_ids = list(_sliced(chunk, parts)), chunk["doc_id"].to_numpy(), chunk["row"].to_numpy()
-        codes, hot = _codes(slices, doc_ids)
+        codes, hot, rank = _codes(slices, doc_ids)
         edges = np.searchsorted(codes, np.arange(parts + 1) << 40)
         for j, raw in zip(bits["part"].to_pylist(), bits["bits"].to_pylist(), strict=True):
             a, b = edges[j], edges[j + 1]
             hot[a:b] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
-        found, at = [], 0
+        found, ys, at, seen = [], [], 0, 0
         for first, s in slices:
-            on = np.flatnonzero(hot[np.searchsorted(codes, s.code)]) if len(codes) else np.zeros(0, np.int64)
+            on = np.flatnonzero(hot[rank[seen : seen + len(s.code)]])
+            seen += len(s.code)
             if len(on):
-                start, end = _cut_up(s, on)
+                y, eights, a, b, start = _cut_up(s, on)
                 nth = np.searchsorted(s.bounds, start, side="right") - 1
-                base = s.bounds[nth]
-                found.append([at + start, start - base, end - base, first + nth, *_keys(s.x, start, end + SPAN - 1)])
-            at += len(s.x)
+                start -= s.bounds[nth]
+                found.append([at + a, start, start + b - a, first + nth, *_keys(eights, a, b + SPAN - 1)])
+                ys.append(y)
+                at += len(y)
         if not found:
             return _PHRASES.empty_table()
         place, start, end, nth, k1, k2 = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -266,7 +281,7 @@ def _phrases(parts: int):
         order = np.lexsort((doc, k2, k1))
         leads = np.zeros(len(order), bool)
         leads[order[np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))]] = True
-        raw = _binary(np.concatenate([s.x for _, s in slices]), place, place + end - start + SPAN - 1, leads)
+        raw = _binary(np.concatenate(ys), place, place + end - start + SPAN - 1, leads)
         return pa.table([pa.array(np.full(len(k1), chunk["chunk"][0].as_py())), row_ids[nth], doc, start, end, k1, k2, raw], schema=_PHRASES)
 
     return phrases
@@ -276,56 +291,60 @@ def _phrases(parts: int):
 
 
 class _Block:
-    """Distinct phrases end to end. off: offset of a byte in its phrase; left: bytes from it to the phrase's end."""
+    """Distinct phrases end to end. kind: remainder of a byte's offset in its phrase; left: bytes from it to the phrase's end."""
 
     def __init__(self, table: pa.Table):
         order = np.lexsort((table["k2"].to_numpy(), table["k1"].to_numpy()))
         self.table = table.take(pa.array(order))
-        raws = self.table["raw"].to_pylist()
-        size = np.array([len(r) for r in raws])
-        self.start = np.cumsum(size) - size
-        self.x = np.frombuffer(b"".join(raws) + bytes(64), np.uint8)
-        self.phrase = np.repeat(np.arange(len(raws)), size)
-        self.off = np.arange(len(self.phrase)) - self.start[self.phrase]
-        self.left = size[self.phrase] - self.off
-        self.kind = (self.off % 3).astype(np.int8)
+        raws = self.table["raw"].combine_chunks().cast(pa.large_binary())
+        size = pc.binary_length(raws).to_numpy()
+        ends = np.cumsum(size)
+        self.start = ends - size
+        _, bounds, data = raws.buffers()
+        first = np.frombuffer(bounds, np.int64)[raws.offset]
+        self.x = np.append(np.frombuffer(data, np.uint8)[first : first + ends[-1]], np.zeros(64, np.uint8))
+        self.phrase = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.left = np.repeat(ends.astype(np.int32), size) - np.arange(ends[-1], dtype=np.int32)
+        self.kind = np.frombuffer(bytes(range(3)) * (int(ends[-1]) // 3 + 1), np.uint8)[: ends[-1]] + np.repeat((-self.start % 3).astype(np.uint8), size)
+        self.kind -= np.uint8(3) * (self.kind > 2)
         self.doc = self.table["doc_id"].to_numpy()
 
     def sampled(self, depth: int) -> np.ndarray:
         return np.flatnonzero((self.kind != 0) & (self.left >= depth))
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts key, and the rank of each value among the distinct ones."""
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts key, where in that order a new value begins, and the rank of each value among the distinct ones."""
     order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-    return order, rank
+    rank[order] = np.cumsum(new) - 1
+    return order, new, rank
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts rows of columns of whole numbers from 0, and the rank of each row among the distinct ones. Columns are put into
-    one key of 63 bits, as ranks where they are too wide."""
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _dense, of rows of columns of whole numbers from 0. Columns are put into one key of 63 bits, as ranks where they are too wide."""
     key = columns[0]
     for c in columns[1:]:
         bits = int(c.max(initial=0)).bit_length()
         if int(key.max(initial=0)).bit_length() + bits > 63:
-            key = _dense(key)[1]
+            key = _dense(key)[2]
         if int(key.max(initial=0)).bit_length() + bits > 63:
-            c = _dense(c)[1]
+            c = _dense(c)[2]
             bits = int(c.max(initial=0)).bit_length()
         key = key << bits | c
     return _dense(key)
 
 
 class _Sorted:
-    """The distinct keys of some positions of a block in ascending order. Keys are columns that come with their
-    width in bits; first: a position's index for each distinct key; rank: of each position."""
+    """The distinct keys of some positions of a block in ascending order. first: a position's index for each distinct key; rank: of each position."""
 
-    def __init__(self, at: np.ndarray, columns: list[tuple[np.ndarray, int]]):
+    def __init__(self, at: np.ndarray, columns: list[np.ndarray]):
         self.at = at
-        order, self.rank = _distinct([c for c, _ in columns])
-        self.first = order[np.flatnonzero(np.diff(self.rank[order], prepend=-1))]
+        order, new, self.rank = _distinct(columns)
+        self.first = order[new]
 
     def spread(self, size: int) -> tuple[np.ndarray, int]:
         """The rank at each position of the block, and its width in bits."""
@@ -334,27 +353,35 @@ class _Sorted:
         return out, max(1, len(self.first).bit_length())
 
 
+def _by_three(at: np.ndarray, of: np.ndarray, width: int, step: int) -> _Sorted:
+    """Positions by three values of `of`, each `width` bits wide, `step` apart."""
+    if 3 * width > 63:
+        return _Sorted(at, [of[at], of[at + step], of[at + 2 * step]])
+    n = len(of) - 2 * step
+    return _Sorted(at, [(of[:n] << 2 * width | of[step : n + step] << width | of[2 * step :])[at]])
+
+
 def _nine(b: _Block) -> _Sorted:
     """Sampled positions by their next 9 bytes, three triples."""
-    at = b.sampled(9)
-    here = np.unique(b.x)
+    here = np.flatnonzero(np.bincount(b.x, minlength=256))
     code = np.zeros(256, np.int64)
     code[here] = np.arange(len(here))
     x, width = code[b.x], max(1, len(here).bit_length())
-    return _Sorted(at, [((x[at + j] << 2 * width) | (x[at + j + 1] << width) | x[at + j + 2], 3 * width) for j in (0, 3, 6)])
+    return _by_three(b.sampled(9), x[:-2] << 2 * width | x[1:-1] << width | x[2:], 3 * width, 3)
 
 
 def _nine_bytes(b: _Block, s: _Sorted) -> list[np.ndarray]:
     x, at = b.x.astype(np.int64), s.at[s.first]
-    return [x[at + j] << 16 | x[at + j + 1] << 8 | x[at + j + 2] for j in (0, 3, 6)]
+    triples = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+    return [triples[at + j] for j in (0, 3, 6)]
 
 
 def _twenty_seven(b: _Block, nine: _Sorted) -> tuple[_Sorted, list[np.ndarray]]:
     """Sampled positions by three ranks of 9 bytes, and those ranks for each distinct key."""
-    at = b.sampled(27)
     r, width = nine.spread(len(b.x))
-    s = _Sorted(at, [(r[at + j], width) for j in (0, 9, 18)])
-    return s, [r[at[s.first] + j] for j in (0, 9, 18)]
+    s = _by_three(b.sampled(27), r, width, 9)
+    at = s.at[s.first]
+    return s, [r[at + j] for j in (0, 9, 18)]
 
 
 #: For each pair of classes: distances of two sampled positions and of two bytes that together cover 50 bytes.
@@ -364,17 +391,16 @@ _COVERS = (((0, 1), 1, 22, 0, 49), ((0, 2), 2, 23, 0, 1), ((1, 2), 0, 21, 48, 49
 def _fifty(b: _Block, twenty_seven: _Sorted, shared: np.ndarray) -> tuple[_Sorted, list[np.ndarray]]:
     """Windows, each in the two merges that its class takes part in, by their 50 bytes: two ranks of 27 bytes, both `shared`, and two bytes; and these columns for
     each distinct key, the last with the number of the merge."""
-    r, width = twenty_seven.spread(len(b.x))
+    r, _ = twenty_seven.spread(len(b.x))
     keeps = np.zeros(len(b.x), bool)
     keeps[twenty_seven.at] = shared[twenty_seven.rank]
-    x, at, columns, whole = b.x.astype(np.int64), [], [], b.left >= SPAN
+    x, at, columns, n = b.x.astype(np.int64), [], [], len(b.left)
     for kind, (classes, d1, d2, y1, y2) in enumerate(_COVERS):
-        p = np.flatnonzero(((b.kind == classes[0]) | (b.kind == classes[1])) & whole)
-        p = p[keeps[p + d1] & keeps[p + d2]]
+        p = np.flatnonzero(keeps[d1 : d1 + n] & keeps[d2 : d2 + n] & (b.left >= SPAN) & (b.kind != 3 - sum(classes)))
         at.append(p)
         columns.append([r[p + d1], r[p + d2], kind << 16 | x[p + y1] << 8 | x[p + y2]])
     c = [np.concatenate(v) for v in zip(*columns, strict=True)]
-    s = _Sorted(np.concatenate(at), [(c[0], width), (c[1], width), (c[2], 18)])
+    s = _Sorted(np.concatenate(at), c)
     return s, [v[s.first] for v in c]
 
 
@@ -397,7 +423,7 @@ def _answer_names(key: tuple, table: pa.Table) -> pa.Table:
     which of their keys several of their documents hold, keys that one document alone holds get 0: they need no further sorting."""
     rows = table.to_pylist()
     parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
-    _, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+    _, _, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
     names = rank + (key[0].as_py() << 40) + 1
     if rows[0]["docs"] is not None:
         several = np.concatenate([_unpack(r["docs"]) for r in rows]).astype(bool)
@@ -412,9 +438,8 @@ def _answer_docs(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
     docs = np.concatenate([_unpack(r["docs"]) for r in rows])
-    order, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
-    at = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    smaller = np.minimum.reduceat(docs[order], at)[rank] < docs
+    order, new, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+    smaller = np.minimum.reduceat(docs[order], np.flatnonzero(new))[rank] < docs
     ends = np.cumsum([len(p[0]) for p in parts])
     answers = np.split(smaller, ends[:-1])
     return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [np.packbits(x).tobytes() for x in answers], "n": [len(x) for x in answers]}, schema=_NAMES.append(pa.field("n", pa.int64())))
@@ -483,11 +508,10 @@ def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
             at += r["n"]
         repeated = np.zeros(len(b.phrase), bool)
         repeated[s.at[smaller[s.rank] | (docs[s.rank] < b.doc[b.phrase[s.at]])]] = True
-        out = []
-        ends = np.append(b.start[1:], len(b.phrase))
-        for i in np.unique(b.phrase[repeated]).tolist():
-            out.append({"k1": b.table["k1"][i].as_py(), "k2": b.table["k2"][i].as_py(), "mask": np.packbits(repeated[b.start[i] : ends[i] - SPAN + 1]).tobytes()})
-        return pa.Table.from_pylist(out, schema=_MASKS)
+        found = np.unique(b.phrase[repeated])
+        ends = np.append(b.start[1:], len(b.phrase)) - SPAN + 1
+        bits = [np.packbits(repeated[i:j]).tobytes() for i, j in zip(b.start[found].tolist(), ends[found].tolist(), strict=True)]
+        return pa.table([*b.table.select(["k1", "k2"]).take(pa.array(found)).columns, pa.array(bits, pa.binary())], schema=_MASKS)
 
     of = blocks.groupBy("block")
     n9 = cut(of.applyInArrow(ask9, ask_type).groupBy("part").applyInArrow(_answer_names, name_type), "names9")
@@ -561,7 +585,9 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = l
     size = whole.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     owners = whole.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", F.col("raw").isNull().alias("none"), "raw")).alias("_own"), F.count("*").alias("n"))
     distinct = owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n")
-    blocks = _Bucketed(distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(max(parts, -(-size // BLOCK)))).cast("long")), "block", parts)
+    blocked = distinct.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(max(parts, -(-size // BLOCK)))).cast("long"))
+    # dealt like the buckets, each task writes one file, not one for each bucket
+    blocks = _Bucketed(blocked.repartition(parts, "block"), "block", parts)
     phrases = cut(whole.drop("raw"), "phrases")
     drop_scratch(whole)
     masks = _repeated_windows(blocks.rows.drop("n"), parts)
