@@ -375,6 +375,42 @@ def test_each_bucket_of_phrases_is_one_file(spark, monkeypatch):
     assert files["block"][0] <= files["block"][1]
 
 
+def test_no_range_of_keys_grows_with_the_input(spark, monkeypatch):
+    rng, rows = np.random.default_rng(8), {}
+    for i in range(60):  # seven of ten characters are one letter, so a third of all triples are one triple
+        text = "".join("aaaaaaabcd"[c] for c in rng.integers(0, 10, 1500))
+        rows[i] = text if i % 3 else text + rows[max(i - 3, 0)][100 + i : 900] if i else text
+    first, want = {}, {}
+    for i, text in rows.items():
+        gone = np.zeros(len(text), bool)
+        for p in range(len(text) - 49):
+            if first.setdefault(text[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        want[i] = int(gone.sum())
+    keys, coded, plain, ask = {}, [], suffix_dedup.cut, suffix_dedup._ask_codes
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label in ("names9", "names27"):
+            for r in out.collect():
+                of = keys.setdefault(label, {})
+                of[r.part] = of.get(r.part, 0) + len(suffix_dedup._unpack(bytes(r.names), True))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "cut", counted)
+    monkeypatch.setattr(suffix_dedup, "_ask_codes", lambda n: coded.append(n) or ask(n))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1024)
+    monkeypatch.setattr(suffix_dedup, "CODED", 1024, raising=False)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 1024, raising=False)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()} == want
+    assert sum(want.values()) > 10_000
+    assert coded[0] > 8
+    for of in keys.values():
+        assert len(of) > 8 and max(of.values()) < 4 * 1024 and max(of.values()) < sum(of.values()) / 5
+    assert set(keys) == {"names9", "names27"}
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}

@@ -19,8 +19,10 @@ Tasks hold blocks as packed arrays; Spark deals out, groups and joins the blocks
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ SPAN = 50
 GRAM = 28
 #: Bytes of files in a chunk of documents, and of phrases in a block, about.
 CHUNK, BLOCK = 4 << 20, 1 << 20
+#: Bytes of files whose codes are compared at once, and of phrases whose keys are sorted at once, about.
+CODED, RANGE = 6 << 20, 6 << 20
 #: Windows of a phrase at most.
 LONGEST = 2048
 #: Odd numbers and their inverses modulo 2**64.
@@ -79,6 +83,11 @@ class _Bucketed:
             df.write.bucketBy(n, column).sortBy(column).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
+    def size(self) -> int:
+        """Bytes of its files."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE {self.name}")
         delete(self.spark, self.path)
@@ -192,8 +201,8 @@ def _answer_codes(key: tuple, table: pa.Table) -> pa.Table:
         a[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         asked.append(a.reshape(-1).view(np.int64))
     every = np.sort(np.concatenate(asked))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = [np.packbits(np.isin(a, shared, assume_unique=True)).tobytes() for a in asked]
+    shared = np.append(np.unique(every[1:][every[1:] == every[:-1]]), 1 << 40)
+    bits = [np.packbits(shared[np.searchsorted(shared, a)] == a).tobytes() for a in asked]
     return pa.table({"chunk": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(bits), "bits": bits}, schema=_BITS)
 
 
@@ -324,10 +333,11 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, rank
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(columns: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As _dense, of rows of columns of whole numbers from 0. Columns are put into one key of 63 bits, as ranks where they are too wide."""
-    key = columns[0]
-    for c in columns[1:]:
+    columns = iter(columns)
+    key = next(columns)
+    for c in columns:
         bits = int(c.max(initial=0)).bit_length()
         if int(key.max(initial=0)).bit_length() + bits > 63:
             key = _dense(key)[2]
@@ -408,41 +418,61 @@ _KEYS = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("c1", pa.binar
 _NAMES = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("names", pa.binary())])
 
 
+def _splits(some: list[bytes], ranges: int) -> list[bytes]:
+    """Strings of SPAN bytes at most, ascending, between which about equal numbers of the suffixes of some texts stand."""
+    every = np.sort(np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), SPAN) for x in some]).view(f"S{SPAN}").ravel()) if some else np.zeros(1, f"S{SPAN}")
+    return np.unique(every[(np.arange(1, ranges) * len(every)) // ranges]).tolist()
+
+
+def _asked(block: int, columns: list[np.ndarray], x: bytes, at: np.ndarray, splits: list[bytes], width: int, docs: np.ndarray | None) -> pa.Table:
+    """Messages of ascending keys to the ranges that splits of `width` bytes bound. at: where in x each key's bytes stand, in whose order the keys are.
 
-def _asked(block: int, columns: list[np.ndarray], splits: np.ndarray, docs: np.ndarray | None) -> pa.Table:
-    edges = np.concatenate([[0], np.searchsorted(columns[0], splits), [len(columns[0])]])
-    rows = []
+    Ranges are told by the bytes of whole keys, so frequent beginnings are split like others.
+    """
+    edges, rows = [0], []
+    for split in splits:
+        edges.append(bisect_left(at, split, edges[-1], key=lambda i: x[i : i + width]))
+    edges.append(len(at))
     for j, (a, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if e > a:
             rows.append({"part": j, "sender": block, "c1": _pack(columns[0][a:e], True), "c2": _pack(columns[1][a:e]), "c3": _pack(columns[2][a:e]), "docs": None if docs is None else _pack(docs[a:e])})
     return pa.Table.from_pylist(rows, schema=_KEYS)
 
 
+def _gathered(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of the messages to a range end to end, and where each message but the first begins."""
+    parts = [_unpack(b.as_py(), column == "c1") for b in table[column]]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])[:-1]
+
+
+def _ranked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_distinct of the keys sent to a range, unpacked column by column, and where each message but the first begins."""
+    first, ends = _gathered(table, "c1")
+    return *_distinct(chain([first], (_gathered(table, c)[0] for c in ("c2", "c3")))), ends
+
+
 def _answer_names(key: tuple, table: pa.Table) -> pa.Table:
     """Ranks of keys in the merged order of one range; the range's number makes them ranks over all ranges. Where senders say
     which of their keys several of their documents hold, keys that one document alone holds get 0: they need no further sorting."""
-    rows = table.to_pylist()
-    parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
-    _, _, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
-    names = rank + (key[0].as_py() << 40) + 1
-    if rows[0]["docs"] is not None:
-        several = np.concatenate([_unpack(r["docs"]) for r in rows]).astype(bool)
-        count = np.bincount(rank) + np.bincount(rank, weights=several)
-        names[count[rank] < 2] = 0
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [_pack(n, True) for n in np.split(names, ends[:-1])]}, schema=_NAMES)
+    _, _, rank, ends = _ranked(table)
+    alone = None
+    if table["docs"][0].is_valid:
+        count = np.bincount(rank)
+        count += np.bincount(rank[_gathered(table, "docs")[0] > 0], minlength=len(count))
+        alone = (count < 2)[rank]
+    rank += (key[0].as_py() << 40) + 1
+    if alone is not None:
+        rank[alone] = 0
+    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * table.num_rows, "names": [_pack(n, True) for n in np.split(rank, ends)]}, schema=_NAMES)
 
 
 def _answer_docs(key: tuple, table: pa.Table) -> pa.Table:
     """Which of each sender's keys stand in a run of adjacent equal prefixes with a smaller document than the sender's, as bits."""
-    rows = table.to_pylist()
-    parts = [[_unpack(r["c1"], True), _unpack(r["c2"]), _unpack(r["c3"])] for r in rows]
-    docs = np.concatenate([_unpack(r["docs"]) for r in rows])
-    order, new, rank = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+    order, new, rank, ends = _ranked(table)
+    docs, _ = _gathered(table, "docs")
     smaller = np.minimum.reduceat(docs[order], np.flatnonzero(new))[rank] < docs
-    ends = np.cumsum([len(p[0]) for p in parts])
-    answers = np.split(smaller, ends[:-1])
-    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(parts), "names": [np.packbits(x).tobytes() for x in answers], "n": [len(x) for x in answers]}, schema=_NAMES.append(pa.field("n", pa.int64())))
+    answers = np.split(smaller, ends)
+    return pa.table({"block": table["sender"].to_pylist(), "part": [key[0].as_py()] * len(answers), "names": [np.packbits(x).tobytes() for x in answers], "n": [len(x) for x in answers]}, schema=_NAMES.append(pa.field("n", pa.int64())))
 
 
 def _returned(names: pa.Table) -> np.ndarray:
@@ -453,21 +483,19 @@ def _returned(names: pa.Table) -> np.ndarray:
 _MASKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mask", pa.binary())])
 
 
-def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
+def _repeated_windows(blocks: DataFrame, ranges: int) -> DataFrame:
     """(k1, k2, mask): for each distinct phrase of blocks(block, k1, k2, doc_id, raw) with such windows, as bits, those that a smaller document than its own holds too."""
-    # ranges of keys from the beginnings of about 2000 phrases; they only decide how evenly the work is dealt
+    # at most so many ranges of keys, from the beginnings of about 2000 phrases; they only decide how evenly the work is dealt
     share = min(1.0, 2000 / max(blocks.count(), 1))
     some = blocks.filter(F.pmod(F.xxhash64("k1"), F.lit(1 << 40)) < int(share * (1 << 40))).select(F.substring("raw", 1, 256).alias("raw")).limit(4000).collect()
-    some = [np.frombuffer(bytes(r["raw"]), np.uint8).astype(np.int64) for r in some]
-    first = np.sort(np.concatenate([x[:-2] << 16 | x[1:-1] << 8 | x[2:] for x in some])) if some else np.zeros(1, np.int64)
-    splits9 = np.unique(first[(np.arange(1, parts) * len(first)) // parts])
+    splits = _splits([bytes(r["raw"]) for r in some], ranges)
+    splits9, splits27, splits48 = (sorted({x[:n] for x in splits}) for n in (9, 27, 48))
     ask_type, name_type = "part int, sender long, c1 binary, c2 binary, c3 binary, docs binary", "block long, part int, names binary"
-    # later keys start with names, which carry the range they come from
-    later = np.arange(1, len(splits9) + 1) << 40
 
     def ask9(key: tuple, table: pa.Table) -> pa.Table:
         b = _Block(table)
-        return _asked(key[0].as_py(), _nine_bytes(b, _nine(b)), splits9, None)
+        s = _nine(b)
+        return _asked(key[0].as_py(), _nine_bytes(b, s), b.x.tobytes(), s.at[s.first], splits9, 9, None)
 
     def ask27(table: pa.Table, names: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -477,7 +505,7 @@ def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
         n9, doc = _returned(names), b.doc[b.phrase[s.at]]
         several = np.zeros(len(s.first), np.int64)
         several[s.rank[doc != doc[s.first][s.rank]]] = 1
-        return _asked(table["block"][0].as_py(), [n9[r] for r in ranks], later, several)
+        return _asked(table["block"][0].as_py(), [n9[r] for r in ranks], b.x.tobytes(), s.at[s.first], splits27, 27, several)
 
     def fifty_of(table: pa.Table, n27: np.ndarray) -> tuple[_Block, _Sorted, list[np.ndarray], np.ndarray]:
         """Windows whose names several documents hold; with the smallest document of this block for each distinct key."""
@@ -491,8 +519,10 @@ def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
         if not table.num_rows:
             return _KEYS.empty_table()
         n27 = _returned(names)
-        _, _, (r1, r2, rest), docs = fifty_of(table, n27)
-        return _asked(table["block"][0].as_py(), [n27[r1], n27[r2], rest], later, docs)
+        b, s, (r1, r2, rest), docs = fifty_of(table, n27)
+        # two names stand for the 48 bytes from the first one's place on
+        at = s.at[s.first] + np.array([c[1] for c in _COVERS])[rest >> 16]
+        return _asked(table["block"][0].as_py(), [n27[r1], n27[r2], rest], b.x.tobytes(), at, splits48, 48, docs)
 
     def masks(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -529,6 +559,13 @@ def _repeated_windows(blocks: DataFrame, parts: int) -> DataFrame:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
+def _before(c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of c are true before each of the bounds."""
+    out = np.zeros(len(c) + 1, np.int32)
+    np.cumsum(c, dtype=np.int32, out=out[1:])
+    return out[bounds].astype(np.int64)
+
+
 def _remove(chunk: pa.Table, ranges: pa.Table) -> pa.Table:
     """Each document without the bytes of its removed windows: all of s to e, or those that mask tells."""
     if not chunk.num_rows:
@@ -539,19 +576,20 @@ def _remove(chunk: pa.Table, ranges: pa.Table) -> pa.Table:
     x = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
     base = bounds[np.searchsorted(rows, ranges["row"].to_numpy())]
     start, end, masked = base + ranges["s"].to_numpy(), base + ranges["e"].to_numpy(), pc.is_valid(ranges["mask"]).to_numpy()
-    step = np.zeros(len(x) + 1, np.int32)
+    # at most 50 windows cover a byte, each in one range
+    step = np.zeros(len(x) + 1, np.int8)
     np.add.at(step, start[~masked], 1)
     np.add.at(step, end[~masked] + SPAN - 1, -1)
     for i in np.flatnonzero(masked):
         at = start[i] + np.flatnonzero(np.unpackbits(np.frombuffer(ranges["mask"][int(i)].as_py(), np.uint8), count=int(end[i] - start[i])))
         step[at] += 1
         step[at + SPAN] -= 1
-    gone = np.cumsum(step[:-1]) > 0
+    gone = np.cumsum(step[:-1], dtype=np.int8) > 0
     opens = gone.copy()
     opens[1:] &= ~gone[:-1]
     heads = bounds[:-1][bounds[:-1] < len(x)]
     opens[heads] = gone[heads]
-    lost, spans = (np.append(0, np.cumsum(c))[bounds] for c in (gone, opens))
+    lost, spans = (_before(c, bounds) for c in (gone, opens))
     kept = bounds - lost
     data = pa.py_buffer(np.ascontiguousarray(x[~gone]))
     left = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(kept.astype(np.int64)), data]).cast(pa.binary())
@@ -580,8 +618,10 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = l
     chunked = numbered.withColumn("chunk", F.spark_partition_id().cast("long") * within + F.pmod(F.xxhash64("doc_id"), F.lit(within)))
     chunks = _Bucketed(chunked, "chunk", parts)
     of = chunks.rows.groupBy("chunk")
-    bits = of.applyInArrow(_ask_codes(parts), "part int, sender long, keys binary").groupBy("part").applyInArrow(_answer_codes, "chunk long, part int, bits binary")
-    whole = cut(of.cogroup(bits.groupBy("chunk")).applyInArrow(_phrases(parts), "chunk long, row long, doc_id long, s long, e long, k1 long, k2 long, raw binary"), "phrases")
+    # parts of codes, blocks and ranges are as many as the input asks for, so what is held at once does not grow with it
+    coded = max(parts, -(-chunks.size() // CODED))
+    bits = of.applyInArrow(_ask_codes(coded), "part int, sender long, keys binary").groupBy("part").applyInArrow(_answer_codes, "chunk long, part int, bits binary")
+    whole = cut(of.cogroup(bits.groupBy("chunk")).applyInArrow(_phrases(coded), "chunk long, row long, doc_id long, s long, e long, k1 long, k2 long, raw binary"), "phrases")
     size = whole.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     owners = whole.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", F.col("raw").isNull().alias("none"), "raw")).alias("_own"), F.count("*").alias("n"))
     distinct = owners.select("k1", "k2", F.col("_own.doc_id").alias("doc_id"), F.col("_own.raw").alias("raw"), "n")
@@ -590,7 +630,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = l
     blocks = _Bucketed(blocked.repartition(parts, "block"), "block", parts)
     phrases = cut(whole.drop("raw"), "phrases")
     drop_scratch(whole)
-    masks = _repeated_windows(blocks.rows.drop("n"), parts)
+    masks = _repeated_windows(blocks.rows.drop("n"), max(parts, -(-size // RANGE)))
     known = cut(blocks.rows.select("k1", "k2", F.col("doc_id").alias("owner"), "n").join(masks, ["k1", "k2"], "left").filter("n > 1 OR mask IS NOT NULL"), "known")
     blocks.drop()
     met = skew_join(phrases, known, ["k1", "k2"], "n")
