@@ -411,6 +411,27 @@ def test_no_range_of_keys_grows_with_the_input(spark, monkeypatch):
     assert set(keys) == {"names9", "names27"}
 
 
+def test_chunks_of_one_large_row_group_hold_as_many_bytes(spark, monkeypatch, tmp_path):
+    rows = [(i, "".join(chr(97 + (i * j * j) % 26) for j in range(1000))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    held, plain = [], suffix_dedup._Bucketed.__init__
+
+    def counted(self, df, column, n):
+        plain(self, df, column, n)
+        if column == "chunk":
+            held.extend(r.n for r in self.rows.groupBy("chunk").agg(F.sum(F.length("text")).alias("n")).collect())
+
+    monkeypatch.setattr(suffix_dedup._Bucketed, "__init__", counted)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "documents.parquet"))).count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(held) == 300_000 and max(held) <= 45_000
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}

@@ -36,8 +36,8 @@ from weftwork.operators.rounds import cut, delete, drop_scratch, scratch_path, s
 
 SPAN = 50
 GRAM = 28
-#: Bytes of files in a chunk of documents, and of phrases in a block, about.
-CHUNK, BLOCK = 4 << 20, 1 << 20
+#: Bytes of texts in a chunk of documents, and of phrases in a block, about.
+CHUNK, BLOCK = 8 << 20, 1 << 20
 #: Bytes of files whose codes are compared at once, and of phrases whose keys are sorted at once, about.
 CODED, RANGE = 6 << 20, 6 << 20
 #: Windows of a phrase at most.
@@ -596,10 +596,12 @@ def _remove(chunk: pa.Table, ranges: pa.Table) -> pa.Table:
     return pa.table([chunk["doc_id"], np.diff(bounds), np.diff(lost), np.diff(spans), left], schema=_OUT)
 
 
-def _split_bytes(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
-    return int(text.rstrip("kmg")) * unit
+def _chunked(docs: DataFrame) -> DataFrame:
+    """docs with `row`, a number of its own, and `chunk`: the texts of a task, which one large row group of a file may fill, are dealt over chunks by their bytes."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("row", 33))
+    sizes = rows.groupBy("_task").agg(F.ceil(F.sum(F.octet_length("text")) / CHUNK).alias("_n"))
+    nth = F.pmod(F.xxhash64("doc_id"), F.greatest("_n", F.lit(1)))
+    return rows.join(F.broadcast(sizes), "_task", "left").select(*docs.columns, "row", (F.shiftleft("_task", 20) + nth).alias("chunk"))
 
 
 def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
@@ -613,10 +615,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame] = l
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    within = max(1, -(-_split_bytes(spark) // CHUNK))
-    numbered = bare.filter(F.col("doc_id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    chunked = numbered.withColumn("chunk", F.spark_partition_id().cast("long") * within + F.pmod(F.xxhash64("doc_id"), F.lit(within)))
-    chunks = _Bucketed(chunked, "chunk", parts)
+    chunks = _Bucketed(_chunked(bare.filter(F.col("doc_id").isNotNull())), "chunk", parts)
     of = chunks.rows.groupBy("chunk")
     # parts of codes, blocks and ranges are as many as the input asks for, so what is held at once does not grow with it
     coded = max(parts, -(-chunks.size() // CODED))
